@@ -1,0 +1,64 @@
+"""Local stand-in for the driver's correctness gate: run a Spark query and its
+DuckDB oracle on the same parquet tables, compare row count, column names and
+an order-insensitive hash of the values."""
+from __future__ import annotations
+
+import hashlib
+import math
+import os
+
+import duckdb
+
+from textsieve.sources.tables import TABLES
+
+
+def _norm(v):
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v)
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "NaN"
+        return repr(round(v, 6))
+    if isinstance(v, (list, tuple)):
+        return "[" + ",".join(_norm(x) for x in v) + "]"
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{k}:{_norm(x)}" for k, x in sorted(v.items())) + "}"
+    if hasattr(v, "asDict"):
+        return _norm(v.asDict())
+    return str(v)
+
+
+def digest(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
+
+
+def duck(sf_dir: str):
+    con = duckdb.connect()
+    for t in TABLES:
+        p = os.path.join(sf_dir, f"{t}.parquet")
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+def compare(spark, sf_dir, name, query_fn, sql, con=None):
+    con = con or duck(sf_dir)
+    sdf = query_fn(spark, sf_dir)
+    s_cols = sdf.columns
+    s_rows = [tuple(r) for r in sdf.collect()]
+    res = con.execute(sql)
+    d_cols = [c[0] for c in res.description]
+    d_rows = res.fetchall()
+    sh, sl = digest(s_cols, s_rows)
+    dh, dl = digest(d_cols, d_rows)
+    ok = (sorted(s_cols) == sorted(d_cols)) and len(s_rows) == len(d_rows) and sh == dh
+    diff = []
+    if not ok:
+        ss, ds = set(sl), set(dl)
+        diff = [("spark", x) for x in sorted(ss - ds)[:3]] + [("duck", x) for x in sorted(ds - ss)[:3]]
+    return {"name": name, "ok": ok, "rows": (len(s_rows), len(d_rows)),
+            "cols": (s_cols, d_cols) if sorted(s_cols) != sorted(d_cols) else None, "diff": diff}
