@@ -1,16 +1,18 @@
 """Registry of every query key and its DuckDB oracle."""
 from __future__ import annotations
 
-from textsieve.plans import q_pii
+from textsieve.plans import q_pii, q_prompt
 
 QUERIES = {}
 QUERIES.update(q_pii.QUERIES)
+QUERIES.update(q_prompt.QUERIES)
 
 
 def oracle() -> dict[str, str]:
-    from textsieve.plans import oracle_pii
+    from textsieve.plans import oracle_pii, oracle_prompt
     out = {}
     out.update(oracle_pii.pii_sql())
+    out.update(oracle_prompt.prompt_sql())
     return {k: v for k, v in out.items() if k in QUERIES}
 
 

@@ -22,6 +22,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, rebalance: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TEXTSIEVE_DRIVER_MEMORY", "16g"))
         .config(REBALANCE_CONF, str(rebalance))
     )
