@@ -1,11 +1,12 @@
 """Registry of every query key and its DuckDB oracle."""
 from __future__ import annotations
 
-from textsieve.plans import q_pii, q_prompt
+from textsieve.plans import q_limit, q_pii, q_prompt
 
 QUERIES = {}
 QUERIES.update(q_pii.QUERIES)
 QUERIES.update(q_prompt.QUERIES)
+QUERIES.update(q_limit.QUERIES)
 
 
 def oracle() -> dict[str, str]:
@@ -13,6 +14,7 @@ def oracle() -> dict[str, str]:
     out = {}
     out.update(oracle_pii.pii_sql())
     out.update(oracle_prompt.prompt_sql())
+    out.update(q_limit.oracle())
     return {k: v for k, v in out.items() if k in QUERIES}
 
 
