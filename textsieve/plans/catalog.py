@@ -1,12 +1,13 @@
 """Registry of every query key and its DuckDB oracle."""
 from __future__ import annotations
 
-from textsieve.plans import q_limit, q_pii, q_prompt
+from textsieve.plans import q_limit, q_pii, q_policy, q_prompt
 
 QUERIES = {}
 QUERIES.update(q_pii.QUERIES)
 QUERIES.update(q_prompt.QUERIES)
 QUERIES.update(q_limit.QUERIES)
+QUERIES.update(q_policy.QUERIES)
 
 
 def oracle() -> dict[str, str]:
@@ -15,8 +16,9 @@ def oracle() -> dict[str, str]:
     out.update(oracle_pii.pii_sql())
     out.update(oracle_prompt.prompt_sql())
     out.update(q_limit.oracle())
+    out.update(q_policy.oracle())
     return {k: v for k, v in out.items() if k in QUERIES}
 
 
 def flagship(spark, sf_dir):
-    return q_pii.pii_scan_q(spark, sf_dir)
+    return q_policy.analyze_q(spark, sf_dir)

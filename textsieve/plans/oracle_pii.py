@@ -47,11 +47,11 @@ def findings_cte(source: str = "seeded_docs", key: str = "doc_id", text: str = "
     return "\nUNION ALL\n".join(parts)
 
 
-def merged_ctes(source: str = "seeded_docs", key: str = "doc_id") -> str:
+def merged_ctes(source: str = "seeded_docs", key: str = "doc_id", text: str = "text") -> str:
     tok = " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in P.PII_TOKENS)
     wts = " ".join(f"WHEN '{t}' THEN {w}" for t, w in P.PII_WEIGHTS)
     return f"""
-raw_findings AS ({findings_cte(source, key)}),
+raw_findings AS ({findings_cte(source, key, text)}),
 o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start_pos, ord) AS rn FROM raw_findings),
 g AS (SELECT *, max(end_pos) OVER (PARTITION BY {key} ORDER BY rn
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM o),
@@ -69,8 +69,8 @@ per_type AS (SELECT {key}, type, count(*) AS n,
         CASE type {wts} ELSE {P.PII_UNKNOWN_TYPE_WEIGHT} END AS w FROM merged GROUP BY {key}, type),
 doc_score AS (SELECT {key}, least({P.PII_MAX_SCORE}, sum(w + least(n - 1, 4) * (w // 2))) AS score,
         string_agg(ev, ' | ' ORDER BY type) AS evidence, sum(n) AS n_findings FROM per_type GROUP BY {key}),
-doc_redact AS (SELECT t.{key}, string_agg(substr(d.text, t.cut + 1, t.start_pos - t.cut) || t.token, ''
-        ORDER BY t.start_pos) || substr(any_value(d.text), max(t.end_pos) + 1) AS sanitized_text
+doc_redact AS (SELECT t.{key}, string_agg(substr(d.{text}, t.cut + 1, t.start_pos - t.cut) || t.token, ''
+        ORDER BY t.start_pos) || substr(any_value(d.{text}), max(t.end_pos) + 1) AS sanitized_text
         FROM tokened t JOIN {source} d ON d.{key} = t.{key} GROUP BY t.{key})
 """
 

@@ -153,7 +153,7 @@ def signal_exprs() -> list[tuple[str, str, str, str]]:
     out.append(("semantic_contradiction", f"({contra})", "25",
                 "['category=semantic_contradiction concept=contradictory_verb_pair confidence=0.65']"))
     w = words("norm")
-    ts = f"CAST(trunc(len({w}) * {1 - P.CONTEXT_STUFF_TAIL_FRACTION}) AS INTEGER)"
+    ts = f"CAST(trunc(len({w}) * CAST({1 - P.CONTEXT_STUFF_TAIL_FRACTION} AS DOUBLE)) AS INTEGER)"
     head = f"array_to_string(({w})[1:{ts}], ' ')"
     tail = f"array_to_string(({w})[{ts} + 1:], ' ')"
     stuff = (f"({filler_repeat('norm')} OR {matches('norm', P.REPEAT_N_TIMES, 'I', word=False)} OR "
@@ -207,8 +207,8 @@ def result_cte() -> str:
         list_sort(list(category)) AS cats,
         flatten(list(evidence ORDER BY pos)) AS ev FROM sig GROUP BY k),
 damp AS (SELECT a.*, pv.raw, pv.norm, ({meta} OR {quoted}) AS edu, ({hedge}) AS hedge_hits FROM agg a JOIN pv ON pv.k = a.k),
-damp2 AS (SELECT *, CASE WHEN hedge_hits = 0 THEN 1.0 ELSE greatest(0.4, 1.0 - 0.15 * hedge_hits) END AS factor FROM damp),
-scored AS (SELECT *, CASE WHEN edu THEN greatest(1, CAST(trunc(raw_score * {P.EDUCATIONAL_FACTOR}) AS INTEGER))
+damp2 AS (SELECT *, CASE WHEN hedge_hits = 0 THEN 1.0::DOUBLE ELSE greatest(0.4::DOUBLE, 1.0::DOUBLE - 0.15::DOUBLE * hedge_hits) END AS factor FROM damp),
+scored AS (SELECT *, CASE WHEN edu THEN greatest(1, CAST(trunc(raw_score * CAST({P.EDUCATIONAL_FACTOR} AS DOUBLE)) AS INTEGER))
         WHEN factor < 1.0 THEN greatest(1, CAST(trunc(raw_score * factor) AS INTEGER)) ELSE raw_score END AS score FROM damp2),
 res AS (SELECT k, score, CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS severity,
         cats, ev, edu, factor FROM scored)"""

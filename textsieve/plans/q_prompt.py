@@ -140,7 +140,7 @@ def statistical_anomaly(spark, sf_dir):
 
 def educational_dampening(spark, sf_dir):
     s = _result(spark, sf_dir, paraphrase=False)
-    ev = F.element_at(F.col("r.evidence"), -1)
+    ev = F.try_element_at(F.col("r.evidence"), F.lit(-1))
     return (s.where(F.col("r.matched") & ev.startswith("dampened:"))
             .select("request_id", F.when(ev.contains("educational"), F.lit("educational"))
                     .otherwise(F.concat(F.lit("hedge="), F.regexp_extract(ev, "hedge_factor=([0-9.]+)", 1)))
