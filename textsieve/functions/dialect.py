@@ -28,10 +28,9 @@ def _re2_cp(cp: int) -> str:
 
 
 def _ws_members(cp_fmt) -> str:
-    out = []
-    for lo, hi in _WS_RANGES:
-        out.append(cp_fmt(lo) if lo == hi else f"{cp_fmt(lo)}-{cp_fmt(hi)}")
-    return "".join(out)
+    # listed one by one: Java builds a bitmap for single Latin-1 members,
+    # which is several times faster than a chain of range predicates
+    return "".join(cp_fmt(cp) for lo, hi in _WS_RANGES for cp in range(lo, hi + 1))
 
 
 JAVA_WS = _ws_members(_java_cp)
@@ -84,8 +83,59 @@ def _translate(pattern: str, ws: str) -> str:
     return "".join(out)
 
 
+# Python whitespace that Java's \s lacks.  Spark-side text is passed through
+# fold_ws() before any regex, which maps these (length-preserving) to \x0B, so
+# patterns can use Java's fast builtin \s / \S with Python's meaning.
+PY_ONLY_WS = "".join(chr(cp) for lo, hi in _WS_RANGES for cp in range(lo, hi + 1)
+                     if chr(cp) not in " \t\n\x0b\x0c\r")
+
+
+def _translate_java(pattern: str) -> str:
+    out = []
+    i, n = 0, len(pattern)
+    in_class = False
+    while i < n:
+        c = pattern[i]
+        if c == "\\" and i + 1 < n:
+            e = pattern[i + 1]
+            if e == "d":
+                out.append(r"\p{Nd}")
+            elif e == "w":
+                out.append(WORD_MEMBERS if in_class else f"[{WORD_MEMBERS}]")
+            elif e == "W":
+                if in_class:
+                    raise ValueError(f"\\W inside a class is not supported: {pattern}")
+                out.append(f"[^{WORD_MEMBERS}]")
+            else:
+                out.append(c + e)          # \s, \S, \b and escapes stay native
+            i += 2
+            continue
+        if c == "[" and not in_class:
+            in_class = True
+            out.append(c)
+            i += 1
+            if i < n and pattern[i] == "^":
+                out.append("^")
+                i += 1
+            if i < n and pattern[i] == "]":
+                out.append(r"\]")
+                i += 1
+            continue
+        if c == "]" and in_class:
+            in_class = False
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
+def fold_ws(col):
+    """Spark column: Python-only whitespace -> \x0B (same length)."""
+    from pyspark.sql import functions as F
+    return F.translate(col, PY_ONLY_WS, "\x0b" * len(PY_ONLY_WS))
+
+
 def java(pattern: str, flags: str = "") -> str:
-    """Python-syntax regex -> Java regex with the same matches.
+    """Python-syntax regex -> Java regex with the same matches on fold_ws() text.
 
     flags: any of I (ignore case), M (multiline), S (dotall).
     """
@@ -96,7 +146,7 @@ def java(pattern: str, flags: str = "") -> str:
         f += "m"
     if "S" in flags:
         f += "s"
-    return f"(?{f})" + _translate(pattern, JAVA_WS)
+    return f"(?{f})" + _translate_java(pattern)
 
 
 def re2(pattern: str, flags: str = "") -> str:

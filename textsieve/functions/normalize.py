@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from textsieve.functions import dialect as D
 from textsieve.functions import patterns as P
 
-WS = f"[{D.JAVA_WS}]"
+WS = r"\s"   # on fold_ws() text this is Python's whitespace
 NON_ASCII = r"[^\x00-\x7F]"
 
 
@@ -62,7 +62,7 @@ STRIP = r"(?d)^" + WS + r"+|" + WS + r"+\z"
 
 def normalize_tail(folded_lower: Column) -> Column:
     """Steps after lower-casing: spaced letters, blanks, punctuation, strip."""
-    t = F.regexp_replace(folded_lower, COLLAPSE_SPACED, "")
+    t = F.regexp_replace(D.fold_ws(folded_lower), COLLAPSE_SPACED, "")
     t = F.regexp_replace(t, "[ \\t]+", " ")
     t = F.regexp_replace(t, "([!?.]){2,}", "$1")
     return F.regexp_replace(t, STRIP, "")

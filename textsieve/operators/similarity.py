@@ -98,7 +98,7 @@ def chunk_similarity_udf(chunks: pd.Series) -> pd.DataFrame:
 
 def chunk_spans(text: Column) -> Column:
     """Sentence/line chunks with original offsets (blank chunks dropped)."""
-    seps = regex_spans(text, D.java(P.CHUNK_SPLIT))
+    seps = regex_spans(D.fold_ws(text), D.java(P.CHUNK_SPLIT))
     starts = F.concat(F.array(F.lit(0)), F.transform(seps, lambda s: s["end"]))
     ends = F.concat(F.transform(seps, lambda s: s["start"]), F.array(F.length(text)))
     pairs = F.arrays_zip(starts.alias("start"), ends.alias("end"))
@@ -106,7 +106,7 @@ def chunk_spans(text: Column) -> Column:
         p["start"].cast("int").alias("start"), p["end"].cast("int").alias("end"),
         text.substr(p["start"] + 1, p["end"] - p["start"]).alias("text")))
     return F.filter(chunks, lambda c: (c["end"] > c["start"])
-                    & (F.regexp_replace(c["text"], N.STRIP, "") != ""))
+                    & (F.regexp_replace(D.fold_ws(c["text"]), N.STRIP, "") != ""))
 
 
 def template_similarity(text: Column) -> Column:

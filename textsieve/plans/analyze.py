@@ -20,11 +20,29 @@ from textsieve.operators import rag as RAG
 from textsieve.operators import similarity as SIM
 
 
-def thresholds(tenant: Column) -> tuple[Column, Column]:
-    b, t = P.DEFAULT_THRESHOLDS
-    bm = F.create_map(*[x for n, bb, _t in P.TENANT_THRESHOLDS for x in (F.lit(n), F.lit(bb))])
-    tm = F.create_map(*[x for n, _b, tt in P.TENANT_THRESHOLDS for x in (F.lit(n), F.lit(tt))])
-    return (F.coalesce(F.element_at(bm, tenant), F.lit(b)), F.coalesce(F.element_at(tm, tenant), F.lit(t)))
+def thresholds(tenant: Column, policy: dict | None = None) -> tuple[Column, Column]:
+    """Block/transform thresholds of a tenant; ``policy`` maps tenant -> (block,
+    transform) and must hold ``default`` (unknown tenants get its values)."""
+    if policy is None:
+        policy = {"default": P.DEFAULT_THRESHOLDS, **{n: (b, t) for n, b, t in P.TENANT_THRESHOLDS}}
+    b, t = policy["default"]
+    bm = F.create_map(*[x for n, (bb, _t) in policy.items() for x in (F.lit(n), F.lit(int(bb)))])
+    tm = F.create_map(*[x for n, (_b, tt) in policy.items() for x in (F.lit(n), F.lit(int(tt)))])
+    return (F.coalesce(F.element_at(bm, tenant), F.lit(int(b))), F.coalesce(F.element_at(tm, tenant), F.lit(int(t))))
+
+
+MAX_POLICY_ROWS = 100_000
+
+
+def policy_dict(policy_table: DataFrame) -> dict:
+    """Small tenant policy table (tenant_id, block, transform) -> dict.  The
+    table is configuration, bounded by the number of tenants (checked)."""
+    rows = policy_table.select("tenant_id", "block", "transform").limit(MAX_POLICY_ROWS + 1).collect()
+    if len(rows) > MAX_POLICY_ROWS:
+        raise ValueError("policy table is larger than a configuration table may be")
+    d = {r.tenant_id: (r.block, r.transform) for r in rows}
+    d.setdefault("default", P.DEFAULT_THRESHOLDS)
+    return d
 
 
 def prompt_results(requests: DataFrame, paraphrase: bool = True, prob_col: str | None = None) -> DataFrame:
@@ -50,7 +68,7 @@ def doc_results(request_docs: DataFrame, similarity: bool = True) -> DataFrame:
 
 
 def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphrase: bool = True,
-            similarity: bool = True, prob_col: str | None = None) -> DataFrame:
+            similarity: bool = True, prob_col: str | None = None, policy: dict | None = None) -> DataFrame:
     p = prompt_results(requests, paraphrase, prob_col)
     if request_docs is not None:
         p = p.join(doc_results(request_docs, similarity), "request_id", "left")
@@ -67,7 +85,7 @@ def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphra
         d["result"]["evidence"].alias("evidence"), d["result"]["sanitized_text"].alias("sanitized_text"),
         d["result"]["doc_id"].alias("doc_id")))
     p = p.withColumn("_results", F.concat(pw, dw))
-    block, transform = thresholds(F.col("tenant_id"))
+    block, transform = thresholds(F.col("tenant_id"), policy)
     cols = POL.decision_columns(F.col("_results"), block, transform)
     for k, v in cols.items():
         p = p.withColumn(k, v)

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textsieve.functions.arrays import explode_rows
+
 from textsieve.functions import dialect as D
 from textsieve.operators import pii
 from textsieve.functions.spans import regex_spans
@@ -23,7 +25,7 @@ def _scanned(spark, sf_dir) -> DataFrame:
 
 def _raw(spark, sf_dir) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return (d.select("doc_id", F.explode(pii.pii_findings(F.col("text"))).alias("f"))
+    return (explode_rows(d, ["doc_id"], pii.pii_findings(F.col("text")), "f")
             .select("doc_id", F.col("f.start").alias("start_pos"), F.col("f.end").alias("end_pos"),
                     F.col("f.type").alias("type"), F.col("f.confidence").alias("confidence")))
 
@@ -34,7 +36,7 @@ def regex_spans_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     for ptype, pat, flags, _c, _cap in pii.FINDERS:
         if ptype in ("email", "ip_address", "credit_card"):
             arrs.append(_tag(regex_spans(F.col("text"), D.java(pat, flags)), ptype))
-    return d.select("doc_id", F.explode(F.flatten(F.array(*arrs))).alias("s")).select("doc_id", "s.*")
+    return explode_rows(d, ["doc_id"], F.flatten(F.array(*arrs)), "s").select("doc_id", "s.*")
 
 
 def _tag(spans, ptype):
@@ -61,7 +63,7 @@ def secret_finders(spark, sf_dir):
 
 
 def merge_overlaps_q(spark, sf_dir):
-    return (_scanned(spark, sf_dir).select("doc_id", F.explode("pii.findings").alias("f"))
+    return (explode_rows(_scanned(spark, sf_dir), ["doc_id"], "pii.findings", "f")
             .select("doc_id", F.col("f.start").alias("start_pos"), F.col("f.end").alias("end_pos"),
                     F.col("f.type").alias("type"), F.col("f.confidence").alias("confidence")))
 
@@ -77,7 +79,7 @@ def pii_score(spark, sf_dir):
 
 def pii_evidence(spark, sf_dir):
     s = _scanned(spark, sf_dir).where("pii.matched")
-    return (s.select("doc_id", F.explode("pii.evidence").alias("evidence"))
+    return (explode_rows(s, ["doc_id"], "pii.evidence", "evidence")
             .select("doc_id", F.regexp_extract("evidence", "^type=(\\S+)", 1).alias("type"), "evidence"))
 
 
@@ -92,7 +94,7 @@ def pii_scan_q(spark, sf_dir):
 
 def pii_type_counts(spark, sf_dir):
     s = _scanned(spark, sf_dir)
-    f = s.select("doc_id", "source", F.explode("pii.findings").alias("f")).select(
+    f = explode_rows(s, ["doc_id", "source"], "pii.findings", "f").select(
         "doc_id", "source", F.col("f.type").alias("type"))
     return (f.rollup("type", "source")
             .agg(F.count("*").alias("n_findings"), F.countDistinct("doc_id").alias("n_docs")))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textsieve.functions.arrays import explode_rows
+
 from textsieve.functions import patterns as P
 from textsieve.operators import policy as POL
 from textsieve.plans import analyze as AN
@@ -49,7 +51,7 @@ def policy_lookup(spark, sf_dir):
 
 def apply_weights_q(spark, sf_dir):
     d = _prompt_only(spark, sf_dir)
-    return (d.select("request_id", F.explode("results").alias("r")).where("r.matched")
+    return (explode_rows(d, ["request_id"], "results", "r").where("r.matched")
             .select("request_id", F.col("r.tag").alias("tag"), F.col("r.score").cast("long").alias("score")))
 
 
@@ -81,7 +83,7 @@ def sanitize_prompt_q(spark, sf_dir):
 
 def sanitize_docs_q(spark, sf_dir):
     d = _full(spark, sf_dir)
-    return d.select("request_id", F.posexplode("sanitized_context_docs").alias("pos", "doc")).select(
+    return explode_rows(d, ["request_id"], "sanitized_context_docs", "doc", pos="pos").select(
         "request_id", F.col("pos").cast("long").alias("pos"), F.col("doc.id").alias("doc_id"),
         F.col("doc.text").alias("text"))
 

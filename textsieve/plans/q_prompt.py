@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textsieve.functions.arrays import explode_rows
+
 from textsieve.functions import dialect as D
 from textsieve.functions import normalize as N
 from textsieve.functions import patterns as P
@@ -29,8 +31,8 @@ def _signals(spark, sf_dir, paraphrase=False) -> DataFrame:
         v = v.withColumn("_lex", lex).withColumn(
             "_para", F.when(~F.forall("_lex", lambda x: x), PR.paraphrase_hits(norm, F.col("_lex"))))
         para = F.col("_para")
-    sig = PR.prompt_signals(F.col("prompt"), F.col("_norm"), F.col("_leet"), para)
-    return v.select("request_id", F.posexplode(sig).alias("pos", "s")).select(
+    sig = PR.prompt_signals(D.fold_ws(F.col("prompt")), F.col("_norm"), F.col("_leet"), para)
+    return explode_rows(v, ["request_id"], sig, "s", pos="pos").select(
         "request_id", "pos", F.col("s.category").alias("category"), F.col("s.weight").alias("weight"),
         F.col("s.evidence").alias("evidence"))
 
@@ -48,14 +50,14 @@ def leet_view(spark, sf_dir):
 
 
 def spaced_letters(spark, sf_dir):
-    low = F.lower(F.col("prompt"))
+    low = F.lower(D.fold_ws(F.col("prompt")))
     return (_prompts(spark, sf_dir)
             .where(F.regexp_count(low, F.lit(D.java(P.SPACED_LETTERS))) > 0)
             .select("request_id", F.regexp_replace(low, N.COLLAPSE_SPACED, "").alias("collapsed")))
 
 
 def evasion_counts(spark, sf_dir):
-    e = N.evasion_counts(F.col("prompt"))
+    e = N.evasion_counts(D.fold_ws(F.col("prompt")))
     return _prompts(spark, sf_dir).select("request_id", *[
         e[n].cast("long").alias(n) for n in ("homoglyph", "zero_width", "leet_mix", "spaced_letters")])
 
@@ -95,12 +97,12 @@ def structural_delimiter(spark, sf_dir):
 
 def encoded_payload(spark, sf_dir):
     return (_signals(spark, sf_dir).where("category = 'encoded_payload'")
-            .select("request_id", F.explode("evidence").alias("evidence")))
+            .select("request_id", F.explode_outer("evidence").alias("evidence")).where("evidence IS NOT NULL"))
 
 
 def entropy_tokens(spark, sf_dir):
-    toks = F.regexp_extract_all(F.col("prompt"), F.lit(D.java(P.LONG_TOKEN)), 0)
-    t = _prompts(spark, sf_dir).select("request_id", F.explode(toks).alias("tok")).distinct()
+    toks = F.regexp_extract_all(D.fold_ws(F.col("prompt")), F.lit(D.java(P.LONG_TOKEN)), 0)
+    t = explode_rows(_prompts(spark, sf_dir), ["request_id"], toks, "tok").distinct()
     h = PR.shannon_entropy(F.col("tok"))
     return (t.withColumn("h", h).where(F.col("h") >= P.ENTROPY_THRESHOLD)
             .select("request_id", "tok", F.round("h", 6).alias("entropy"), F.length("tok").cast("long").alias("len")))
@@ -135,7 +137,7 @@ def obfuscation_evasion(spark, sf_dir):
 
 def statistical_anomaly(spark, sf_dir):
     return (_signals(spark, sf_dir).where("category = 'statistical_anomaly'")
-            .select("request_id", F.explode("evidence").alias("evidence")))
+            .select("request_id", F.explode_outer("evidence").alias("evidence")).where("evidence IS NOT NULL"))
 
 
 def educational_dampening(spark, sf_dir):
@@ -191,3 +193,32 @@ QUERIES = {
     "prompt_rules": prompt_rules,
     "prompt_scan": prompt_scan_q,
 }
+
+
+def _classified(spark, sf_dir):
+    from textsieve.operators import classifier as CL
+    from textsieve.sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels")
+    model = CL.train(docs.join(labels, "doc_id").select("text", F.col("toxic").alias("label")))
+    v = _views(spark, sf_dir)
+    return CL.score(model, v, "_norm")
+
+
+def semantic_classifier(spark, sf_dir):
+    """P(injection) of every prompt from a model trained on labelled documents."""
+    s = _classified(spark, sf_dir)
+    return s.select("request_id", F.round("p_injection", 6).alias("p_injection"))
+
+
+def semantic_weight(spark, sf_dir):
+    """The classifier probability folded into the prompt score."""
+    from textsieve.operators import classifier as CL
+    s = _classified(spark, sf_dir)
+    r = PR.prompt_scan(s.drop("_nfkc", "_norm", "_leet"), "prompt", paraphrase=False, prob_col="p_injection")
+    return r.select("request_id", CL.semantic_weight(F.col("p_injection")).cast("long").alias("semantic_weight"),
+                    F.col("prompt_injection.score").cast("long").alias("score"))
+
+
+QUERIES["semantic_classifier"] = semantic_classifier
+QUERIES["semantic_weight"] = semantic_weight
