@@ -58,3 +58,24 @@ def oracle_spans_sql(text_sql: str, re2_pattern: str) -> str:
         f"list_sum(list_transform(ms[1:i], lambda x: length(x))) AS INTEGER)}}) "
         f"FROM (SELECT {pcs} AS pcs, {ms} AS ms))"
     )
+
+
+def sql_literal(s: str) -> str:
+    """Spark SQL string literal for an arbitrary string (regex patterns)."""
+    if "'" not in s:
+        return "r'" + s + "'"
+    if '"' not in s:
+        return 'r"' + s + '"'
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def regex_spans_sql(text_sql: str, java_pattern: str) -> str:
+    """Spark SQL text of :func:`regex_spans` (built as one string: one parse
+    instead of many driver round trips when hundreds of patterns are used)."""
+    p = sql_literal(java_pattern)
+    return (f"aggregate(zip_with(split({text_sql}, {p}, -1), regexp_extract_all({text_sql}, {p}, 0), "
+            f"(p, m) -> named_struct('lp', length(p), 'lm', length(m))), "
+            f"named_struct('pos', 0, 'spans', CAST(array() AS {SPAN_TYPE})), "
+            f"(acc, x) -> CASE WHEN x.lm IS NULL THEN acc ELSE named_struct('pos', acc.pos + x.lp + x.lm, "
+            f"'spans', concat(acc.spans, array(named_struct('start', acc.pos + x.lp, 'end', acc.pos + x.lp + x.lm)))) END, "
+            f"acc -> acc.spans)")
