@@ -55,49 +55,115 @@ def prompt_results(requests: DataFrame, paraphrase: bool = True, prob_col: str |
         POL.result_struct(F.lit(1), "pii", F.col("pii")))).drop("prompt_injection", "pii")
 
 
-def doc_results(request_docs: DataFrame, similarity: bool = True) -> DataFrame:
-    """One row per request: ``_docs`` array of (pos, doc_id, source, text hash, result)."""
+ROLE_WEIGHT_VALUES = sorted({float(w) for _k, w in P.ROLE_WEIGHTS} | {1.0})
+
+
+def _wkey(w: float) -> str:
+    return str(w).replace(".", "_")
+
+
+def doc_results(request_docs: DataFrame, similarity: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(per-document results, per-request aggregates).
+
+    The document scan is map-only.  A request's documents are reduced with
+    algebraic aggregates only (max, sum, count, bounded tag set): no list of
+    documents is ever gathered into one row, so a request owning a third of all
+    documents still spreads over tasks (partial aggregation).  The weighted score
+    depends on the request's role, so it is pre-computed for every distinct
+    role weight of the policy and picked after the join."""
     sim = SIM.template_similarity(F.col("text")) if similarity else None
     d = RAG.rag_scan(request_docs, "text", similarity=sim)
-    d = d.select("request_id", F.struct(
-        F.col("pos").cast("int").alias("pos"), F.col("doc_id").cast("string").alias("doc_id"),
-        F.col("source").alias("source"), F.sha2(F.col("text"), 256).alias("text_hash"),
-        POL.result_struct(F.col("pos") + 2, "rag_injection", F.col("rag_injection"),
-                          doc_id=F.col("doc_id").cast("string")).alias("result")).alias("d"))
-    return d.groupBy("request_id").agg(F.array_sort(F.collect_list("d")).alias("_docs"))
+    r = F.col("rag_injection")
+    long = d.select(
+        "request_id", F.col("pos").cast("int").alias("pos"), F.col("doc_id").cast("string").alias("doc_id"),
+        "source", F.sha2(F.col("text"), 256).alias("text_hash"), F.lit("rag_injection").alias("tag"),
+        r["matched"].alias("matched"), r["score"].alias("score"), r["evidence"].alias("evidence"),
+        r["sanitized_text"].alias("sanitized_text"),
+        *[F.when(r["matched"], F.greatest(F.lit(0), F.least(F.lit(100), F.rint(
+            r["score"] * F.lit(w) * POL.context_weight(F.col("source"))).cast("int"))))
+          .alias(f"ws_{_wkey(w)}") for w in ROLE_WEIGHT_VALUES])
+    aggs = [F.count("*").alias("n_docs"), F.count(F.when(F.col("matched"), 1)).alias("n_doc_matched")]
+    for w in ROLE_WEIGHT_VALUES:
+        c = F.col(f"ws_{_wkey(w)}")
+        aggs += [F.max(c).alias(f"top_{_wkey(w)}"),
+                 F.sum(F.floor(c * P.CORROBORATION_WEIGHT)).cast("long").alias(f"bump_{_wkey(w)}")]
+    agg = long.groupBy("request_id").agg(*aggs)
+    return long, agg
+
+
+def _by_role_weight(role_w: Column, prefix: str) -> Column:
+    out = F.lit(None)
+    for w in ROLE_WEIGHT_VALUES:
+        out = F.when(role_w == F.lit(w), F.col(f"{prefix}_{_wkey(w)}")).otherwise(out)
+    return out
 
 
 def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphrase: bool = True,
-            similarity: bool = True, prob_col: str | None = None, policy: dict | None = None) -> DataFrame:
+            similarity: bool = True, prob_col: str | None = None, policy: dict | None = None,
+            with_docs: bool = False):
+    """Decision per request.  With ``with_docs`` returns (decisions, documents):
+    the per-document table holds each attached document's weighted result and
+    sanitized text (the response's document list, in long form)."""
     p = prompt_results(requests, paraphrase, prob_col)
+    role = F.col("user_role")
+    p = p.withColumn("_presults", POL.weighted(F.col("_presults"), role, lambda r: F.lit("prompt")))
+    long = None
     if request_docs is not None:
-        p = p.join(doc_results(request_docs, similarity), "request_id", "left")
+        long, agg = doc_results(request_docs, similarity)
+        p = p.join(agg, "request_id", "left")
     else:
-        p = p.withColumn("_docs", F.lit(None))
-    docs = F.coalesce(F.col("_docs"), F.array().cast(
-        "array<struct<pos:int,doc_id:string,source:string,text_hash:string,result:" + POL.RESULT_DDL + ">>"))
-    p = p.withColumn("_docs", docs)
-    role = F.col("user_role")
-    pw = POL.weighted(F.col("_presults"), role, lambda r: F.lit("prompt"))
-    dw = F.transform(F.col("_docs"), lambda d: F.struct(
-        d["result"]["ord"].alias("ord"), d["result"]["tag"].alias("tag"), d["result"]["matched"].alias("matched"),
-        POL.apply_weights(d["result"]["score"], d["result"]["matched"], role, d["source"]).alias("score"),
-        d["result"]["evidence"].alias("evidence"), d["result"]["sanitized_text"].alias("sanitized_text"),
-        d["result"]["doc_id"].alias("doc_id")))
-    p = p.withColumn("_results", F.concat(pw, dw))
+        p = p.withColumn("n_docs", F.lit(0).cast("long")).withColumn("n_doc_matched", F.lit(0).cast("long"))
+        for w in ROLE_WEIGHT_VALUES:
+            p = p.withColumn(f"top_{_wkey(w)}", F.lit(None).cast("int")).withColumn(
+                f"bump_{_wkey(w)}", F.lit(None).cast("long"))
+    rw = POL.role_weight(role)
+    hit = F.filter(F.col("_presults"), lambda r: r["matched"])
+    p_scores = F.transform(hit, lambda r: r["score"])
+    doc_top = _by_role_weight(rw, "top")
+    doc_bump = F.coalesce(_by_role_weight(rw, "bump"), F.lit(0)).cast("int")
+    n_doc_hit = F.coalesce(F.col("n_doc_matched"), F.lit(0))
+    top = F.greatest(F.coalesce(F.array_max(p_scores), F.lit(-1)), F.coalesce(doc_top, F.lit(-1)))
+    p_bump = F.aggregate(p_scores, F.lit(0), lambda a, x: a + F.floor(x * P.CORROBORATION_WEIGHT).cast("int"))
+    score = F.when((F.size(p_scores) == 0) & (n_doc_hit == 0), F.lit(0)).otherwise(F.least(
+        F.lit(100), top + p_bump + doc_bump - F.floor(top * P.CORROBORATION_WEIGHT).cast("int")))
+    tags = F.array_sort(F.array_distinct(F.concat(
+        F.transform(hit, lambda r: r["tag"]),
+        F.when(n_doc_hit > 0, F.array(F.lit("rag_injection"))).otherwise(F.array().cast("array<string>")))))
     block, transform = thresholds(F.col("tenant_id"), policy)
-    cols = POL.decision_columns(F.col("_results"), block, transform)
-    for k, v in cols.items():
-        p = p.withColumn(k, v)
+    p = p.withColumn("risk_score", score).withColumn("risk_tags", tags)
+    p = p.withColumn("compound_action", POL.compound_action(F.col("risk_tags")))
+    p = p.withColumn("decision", F.coalesce(F.col("compound_action"),
+                                            POL.decide(F.col("risk_score"), block, transform)))
+    p = p.withColumn("reasons", F.transform(hit, lambda r: F.struct(r["tag"].alias("tag"), F.when(
+        F.size(r["evidence"]) > 0, F.array_join(r["evidence"], "; "))
+        .otherwise(F.concat(r["tag"], F.lit(" matched"))).alias("evidence"))))
     prompt_sanitized = F.coalesce(F.try_element_at(F.filter(
         F.col("_presults"), lambda r: r["sanitized_text"].isNotNull()), F.lit(-1))["sanitized_text"], F.col("prompt"))
     p = p.withColumn("sanitized_prompt", prompt_sanitized)
-    p = p.withColumn("sanitized_context_docs", F.transform(F.col("_docs"), lambda d: F.struct(
-        d["doc_id"].alias("id"),
-        F.try_element_at(F.filter(F.col("_docs"), lambda x: x["doc_id"] == d["doc_id"]), F.lit(-1))["result"]["sanitized_text"]
-        .alias("text"), d["source"].alias("source"))))
-    p = p.withColumn("context_doc_hashes", F.transform(F.col("_docs"), lambda d: d["text_hash"]))
-    return p.withColumnRenamed("_results", "results").drop("_presults", "_docs")
+    p = p.withColumn("n_docs", F.coalesce(F.col("n_docs"), F.lit(0)).cast("long"))
+    p = p.withColumnRenamed("_presults", "results").drop(
+        *[c for c in p.columns if c.startswith("top_") or c.startswith("bump_")], "n_doc_matched")
+    if not with_docs:
+        return p
+    if long is None:
+        return p, None
+    docs = long.select("request_id", "pos", "doc_id", "source", "text_hash", "tag", "matched",
+                       "evidence", "sanitized_text", *[f"ws_{_wkey(w)}" for w in ROLE_WEIGHT_VALUES])
+    return p, docs
+
+
+def sanitized_documents(docs: DataFrame) -> DataFrame:
+    """Response document list in long form: one row per (request, document id);
+    duplicated ids take the sanitized text of their last occurrence."""
+    return (docs.groupBy("request_id", "doc_id")
+            .agg(F.min("pos").alias("pos"), F.max_by("sanitized_text", "pos").alias("text")))
+
+
+def doc_reasons(docs: DataFrame) -> DataFrame:
+    """Reasons of matched documents (long form, ordered by ``pos``)."""
+    return docs.where("matched").select("request_id", "pos", "tag", F.when(
+        F.size("evidence") > 0, F.array_join("evidence", "; ")).otherwise(
+        F.concat(F.col("tag"), F.lit(" matched"))).alias("evidence"))
 
 
 def audit_records(decisions: DataFrame, ts: Column | None = None) -> DataFrame:
@@ -108,7 +174,14 @@ def audit_records(decisions: DataFrame, ts: Column | None = None) -> DataFrame:
         F.date_format(ts if ts is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         F.lit(P.POLICY_VERSION).alias("policy_version"),
         F.sha2(F.col("prompt"), 256).alias("prompt_hash"),
-        "context_doc_hashes", F.col("risk_score").alias("score"), "decision", F.col("risk_tags").alias("tags"))
+        F.col("n_docs").alias("n_context_docs"), F.col("risk_score").alias("score"), "decision",
+        F.col("risk_tags").alias("tags"))
+
+
+def audit_doc_hashes(docs: DataFrame) -> DataFrame:
+    """G1, document part: the ordered context-document hashes of each request
+    (long form, so no request gathers its documents into one row)."""
+    return docs.select("request_id", "pos", F.col("text_hash").alias("doc_hash"))
 
 
 def audit_json(audit: DataFrame) -> DataFrame:

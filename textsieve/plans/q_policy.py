@@ -27,9 +27,10 @@ def requests_df(spark, sf_dir) -> DataFrame:
 
 
 def request_docs_df(spark, sf_dir) -> DataFrame:
+    """Attached documents; ``pos`` only orders a request's documents (the
+    numeric doc id), so no window and no shuffle of the text before the scan."""
     d = seeded(spark, sf_dir, "request_docs")
-    w = Window.partitionBy("request_id").orderBy("doc_id")
-    return d.select("request_id", (F.row_number().over(w) - 1).alias("pos"),
+    return d.select("request_id", F.col("doc_id").cast("int").alias("pos"),
                     F.col("document_id").alias("doc_id"), "text", "source")
 
 
@@ -82,10 +83,9 @@ def sanitize_prompt_q(spark, sf_dir):
 
 
 def sanitize_docs_q(spark, sf_dir):
-    d = _full(spark, sf_dir)
-    return explode_rows(d, ["request_id"], "sanitized_context_docs", "doc", pos="pos").select(
-        "request_id", F.col("pos").cast("long").alias("pos"), F.col("doc.id").alias("doc_id"),
-        F.col("doc.text").alias("text"))
+    _d, docs = AN.analyze(requests_df(spark, sf_dir), request_docs_df(spark, sf_dir), with_docs=True)
+    s = AN.sanitized_documents(docs)
+    return s.select("request_id", F.col("pos").cast("long").alias("pos"), "doc_id", "text")
 
 
 def route_detectors_q(spark, sf_dir):
@@ -106,7 +106,7 @@ def analyze_q(spark, sf_dir):
     d = _full(spark, sf_dir)
     return d.select("request_id", "tenant_id", "decision", F.col("risk_score").cast("long").alias("risk_score"),
                     F.array_join("risk_tags", ",").alias("risk_tags"), "sanitized_prompt",
-                    F.size("sanitized_context_docs").cast("long").alias("n_docs"))
+                    F.col("n_docs").cast("long").alias("n_docs"))
 
 
 def _audit(spark, sf_dir):
@@ -116,7 +116,7 @@ def _audit(spark, sf_dir):
 def audit_record_q(spark, sf_dir):
     a = _audit(spark, sf_dir)
     return a.select("request_id", "app_id", "user_id_hash", "tenant", "policy_version", "prompt_hash",
-                    F.size("context_doc_hashes").cast("long").alias("n_doc_hashes"),
+                    F.col("n_context_docs").cast("long").alias("n_doc_hashes"),
                     F.col("score").cast("long").alias("score"), "decision",
                     F.array_join("tags", ",").alias("tags"))
 
@@ -262,4 +262,52 @@ def oracle() -> dict[str, str]:
             SELECT c.hash, coalesce(s.n_seen, 0) AS n_seen, coalesce(s.ever_blocked, false) AS ever_blocked
             FROM (SELECT DISTINCT sha256(text) AS hash FROM conversations) c LEFT JOIN seen s ON s.h = c.hash""",
         "read_requests": RQ.oracle_sql(),
+        "analyze_rules": analyze_rules_oracle(),
     }
+
+
+def analyze_rules_q(spark, sf_dir):
+    """Y10 with every rule detector on prompts and attached documents (no
+    paraphrase model, no similarity): oracle-checked end to end."""
+    d = AN.analyze(requests_df(spark, sf_dir), request_docs_df(spark, sf_dir), paraphrase=False, similarity=False)
+    return d.select("request_id", "tenant_id", "decision", F.col("risk_score").cast("long").alias("risk_score"),
+                    F.array_join("risk_tags", ",").alias("risk_tags"), "sanitized_prompt",
+                    F.col("n_docs").cast("long").alias("n_docs"))
+
+
+QUERIES["analyze_rules"] = analyze_rules_q
+
+
+def analyze_rules_oracle() -> str:
+    from textsieve.plans import oracle_rag
+    prompt_part = _decision_sql() + "SELECT request_id, ord, tag, matched, score FROM weighted"
+    rag_part = oracle_rag.base_ctes() + """SELECT k AS doc_id, hit AND decision <> 'allow' AS matched,
+        CAST(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60 ELSE score0 END AS INTEGER) AS score
+        FROM res"""
+    final_part = _decision_sql() + "SELECT request_id, sanitized_prompt FROM final"
+    rw = _weight_case("sp.user_role", P.ROLE_WEIGHTS)
+    cw = _weight_case("CASE WHEN rd.source = '' OR rd.source IS NULL THEN 'prompt' ELSE rd.source END",
+                      P.CONTEXT_WEIGHTS)
+    rules = " ".join(f"WHEN list_has_all(tags, [{', '.join(repr(t) for t in tags)}]) THEN '{a}'"
+                     for tags, a in P.COMPOUND_RULES)
+    return cte_prefix("request_docs") + f""", pw AS ({prompt_part}),
+rr AS ({rag_part}),
+fp AS ({final_part}),
+dw AS (SELECT rd.request_id, 'rag_injection' AS tag, r.matched,
+          CASE WHEN r.matched THEN greatest(0, least(100, CAST(round_even(r.score * {rw} * {cw}, 0) AS INTEGER)))
+          ELSE r.score END AS score
+       FROM request_docs rd JOIN rr r ON r.doc_id = rd.doc_id JOIN seeded_prompts sp ON sp.request_id = rd.request_id),
+allr AS (SELECT request_id, tag, matched, score FROM pw UNION ALL SELECT request_id, tag, matched, score FROM dw),
+agg AS (SELECT request_id, coalesce(max(score) FILTER (WHERE matched), 0) AS top,
+          coalesce(sum(floor(score * {P.CORROBORATION_WEIGHT})) FILTER (WHERE matched), 0) AS bumps,
+          count(*) FILTER (WHERE matched) AS n_hit,
+          coalesce(list_sort(list_distinct(list(tag) FILTER (WHERE matched))), []) AS tags FROM allr GROUP BY request_id),
+dec AS (SELECT a.request_id, sp.tenant_id,
+          CAST(CASE WHEN n_hit = 0 THEN 0 ELSE least(100, top + bumps - floor(top * {P.CORROBORATION_WEIGHT})) END AS BIGINT) AS risk_score,
+          tags, CASE {rules} END AS compound_action FROM agg a JOIN seeded_prompts sp ON sp.request_id = a.request_id)
+SELECT d.request_id, d.tenant_id,
+       coalesce(compound_action, CASE WHEN risk_score >= {_tenant_case('d.tenant_id', 0)} THEN 'block'
+         WHEN risk_score >= {_tenant_case('d.tenant_id', 1)} THEN 'transform' ELSE 'allow' END) AS decision,
+       risk_score, array_to_string(tags, ',') AS risk_tags, fp.sanitized_prompt,
+       CAST((SELECT count(*) FROM request_docs x WHERE x.request_id = d.request_id) AS BIGINT) AS n_docs
+FROM dec d JOIN fp ON fp.request_id = d.request_id"""

@@ -26,10 +26,7 @@ def _signals(spark, sf_dir, paraphrase=False) -> DataFrame:
     para = None
     if paraphrase:
         norm, lv = F.col("_norm"), F.col("_leet")
-        lex = F.array(*[norm.rlike(PR.category_regex(p)) | ((lv != norm) & lv.rlike(PR.category_regex(p)))
-                        for _n, _w, p, _ph in P.CATEGORIES])
-        v = v.withColumn("_lex", lex).withColumn(
-            "_para", F.when(~F.forall("_lex", lambda x: x), PR.paraphrase_hits(norm, F.col("_lex"))))
+        v = v.withColumn("_para", PR.paraphrase_hits(norm, F.array(*[F.lit(False)] * len(P.CATEGORIES))))
         para = F.col("_para")
     sig = PR.prompt_signals(D.fold_ws(F.col("prompt")), F.col("_norm"), F.col("_leet"), para)
     return explode_rows(v, ["request_id"], sig, "s", pos="pos").select(

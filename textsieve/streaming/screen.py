@@ -30,9 +30,11 @@ def screen_batch(batch: DataFrame, policy_path: str, audit_path: str, paraphrase
              .dropDuplicates(["_rid"]).drop("_rid"))
     requests, docs = RQ.flatten_requests(valid)
     policy = AN.policy_dict(batch.sparkSession.read.parquet(policy_path))
-    decisions = AN.analyze(requests, docs, paraphrase=paraphrase, similarity=similarity, policy=policy)
+    decisions, doc_rows = AN.analyze(requests, docs, paraphrase=paraphrase, similarity=similarity,
+                                     policy=policy, with_docs=True)
     audit = AN.audit_records(decisions).withColumn("date", F.substring("timestamp", 1, 10))
     audit.write.mode("append").partitionBy("date").parquet(audit_path)
+    AN.audit_doc_hashes(doc_rows).write.mode("append").parquet(audit_path + "_docs")
 
 
 def run_screen_stream(spark: SparkSession, requests_dir: str, policy_path: str, run_dir: str,
