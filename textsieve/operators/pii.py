@@ -166,15 +166,20 @@ def pii_scan(df: DataFrame, text_col: str = "text", extra_findings: str | None =
     return out.withColumn("pii", result).drop("_pii_raw", "_pii_merged", "_pii_types")
 
 
-def external_findings(entities: DataFrame, text_len: DataFrame | None = None) -> DataFrame:
-    """Model entities (doc key, entity_type, start, end, score) -> findings.
+def external_findings(entities: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Model entities (key, entity_type, start, end, score) -> findings.
 
-    Keeps allow-listed types (renamed by the entity map), drops scores under the
-    confidence floor and anything past the scan cap.  The entity map is a fixed
-    30-row table, broadcast by construction.
-    """
+    Keeps allow-listed entity types renamed by the entity map, drops scores
+    under the confidence floor and entities past the scan cap.  The entity map
+    is a fixed 30-row table, broadcast by construction."""
     spark = entities.sparkSession
     emap = spark.createDataFrame(P.ENTITY_MAP, "entity_type string, type string")
     return (entities.join(F.broadcast(emap), "entity_type")
             .where((F.col("score") >= P.NER_MIN_CONFIDENCE) & (F.col("end") <= P.MAX_SCAN_CHARS))
-            .select("*"))
+            .select(key, "type", "start", "end", F.col("score").cast("double").alias("confidence")))
+
+
+# Entity names a recognizer service reports for our own finder types (used to
+# feed the regex finders through the external-entity path).
+ENTITY_NAME = {"email": "EMAIL_ADDRESS", "phone": "PHONE_NUMBER", "credit_card": "CREDIT_CARD",
+               "ssn": "US_SSN", "ip_address": "IP_ADDRESS", "iban": "IBAN_CODE", "crypto_wallet": "CRYPTO"}

@@ -86,7 +86,14 @@ def pii_sql() -> dict[str, str]:
     sp1 = cte_prefix("seeded_docs") + "\nUNION ALL\n".join(sp1_parts)
     structured = "('credit_card','ssn','ip_address','iban','crypto_wallet')"
     secrets = "(" + ",".join(f"'{f[0]}'" for f in FINDERS[7:]) + ")"
+    from textsieve.operators.pii import ENTITY_NAME
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENTITY_NAME.items())
+    emap = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.ENTITY_MAP)
+    ext = pre + f"""SELECT doc_id, etype AS type, CAST(start_pos AS BIGINT) AS start_pos, CAST(end_pos AS BIGINT) AS end_pos,
+        confidence FROM (SELECT *, CASE (CASE type {names} ELSE upper(type) END) {emap} END AS etype FROM raw_findings)
+        WHERE etype IS NOT NULL AND confidence >= {P.NER_MIN_CONFIDENCE} AND end_pos <= {P.MAX_SCAN_CHARS}"""
     return {
+        "external_findings": ext,
         "regex_spans": sp1,
         "pii_email": pre + "SELECT doc_id, start_pos, end_pos FROM raw_findings WHERE type = 'email'",
         "pii_phone": pre + "SELECT doc_id, start_pos, end_pos FROM raw_findings WHERE type = 'phone'",

@@ -100,7 +100,20 @@ def pii_type_counts(spark, sf_dir):
             .agg(F.count("*").alias("n_findings"), F.countDistinct("doc_id").alias("n_docs")))
 
 
+def external_findings_q(spark, sf_dir):
+    """D5 fed by the regex finders acting as the external recognizer."""
+    raw = _raw(spark, sf_dir)
+    names = F.create_map(*[x for k, v in pii.ENTITY_NAME.items() for x in (F.lit(k), F.lit(v))])
+    ents = raw.select("doc_id", F.coalesce(F.element_at(names, F.col("type")), F.upper("type")).alias("entity_type"),
+                      F.col("start_pos").alias("start"), F.col("end_pos").alias("end"),
+                      F.col("confidence").alias("score"))
+    out = pii.external_findings(ents)
+    return out.select("doc_id", "type", F.col("start").cast("long").alias("start_pos"),
+                      F.col("end").cast("long").alias("end_pos"), "confidence")
+
+
 QUERIES = {
+    "external_findings": external_findings_q,
     "regex_spans": regex_spans_q,
     "pii_email": pii_email,
     "pii_phone": pii_phone,
