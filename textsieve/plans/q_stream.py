@@ -31,7 +31,10 @@ def screen_stream(spark, sf_dir):
     policy = os.path.join(run, "policy")
     SS.write_policy(spark, policy, {"default": P.DEFAULT_THRESHOLDS,
                                     **{n: (b, t) for n, b, t in P.TENANT_THRESHOLDS}})
-    audit = SS.run_screen_stream(spark, os.path.join(run, "requests", "*"), policy, run)
+    # rule detectors (no paraphrase model, no similarity), so the streamed
+    # decisions are checked against the end-to-end rule oracle
+    audit = SS.run_screen_stream(spark, os.path.join(run, "requests", "*"), policy, run,
+                                 paraphrase=False, similarity=False)
     return audit.select("request_id", "tenant", "decision", F.col("score").cast("long").alias("score"),
                         F.array_join("tags", ",").alias("tags"))
 
@@ -70,8 +73,11 @@ QUERIES = {
 
 
 def oracle() -> dict[str, str]:
+    from textsieve.plans import q_policy
     base = q_limit._oracle(False)
     return {
+        "screen_stream": ("SELECT request_id, tenant_id AS tenant, decision, risk_score AS score, risk_tags AS tags FROM ("
+                          + q_policy.analyze_rules_oracle() + ")"),
         "rate_limit_stream": base + f"""SELECT a.event_id, a.app_count, a.app_count <= {q_limit.APP_LIMIT} AS app_ok,
             u.user_count, u.user_count <= {q_limit.USER_LIMIT} AS user_ok FROM a LEFT JOIN u ON u.event_id = a.event_id""",
         "window_rollup": base + f""", v AS (SELECT a.event_id, a.app_id, e.ts,
