@@ -83,7 +83,9 @@ def sanitize_prompt_q(spark, sf_dir):
 
 
 def sanitize_docs_q(spark, sf_dir):
-    _d, docs = AN.analyze(requests_df(spark, sf_dir), request_docs_df(spark, sf_dir), with_docs=True)
+    """Y8 with the rule detectors (checked against the document oracle's redaction)."""
+    _d, docs = AN.analyze(requests_df(spark, sf_dir), request_docs_df(spark, sf_dir), paraphrase=False,
+                          similarity=False, with_docs=True)
     s = AN.sanitized_documents(docs)
     return s.select("request_id", F.col("pos").cast("long").alias("pos"), "doc_id", "text")
 
@@ -263,9 +265,22 @@ def oracle() -> dict[str, str]:
             FROM (SELECT DISTINCT sha256(text) AS hash FROM conversations) c LEFT JOIN seen s ON s.h = c.hash""",
         "read_requests": RQ.oracle_sql(),
         "analyze_rules": analyze_rules_oracle(),
+        "sanitize_docs": _sanitize_docs_oracle(),
+        "audit_sink": base + f"""SELECT to_json({{'request_id': request_id, 'app_id': app_id,
+            'user_id_hash': sha256(user_id), 'tenant': tenant_id, 'policy_version': '{P.POLICY_VERSION}',
+            'prompt_hash': sha256(prompt), 'n_context_docs': 0, 'score': CAST(risk_score AS INTEGER),
+            'decision': decision, 'tags': tags}}) AS value FROM final""",
     }
 
 
+def _sanitize_docs_oracle() -> str:
+    from textsieve.plans import oracle_rag
+    rag_part = oracle_rag.base_ctes() + "SELECT k AS doc_id, sanitized_text FROM res"
+    return cte_prefix("request_docs") + f""", rr AS ({rag_part})
+SELECT rd.request_id, CAST(rd.doc_id AS BIGINT) AS pos, rd.document_id AS doc_id, rr.sanitized_text AS text
+FROM request_docs rd JOIN rr ON rr.doc_id = rd.doc_id"""
+
+
 def analyze_rules_q(spark, sf_dir):
     """Y10 with every rule detector on prompts and attached documents (no
     paraphrase model, no similarity): oracle-checked end to end."""
