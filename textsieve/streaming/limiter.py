@@ -95,3 +95,79 @@ def run_limiter_stream(spark: SparkSession, events_dir: str, app_limit: int, app
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out_path)
+
+
+# --------------------------------------------------------------------------
+# Micro-batch limiter without per-key groups (default for W4)
+# --------------------------------------------------------------------------
+def limit_batch(batch: DataFrame, tail: DataFrame | None, app_limit: int, app_window_s: int,
+                user_limit: int, user_window_s: int, inclusive: bool = False):
+    """Verdicts for ``batch`` given the previous window's log ``tail``.
+
+    Both are (event_id, app_id, user_id, ts_us[, app_ok, user_logged]).  The new
+    rows are counted against tail + earlier new rows with the bucketed batch
+    windows (a hot app spreads over time buckets; nothing is grouped per app).
+    Returns (verdicts of the new rows, next tail = calls inside the last window)."""
+    from textsieve.operators.ratelimit import window_counts
+    new = batch.select("event_id", "app_id", "user_id", "ts_us", F.lit(True).alias("_new"),
+                       F.lit(None).cast("boolean").alias("_app_ok"), F.lit(None).cast("boolean").alias("_ulog"))
+    if tail is not None:
+        old = tail.select("event_id", "app_id", "user_id", "ts_us", F.lit(False).alias("_new"),
+                          F.col("app_ok").alias("_app_ok"), F.col("user_logged").alias("_ulog"))
+        u = old.unionByName(new)
+    else:
+        u = new
+    a = window_counts(u, ["app_id"], "ts_us", "event_id", app_window_s, inclusive)
+    a = a.withColumn("app_count", F.col("win_count")).drop("win_count")
+    a = a.withColumn("app_ok", F.when(F.col("_new"), F.col("app_count") <= app_limit).otherwise(F.col("_app_ok")))
+    checked = F.when(F.col("_new"), F.col("app_ok") & F.col("user_id").isNotNull()).otherwise(F.col("_ulog"))
+    a = a.withColumn("user_logged", checked)
+    v = window_counts(a, ["app_id", "user_id"], "ts_us", "event_id", user_window_s, inclusive,
+                      logged=F.col("user_logged"))
+    v = (v.withColumn("user_count", F.when(F.col("user_logged"), F.col("win_count")))
+         .withColumn("user_ok", F.col("user_count") <= user_limit))
+    verdicts = v.where("_new").select("event_id", "app_id", "user_id", "app_count", "app_ok", "user_count", "user_ok")
+    horizon = max(app_window_s, user_window_s) * 1_000_000
+    last = batch.agg(F.max("ts_us")).first()[0]          # one scalar per micro-batch
+    keep = F.lit(True) if last is None else F.col("ts_us") > F.lit(last - horizon)
+    nxt = v.where(keep).select("event_id", "app_id", "user_id", "ts_us", "app_ok", "user_logged")
+    return verdicts, nxt
+
+
+def run_limiter_stream_batched(spark: SparkSession, events_dir: str, app_limit: int, app_window_s: int,
+                               user_limit: int, user_window_s: int, run_dir: str, inclusive: bool = False,
+                               files_glob: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
+    """Events files as a stream; each micro-batch is limited against the tail
+    of the previous batches (kept as a table under ``run_dir``).  Outputs and
+    tails are written per batch id, so a re-run batch overwrites itself."""
+    sample = spark.read.parquet(events_dir)
+    stream = (spark.readStream.schema(sample.schema).option("pathGlobFilter", files_glob)
+              .option("maxFilesPerTrigger", files_per_batch).parquet(events_dir))
+    ev = stream.select("event_id", F.col("event_type").alias("app_id"),
+                       F.col("user_id").cast("string").alias("user_id"), event_micros(F.col("ts")).alias("ts_us"))
+    out_dir, tail_dir = os.path.join(run_dir, "verdicts"), os.path.join(run_dir, "tails")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        prev = os.path.join(tail_dir, f"b{batch_id - 1}")
+        tail = batch.sparkSession.read.parquet(prev) if batch_id > 0 and os.path.exists(prev) else None
+        verdicts, nxt = limit_batch(batch, tail, app_limit, app_window_s, user_limit, user_window_s, inclusive)
+        nxt.write.mode("overwrite").parquet(os.path.join(tail_dir, f"b{batch_id}"))
+        verdicts.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
+
+    q = (ev.writeStream.foreachBatch(step).option("checkpointLocation", os.path.join(run_dir, "checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_dir)
+
+
+def stage_event_chunks(spark: SparkSession, sf_dir: str, out_dir: str, chunks: int = 4) -> str:
+    """Write the events table as ``chunks`` time-ordered files, one write per
+    chunk, so a file stream replays them in event-time order."""
+    ev = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+    bounds = ev.select(F.min(event_micros(F.col("ts"))).alias("lo"), F.max(event_micros(F.col("ts"))).alias("hi")).first()
+    step = (bounds.hi - bounds.lo) // chunks + 1
+    for c in range(chunks):
+        lo, hi = bounds.lo + c * step, bounds.lo + (c + 1) * step
+        (ev.where((event_micros(F.col("ts")) >= lo) & (event_micros(F.col("ts")) < hi)).coalesce(1)
+         .write.mode("overwrite").parquet(os.path.join(out_dir, f"chunk{c:03d}")))
+    return out_dir
