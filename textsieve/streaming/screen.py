@@ -24,7 +24,7 @@ def write_policy(spark: SparkSession, path: str, overrides: dict) -> None:
 
 
 def screen_batch(batch: DataFrame, policy_path: str, audit_path: str, paraphrase: bool = True,
-                 similarity: bool = True) -> None:
+                 similarity: bool = True, batch_id: int = 0) -> None:
     parsed = RQ.parse_requests(batch)
     valid = (parsed.where("valid").select("req.*").withColumn("_rid", F.col("metadata.request_id"))
              .dropDuplicates(["_rid"]).drop("_rid"))
@@ -32,9 +32,12 @@ def screen_batch(batch: DataFrame, policy_path: str, audit_path: str, paraphrase
     policy = AN.policy_dict(batch.sparkSession.read.parquet(policy_path))
     decisions, doc_rows = AN.analyze(requests, docs, paraphrase=paraphrase, similarity=similarity,
                                      policy=policy, with_docs=True)
+    # written per batch id with overwrite: a micro-batch re-run after a failure
+    # replaces its own output instead of appending duplicates
     audit = AN.audit_records(decisions).withColumn("date", F.substring("timestamp", 1, 10))
-    audit.write.mode("append").partitionBy("date").parquet(audit_path)
-    AN.audit_doc_hashes(doc_rows).write.mode("append").parquet(audit_path + "_docs")
+    audit.write.mode("overwrite").partitionBy("date").parquet(os.path.join(audit_path, f"batch={batch_id}"))
+    (AN.audit_doc_hashes(doc_rows).write.mode("overwrite")
+     .parquet(os.path.join(audit_path + "_docs", f"batch={batch_id}")))
 
 
 def run_screen_stream(spark: SparkSession, requests_dir: str, policy_path: str, run_dir: str,
@@ -42,7 +45,7 @@ def run_screen_stream(spark: SparkSession, requests_dir: str, policy_path: str,
     audit_path = os.path.join(run_dir, "audit")
     stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(requests_dir)
     q = (stream.writeStream
-         .foreachBatch(lambda b, _i: screen_batch(b, policy_path, audit_path, paraphrase, similarity))
+         .foreachBatch(lambda b, i: screen_batch(b, policy_path, audit_path, paraphrase, similarity, i))
          .option("checkpointLocation", os.path.join(run_dir, "checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
