@@ -17,6 +17,7 @@ from textsieve.session import local_session  # noqa: E402
 from textsieve.plans import q_limit, q_pii, q_policy, q_prompt, q_rag  # noqa: E402
 
 HEADLINE = {
+    "regex_bank": q_rag.signature_spans,          # 67-signature bank x 2 views, spans mapped (cf. BASELINE)
     "pii_scan": q_pii.pii_scan_q,                 # personal data: find, merge, redact, score
     "prompt_scan": q_prompt.prompt_scan_q,        # prompt injection incl. paraphrase
     "rag_scan": q_rag.rag_scan_q,                 # document injection incl. template similarity
