@@ -145,7 +145,9 @@ def read_requests_q(spark, sf_dir):
 
 
 def write_decisions_q(spark, sf_dir):
-    return RQ.decisions_json(_full(spark, sf_dir))
+    """Response JSON per request (rule detectors; checked against the oracle)."""
+    d = AN.analyze(requests_df(spark, sf_dir), request_docs_df(spark, sf_dir), paraphrase=False, similarity=False)
+    return RQ.decisions_json(d)
 
 
 QUERIES = {
@@ -264,7 +266,11 @@ def oracle() -> dict[str, str]:
             SELECT c.hash, coalesce(s.n_seen, 0) AS n_seen, coalesce(s.ever_blocked, false) AS ever_blocked
             FROM (SELECT DISTINCT sha256(text) AS hash FROM conversations) c LEFT JOIN seen s ON s.h = c.hash""",
         "read_requests": RQ.oracle_sql(),
-        "analyze_rules": analyze_rules_oracle(),
+        "analyze_rules": ("SELECT request_id, tenant_id, decision, risk_score, risk_tags, sanitized_prompt, n_docs FROM ("
+                          + analyze_rules_oracle() + ")"),
+        "write_decisions": ("SELECT request_id, decision, to_json({'decision': decision, 'risk_score': CAST(risk_score AS INTEGER), "
+                            "'risk_tags': tag_list, 'sanitized_prompt': sanitized_prompt, 'reasons': reasons, "
+                            "'n_docs': n_docs}) AS response FROM (" + analyze_rules_oracle() + ")"),
         "sanitize_docs": _sanitize_docs_oracle(),
         "audit_sink": base + f"""SELECT to_json({{'request_id': request_id, 'app_id': app_id,
             'user_id_hash': sha256(user_id), 'tenant': tenant_id, 'policy_version': '{P.POLICY_VERSION}',
@@ -295,7 +301,7 @@ QUERIES["analyze_rules"] = analyze_rules_q
 
 def analyze_rules_oracle() -> str:
     from textsieve.plans import oracle_rag
-    prompt_part = _decision_sql() + "SELECT request_id, ord, tag, matched, score FROM weighted"
+    prompt_part = _decision_sql() + "SELECT request_id, ord, tag, matched, score, evidence FROM weighted"
     rag_part = oracle_rag.base_ctes() + """SELECT k AS doc_id, hit AND decision <> 'allow' AS matched,
         CAST(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60 ELSE score0 END AS INTEGER) AS score
         FROM res"""
@@ -324,5 +330,9 @@ SELECT d.request_id, d.tenant_id,
        coalesce(compound_action, CASE WHEN risk_score >= {_tenant_case('d.tenant_id', 0)} THEN 'block'
          WHEN risk_score >= {_tenant_case('d.tenant_id', 1)} THEN 'transform' ELSE 'allow' END) AS decision,
        risk_score, array_to_string(tags, ',') AS risk_tags, fp.sanitized_prompt,
-       CAST((SELECT count(*) FROM request_docs x WHERE x.request_id = d.request_id) AS BIGINT) AS n_docs
+       CAST((SELECT count(*) FROM request_docs x WHERE x.request_id = d.request_id) AS BIGINT) AS n_docs,
+       tags AS tag_list,
+       coalesce((SELECT list({{'tag': r.tag, 'evidence': CASE WHEN len(r.evidence) > 0
+                    THEN array_to_string(r.evidence, '; ') ELSE r.tag || ' matched' END}} ORDER BY r.ord)
+                 FROM pw r WHERE r.request_id = d.request_id AND r.matched), []) AS reasons
 FROM dec d JOIN fp ON fp.request_id = d.request_id"""
