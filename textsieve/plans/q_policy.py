@@ -331,7 +331,7 @@ SELECT d.request_id, d.tenant_id,
          WHEN risk_score >= {_tenant_case('d.tenant_id', 1)} THEN 'transform' ELSE 'allow' END) AS decision,
        risk_score, array_to_string(tags, ',') AS risk_tags, fp.sanitized_prompt,
        CAST((SELECT count(*) FROM request_docs x WHERE x.request_id = d.request_id) AS BIGINT) AS n_docs,
-       tags AS tag_list,
+       tags AS tag_list, compound_action,
        coalesce((SELECT list({{'tag': r.tag, 'evidence': CASE WHEN len(r.evidence) > 0
                     THEN array_to_string(r.evidence, '; ') ELSE r.tag || ' matched' END}} ORDER BY r.ord)
                  FROM pw r WHERE r.request_id = d.request_id AND r.matched), []) AS reasons

@@ -89,6 +89,7 @@ def oracle() -> dict[str, str]:
     from textsieve.plans import q_policy
     base = q_limit._oracle(False)
     return {
+        "policy_refresh": _policy_refresh_oracle(),
         "screen_stream": ("SELECT request_id, tenant_id AS tenant, decision, risk_score AS score, risk_tags AS tags FROM ("
                           + q_policy.analyze_rules_oracle() + ")"),
         "rate_limit_stream_state": base + f"""SELECT a.event_id, a.app_count, a.app_count <= {q_limit.APP_LIMIT} AS app_ok,
@@ -103,3 +104,14 @@ def oracle() -> dict[str, str]:
             FROM v, (SELECT unnest(range(0, 4)) AS k)
             GROUP BY 1, 2, 3""",
     }
+
+
+def _policy_refresh_oracle() -> str:
+    """Arrival k (conversation id parity) is screened under thresholds lowered by 40*k."""
+    from textsieve.plans import q_policy as QP
+    gen = "(CAST(split_part(request_id, '-', 1) AS BIGINT) % 2)"
+    blk = f"greatest(1, ({QP._tenant_case('tenant_id', 0)}) - 40 * {gen})"
+    trn = f"greatest(1, ({QP._tenant_case('tenant_id', 1)}) - 40 * {gen})"
+    return (f"SELECT request_id, tenant_id AS tenant, coalesce(compound_action, CASE WHEN risk_score >= {blk} "
+            f"THEN 'block' WHEN risk_score >= {trn} THEN 'transform' ELSE 'allow' END) AS decision, "
+            f"risk_score AS score FROM (" + QP.analyze_rules_oracle() + ")")

@@ -54,7 +54,8 @@ def run_screen_stream(spark: SparkSession, requests_dir: str, policy_path: str,
 
 def stage_requests(spark: SparkSession, sf_dir: str, out_dir: str, parts: int = 2) -> list[str]:
     """Serialize the seeded requests as JSON-line files (one folder per part)."""
-    j = RQ.request_json(spark, sf_dir).withColumn("_part", F.abs(F.xxhash64("value")) % parts)
+    rid = F.get_json_object("value", "$.metadata.request_id")
+    j = RQ.request_json(spark, sf_dir).withColumn("_part", F.split(rid, "-")[0].cast("long") % parts)
     dirs = []
     for p in range(parts):
         d = os.path.join(out_dir, f"part{p}")
