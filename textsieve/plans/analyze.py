@@ -130,17 +130,18 @@ def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphra
         F.transform(hit, lambda r: r["tag"]),
         F.when(n_doc_hit > 0, F.array(F.lit("rag_injection"))).otherwise(F.array().cast("array<string>")))))
     block, transform = thresholds(F.col("tenant_id"), policy)
-    p = p.withColumn("risk_score", score).withColumn("risk_tags", tags)
-    p = p.withColumn("compound_action", POL.compound_action(F.col("risk_tags")))
-    p = p.withColumn("decision", F.coalesce(F.col("compound_action"),
-                                            POL.decide(F.col("risk_score"), block, transform)))
-    p = p.withColumn("reasons", F.transform(hit, lambda r: F.struct(r["tag"].alias("tag"), F.when(
+    reasons = F.transform(hit, lambda r: F.struct(r["tag"].alias("tag"), F.when(
         F.size(r["evidence"]) > 0, F.array_join(r["evidence"], "; "))
-        .otherwise(F.concat(r["tag"], F.lit(" matched"))).alias("evidence"))))
+        .otherwise(F.concat(r["tag"], F.lit(" matched"))).alias("evidence")))
     prompt_sanitized = F.coalesce(F.try_element_at(F.filter(
         F.col("_presults"), lambda r: r["sanitized_text"].isNotNull()), F.lit(-1))["sanitized_text"], F.col("prompt"))
-    p = p.withColumn("sanitized_prompt", prompt_sanitized)
-    p = p.withColumn("n_docs", F.coalesce(F.col("n_docs"), F.lit(0)).cast("long"))
+    # grouped projections: every withColumn re-analyzes the whole (large) plan
+    p = p.withColumns({"risk_score": score, "risk_tags": tags, "reasons": reasons,
+                       "sanitized_prompt": prompt_sanitized,
+                       "n_docs": F.coalesce(F.col("n_docs"), F.lit(0)).cast("long")})
+    p = p.withColumn("compound_action", POL.compound_action(F.col("risk_tags")))
+    p = p.withColumn("decision", F.coalesce(F.col("compound_action"),
+                                            POL.decide(F.col("risk_score"), block, transform)))
     p = p.withColumnRenamed("_presults", "results").drop(
         *[c for c in p.columns if c.startswith("top_") or c.startswith("bump_")], "n_doc_matched")
     if not with_docs:

@@ -29,6 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
     for name in names or TABLES:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+    _REGISTERED.pop(id(spark), None)      # base views replaced: seeded views must be rebuilt
 
 
 # --------------------------------------------------------------------------
@@ -103,12 +104,20 @@ def cte_prefix(upto: str = "request_docs") -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+_REGISTERED: dict = {}
+
+
 def register_seeded(spark: SparkSession, sf_dir: str) -> None:
-    """Register base tables and the seeded views in this session."""
+    """Register base tables and the seeded views in this session (skipped when
+    this session already holds the views of the same folder and settings)."""
+    key = (id(spark), os.path.abspath(sf_dir), spark.conf.get(REBALANCE_CONF, "0"))
+    if _REGISTERED.get(id(spark)) == key and all(spark.catalog.tableExists(n) for n, _ in VIEWS):
+        return
     register_tables(spark, sf_dir, ["documents", "conversations", "events", "pages",
                                     "embeddings", "labels", "benchmark"])
     for name, sql in VIEWS:
         spark.sql(sql).createOrReplaceTempView(name)
+    _REGISTERED[id(spark)] = key
 
 
 def seeded(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
