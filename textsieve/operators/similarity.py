@@ -134,7 +134,8 @@ def vector_similarity(spark: SparkSession, embeddings: DataFrame, n_templates: i
     return spark.sql(f"""
       WITH tpl AS (
         SELECT (SELECT collect_list(struct(vec_id, transform(embedding, x -> CAST(x AS DOUBLE)) AS v))
-                FROM _ts_embeddings WHERE vec_id < {int(n_templates)}) AS t, e.*
+                FROM (SELECT vec_id, embedding FROM _ts_embeddings WHERE vec_id < {int(n_templates)}
+                      ORDER BY vec_id LIMIT {int(n_templates)})) AS t, e.*
         FROM _ts_embeddings e),
       scored AS (
         SELECT vec_id, label, transform(t, x -> struct(
