@@ -31,13 +31,30 @@ def _nfkc_array(s: pd.Series) -> pd.Series:
                  [None if t is None else unicodedata.normalize("NFKC", t) for t in a])
 
 
+def _safe_latin1() -> str:
+    """Latin-1 characters whose NFKC and lower case are themselves (single
+    characters, no format characters, no homoglyphs).  The set holds no
+    combining marks, so any string made only of ASCII and these characters is
+    NFKC-stable as a whole.  Rule-built, listed one by one (Java bitmap)."""
+    hg = {k for k, _ in P.HOMOGLYPHS}
+    cps = [cp for cp in range(0x80, 0x100)
+           if unicodedata.normalize("NFKC", chr(cp)) == chr(cp) and len(chr(cp).lower()) == 1
+           and unicodedata.category(chr(cp)) not in ("Cf", "Cs", "Mn", "Mc", "Me") and chr(cp) not in hg]
+    return "".join("\\x{%X}" % cp for cp in cps)
+
+
+UNSAFE = r"[^\x00-\x7F" + _safe_latin1() + "]"
+
+
 def nfkc(text: Column) -> Column:
-    return F.coalesce(_nfkc(F.when(text.rlike(NON_ASCII), text)), text)
+    """NFKC; rows of ASCII and safe Latin-1 characters skip Python (stable)."""
+    needs = text.rlike(NON_ASCII) & text.rlike(UNSAFE)
+    return F.coalesce(_nfkc(F.when(needs, text)), text)
 
 
 def nfkc_each(arr: Column) -> Column:
-    """NFKC of every element; arrays with only ASCII text skip Python."""
-    needs = F.exists(arr, lambda x: x.rlike(NON_ASCII))
+    """NFKC of every element; arrays of NFKC-stable text skip Python."""
+    needs = F.exists(arr, lambda x: x.rlike(NON_ASCII) & x.rlike(UNSAFE))
     return F.coalesce(_nfkc_array(F.when(needs, arr)), arr)
 
 
