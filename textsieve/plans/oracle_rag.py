@@ -200,9 +200,9 @@ def rule_hit_sql() -> str:
     return "(" + " OR ".join(f"({c})" for c in conds) + ")"
 
 
-def base_ctes(with_decoded=True) -> str:
+def base_ctes(with_decoded=True, src: str = "seeded_docs", key: str = "doc_id", text: str = "text") -> str:
     pre = cte_prefix("seeded_docs").rstrip() + ",\n"
-    pre += n5_ctes("seeded_docs", "doc_id", "text") + ",\n"
+    pre += n5_ctes(src, key, text) + ",\n"
     enc_union = "\nUNION ALL\n".join(encoded_rows())
     pre += f"enc AS ({enc_union}),\n"
     pre += f"decs AS (SELECT e.k, e.s, e.e, {decode_sql('substr(d.raw, e.s + 1, e.e - e.s)')} AS dtext "
@@ -336,6 +336,12 @@ def rag_sql() -> dict[str, str]:
             CASE WHEN hit THEN decision ELSE 'allow' END AS decision,
             round(CASE WHEN hit THEN conf ELSE 0.0 END, 6) AS confidence,
             CASE WHEN hit THEN {evidence} ELSE '' END AS evidence, sanitized_text FROM res""",
+        "page_rules": base_ctes(src="pages", key="page_id", text="html") + f"""SELECT k AS page_id,
+            hit AND decision <> 'allow' AS matched,
+            CAST(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60 ELSE score0 END AS BIGINT) AS score,
+            CASE WHEN hit THEN decision ELSE 'allow' END AS decision,
+            round(CASE WHEN hit THEN conf ELSE 0.0 END, 6) AS confidence,
+            CASE WHEN hit THEN {evidence} ELSE '' END AS evidence, sanitized_text FROM res""",
         "vector_similarity": """WITH t AS (SELECT vec_id AS tid, embedding AS tv FROM embeddings WHERE vec_id < 16),
             s AS (SELECT e.vec_id, t.tid, coalesce(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(t.tv AS DOUBLE[]))
                    / nullif(sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))

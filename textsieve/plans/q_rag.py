@@ -189,7 +189,15 @@ def _flat(s):
                     F.array_join(r["evidence"], " | ").alias("evidence"), r["sanitized_text"].alias("sanitized_text"))
 
 
+def page_rules(spark, sf_dir):
+    """Crawled pages (raw HTML) screened as documents with the rule detectors."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+    s = RAG.rag_scan(pages, "text")
+    return _flat(s.withColumnRenamed("page_id", "doc_id")).withColumnRenamed("doc_id", "page_id")
+
+
 QUERIES = {
+    "page_rules": page_rules,
     "normalize_with_map": normalize_with_map,
     "map_span": map_span,
     "chunk_text": chunk_text,
