@@ -21,6 +21,8 @@ are encoded; repeated rows are encoded each.
 from __future__ import annotations
 
 import hashlib
+import re
+import unicodedata
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -34,40 +36,32 @@ from textsieve.llm.common import table, values
 from textsieve.llm.ranks import read_ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-SHIFT, MASK = 8, 255
-
-
-class BucketQueue:
-    """The queue on its own: push (rank, position), pop the lowest rank, leftmost position first.
-
-    ``BytePairCoder.merge`` carries the same steps inline, as it runs them once per byte."""
-
-    def __init__(self):
-        self.top, self.low, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-        else:
-            self.buckets[rank] = [at]
-            m = rank >> SHIFT
-            self.low[m] = self.low.get(m, 0) | 1 << (rank & MASK)
-            self.top |= 1 << m
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        m = (self.top & -self.top).bit_length() - 1
-        bits = self.low[m]
-        rank = m << SHIFT | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            self.low[m] = bits & (bits - 1)
-            if not self.low[m]:
-                self.top &= self.top - 1
-        return rank, at
+SHIFT, MASK, SHORT = 8, 255, 64
+
+
+def splitter(pattern: str):
+    """All matches of the pattern in a text.
+
+    Where every character is below 256, the standard library's matcher does the same faster:
+    \\p{L} and \\p{N} are then spelled out as the characters of these classes below 256."""
+    full = regex.compile(pattern).findall
+    known = {c: "".join(re.escape(chr(i)) for i in range(256) if unicodedata.category(chr(i))[0] == c) for c in "LN"}
+    blank = r"\t-\r \x85\xa0"               # White_Space below 256; the standard library's \\s has more
+    inner = pattern.replace("[^\\s\\p{L}\\p{N}]", f"[^{blank}{known['L']}{known['N']}]")
+    inner = inner.replace("\\S", f"[^{blank}]").replace("\\s", f"[{blank}]")
+    inner = inner.replace("\\p{L}", f"[{known['L']}]").replace("\\p{N}", f"[{known['N']}]")
+    if re.search(r"\\[pPwWdDbB]", inner):
+        return full
+    narrow = re.compile(inner).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return full(text)
+        return narrow(text)
+
+    return split
 
 
 class _Recent(dict):
@@ -96,64 +90,130 @@ class BytePairCoder:
         self.piece = [b""] * (max(ranks.values()) + 1)
         for p, r in ranks.items():
             self.piece[r] = p
-        self.split = regex.compile(pattern).findall
+        self.word_of = [r >> SHIFT for r in range(len(self.piece))]
+        self.bit_of = [1 << (r & MASK) for r in range(len(self.piece))]
+        self.split = splitter(pattern)
         self.recent = _Recent(self.merge, cache, longest_cached)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(word)
+        whole = self.ranks.get(word)
         if whole is not None:
             return (whole,)
-        n = len(word)
+        return self._merge_short(word) if len(word) <= SHORT else self._merge_long(word)
+
+    def _merge_short(self, word: bytes) -> tuple[int, ...]:
+        """The queue for few positions: a bucket is a bitmap of positions as well."""
+        n, get, word_of, bit_of = len(word), self.ranks.get, self.word_of, self.bit_of
         ends = list(range(1, n + 1))          # piece at i covers word[i:ends[i]]
         before = list(range(-1, n - 1))       # start of the piece to the left
         pending = [-1] * n                    # left position -> rank of its pair now
         top, low, buckets = 0, {}, {}
-        get = ranks.get
-        fresh = [(i, r) for i in range(n - 1) if (r := get(word[i:i + 2])) is not None]
+        for i in range(n - 1):
+            r = get(word[i:i + 2])
+            if r is not None:
+                pending[i] = r
+                at = buckets.get(r)
+                if at:
+                    buckets[r] = at | 1 << i
+                else:
+                    buckets[r] = 1 << i
+                    m = word_of[r]
+                    low[m] = low[m] | bit_of[r] if m in low else bit_of[r]
+                    top |= 1 << m
+        while top:
+            m = (top & -top).bit_length() - 1          # find-first-set on each level
+            bits = low[m]
+            r = (m << SHIFT) + (bits & -bits).bit_length() - 1
+            at = buckets[r]
+            i = (at & -at).bit_length() - 1
+            buckets[r] = at = at & (at - 1)
+            if not at:
+                low[m] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
+            if pending[i] != r:               # stale: the pair at i is another one by now, or gone
+                continue
+            j = ends[i]                       # the right piece joins the left one
+            ends[i] = end = ends[j]
+            pending[i] = pending[j] = -1
+            if end < n:
+                before[end] = i
+                r = get(word[i:ends[end]])
+                if r is not None:
+                    pending[i] = r
+                    at = buckets.get(r)
+                    if at:
+                        buckets[r] = at | 1 << i
+                    else:
+                        buckets[r] = 1 << i
+                        m = word_of[r]
+                        low[m] = low[m] | bit_of[r] if m in low else bit_of[r]
+                        top |= 1 << m
+            i = before[i]
+            if i >= 0:
+                r = get(word[i:end])
+                if r is None:
+                    pending[i] = -1
+                else:
+                    pending[i] = r
+                    at = buckets.get(r)
+                    if at:
+                        buckets[r] = at | 1 << i
+                    else:
+                        buckets[r] = 1 << i
+                        m = word_of[r]
+                        low[m] = low[m] | bit_of[r] if m in low else bit_of[r]
+                        top |= 1 << m
+        return self._pieces(word, ends)
+
+    def _merge_long(self, word: bytes) -> tuple[int, ...]:
+        """The queue for many positions: a bucket is a list of positions, the leftmost first."""
+        n, get = len(word), self.ranks.get
+        ends, before, pending = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        top, low, buckets = 0, {}, {}
+        fresh = ((i, r) for i in range(n - 1) if (r := get(word[i:i + 2])) is not None)
         while True:
-            for i, r in fresh:                # push
+            for i, r in fresh:
                 pending[i] = r
                 bucket = buckets.get(r)
                 if bucket:
                     heappush(bucket, i)
                 else:
                     buckets[r] = [i]
-                    m = r >> SHIFT
-                    low[m] = low.get(m, 0) | 1 << (r & MASK)
+                    m = self.word_of[r]
+                    low[m] = low.get(m, 0) | self.bit_of[r]
                     top |= 1 << m
             if not top:
-                break
-            m = (top & -top).bit_length() - 1          # pop: find-first-set on both levels
+                return self._pieces(word, ends)
+            m = (top & -top).bit_length() - 1
             bits = low[m]
-            r = m << SHIFT | (bits & -bits).bit_length() - 1
-            bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
+            r = (m << SHIFT) + (bits & -bits).bit_length() - 1
+            i = heappop(buckets[r])
+            if not buckets[r]:
                 low[m] = bits = bits & (bits - 1)
                 if not bits:
                     top &= top - 1
             fresh = []
-            if pending[i] != r:               # stale: the pair at i is another one by now, or gone
+            if pending[i] != r:
                 continue
-            j = ends[i]                       # the right piece joins the left one
+            j = ends[i]
             ends[i] = end = ends[j]
             pending[i] = pending[j] = -1
+            left = before[i]
             if end < n:
                 before[end] = i
-                r = get(word[i:ends[end]])
-                if r is not None:
+                if (r := get(word[i:ends[end]])) is not None:
                     fresh.append((i, r))
-            left = before[i]
             if left >= 0:
                 pending[left] = -1
-                r = get(word[left:end])
-                if r is not None:
+                if (r := get(word[left:end])) is not None:
                     fresh.append((left, r))
-        out, i = [], 0
+
+    def _pieces(self, word: bytes, ends: list[int]) -> tuple[int, ...]:
+        out, i, n = [], 0, len(word)
         while i < n:
-            out.append(ranks[word[i:ends[i]]])
+            out.append(self.ranks[word[i:ends[i]]])
             i = ends[i]
         return tuple(out)
 
