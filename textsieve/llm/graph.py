@@ -38,3 +38,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return (pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
             .unionByName(roots.join(pairs.select(F.col("u").alias("node")), "node", "left_anti")
                          .select("node", F.col("node").alias("component"))))
+
+
+def component_ids(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(row, component_id) for the rows of (row, id) that ``links`` (a, b: rows) connect to others, or that
+    share their id with another row; component_id is the smallest id of the component."""
+    named = rows.select("row", "id").where("id IS NOT NULL")
+    repeated = named.groupBy("id").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
+    same = named.join(repeated, "id").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    found = cut(components(links.select("a", "b").unionByName(same).where("a <> b")))
+    least = (found.join(named, found["node"] == named["row"]).groupBy("component")
+             .agg(F.min("id").alias("component_id")))
+    return found.join(least, "component").select(F.col("node").alias("row"), "component_id")

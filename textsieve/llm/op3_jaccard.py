@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsieve.llm.common import HashCache, cut, mix, shingles, table, values, words
-from textsieve.llm.graph import components
+from textsieve.llm.graph import component_ids, components
 
 PERCENT = 80
 COUNTERS = 1 << 20
@@ -304,19 +304,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = cut(reps.select("id", "row", "h1", "h2", "n", "copies").join(parts, "row"))
     verified = cut(verified_links(docs, members, percent, id_col, text_col))
     copies = named.join(folded.where("copies > 1").select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
-    same_id = named.groupBy("id").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
-    links = (verified.select("a", "b").unionByName(copies.select(F.col("row").alias("a"), F.col("rep").alias("b")))
-             .unionByName(named.select("id", F.col("row").alias("a")).join(same_id, "id")
-                          .select("a", F.col("first").alias("b"))).where("a <> b"))
-    found = cut(components(links).select(F.col("node").alias("row"), "component"))
-    named_parts = found.join(rows.select("row", "id"), "row").groupBy("component").agg(F.min("id").alias("least"))
+    links = verified.select("a", "b").unionByName(copies.select(F.col("row").alias("a"), F.col("rep").alias("b")))
+    parts = component_ids(named, links)
     degrees = verified.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     by_set = (folded.join(degrees, "rep", "left")
               .select("h1", "h2", "n", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    own = rows.select("row", "id", "n", "h1", "h2").join(found.join(named_parts, "component"), "row", "left")
+    own = rows.select("row", "id", "n", "h1", "h2").join(parts, "row", "left")
     return (own.join(by_set.where("n_links > 0"), ["h1", "h2", "n"], "left")
             .select(F.col("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"),
-                    F.coalesce("least", "id").alias("component_id"),
+                    F.coalesce("component_id", "id").alias("component_id"),
                     F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links")))
 
 
