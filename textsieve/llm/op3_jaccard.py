@@ -44,11 +44,11 @@ from textsieve.llm.common import HashCache, cut, mix, shingles, table, values, w
 from textsieve.llm.graph import component_ids, components
 
 PERCENT = 80
-COUNTERS = 1 << 20
+COUNTERS = 1 << 19
 FREQUENT = 32                 # prefixes that hold a token, from which on it is frequent
 PER_CLASS = 8                 # prefix tokens of a class that a level aims at
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 18, 512
-_COUNTER_SHIFT = np.uint64(64 - 20)
+_COUNTER_SHIFT = np.uint64(64 - 19)
 _NAME = 0xA5A5A5A5A5A5A5A5
 
 
@@ -83,8 +83,8 @@ def word_counters(texts: DataFrame, text_col: str = "text") -> np.ndarray:
 
     out = np.zeros(COUNTERS, np.int64)
     counts = (texts.select(text_col).mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-              .toPandas())
-    out[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+              .toArrow())                     # at most COUNTERS rows
+    out[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
     return out
 
 
