@@ -138,6 +138,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     names = sorted(prototypes)
     unit = np.stack([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]) if names else None
     keep = keep or {}
+    kept = list(keep)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
                       *[c.cast("boolean").alias(k) for k, c in keep.items()])
     ddl = "doc_id bigint" + "".join(f", {k} boolean" for k in keep) + ", lang_pred string, score double"
@@ -159,8 +160,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 score += [float(min(1.0, max(0.0, cos[r, i]))) if ok else 0.0
                           for r, (i, ok) in enumerate(zip(best, known))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[b.column(2 + i) for i in range(len(keep))], pa.array(lang, pa.string()),
-                 pa.array(score, pa.float64())], names=["doc_id", *keep, "lang_pred", "score"])
+                [b.column(0), *[b.column(2 + i) for i in range(len(kept))], pa.array(lang, pa.string()),
+                 pa.array(score, pa.float64())], names=["doc_id", *kept, "lang_pred", "score"])
 
     return src.mapInArrow(run, ddl)
 
