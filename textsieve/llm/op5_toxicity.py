@@ -41,8 +41,8 @@ DIM = 1 << 18
 FIT_ROWS = 20_000
 FOLDS = 3
 PREFIXES = (3, 4, 5)
-PENALTY, WORKING = 1e-4, 256
-CUTOFF = 0.4
+PENALTY, WORKING = 0.014, 256      # the penalty is divided by the square root of the rows
+CUTOFF = 0.5
 _WORD = re.compile(r"\w+")
 
 
@@ -70,6 +70,7 @@ def fit_logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, penal
         return float(np.log(max(share, floor) / max(1 - share, floor))), np.empty(0, np.int64), np.empty(0), \
             np.zeros(extra.shape[1])
     n, k = len(rows), extra.shape[1]
+    penalty = penalty / np.sqrt(n)
     slot = np.concatenate(rows)
     order = np.argsort(slot, kind="stable")
     used, start = np.unique(slot[order], return_index=True)
@@ -89,13 +90,12 @@ def fit_logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, penal
         active = np.concatenate((active, new))
         moved = 0.0
         for _ in range(passes):
-            moved = 0.0
-            for j in range(1 + k):
-                p = probability(score)
-                x = dense[:, j]
-                step = -((p - y) @ x) / max((p * (1 - p)) @ (x * x), 1e-9)
-                base[j] += step
-                score += step * x
+            p = probability(score)          # Newton step of intercept and earlier probabilities together
+            curve = dense.T @ (dense * (p * (1 - p))[:, None]) + 1e-6 * np.eye(1 + k)
+            step = np.clip(np.linalg.solve(curve, dense.T @ (y - p)), -2.0, 2.0)
+            base += step
+            score += dense @ step
+            moved = float(np.abs(step).max())
             for j in active:
                 at = owner[start[j]:end[j]]
                 p = probability(score[at])
@@ -109,7 +109,7 @@ def fit_logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, penal
                     moved = max(moved, abs(step))
             if moved < 1e-3:
                 break
-        if not len(new) and moved < 1e-2:
+        if not len(new) and moved < 1e-3:
             break
     on = np.flatnonzero(w)
     return float(base[0]), used[on], w[on], base[1:]

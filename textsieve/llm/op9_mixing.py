@@ -13,10 +13,11 @@ documents a source has.
 
 Rates become copies: the whole part, and one more with the probability of the
 fraction, decided by a hash of the document, so reruns agree.  What a source then
-has too much or too little is corrected by moving single documents a copy up or
-down: up to ``CHANGE`` documents per size class (powers of two) are candidates, and from the
-largest down each is moved that still fits into the difference.  That list has
-some hundred rows per source, whatever its size.
+has too much or too little is settled on up to ``CHANGE`` documents of each size
+class (powers of two): they start from the whole part, and from the largest down
+each gets one copy more if that still fits; what is left over is then moved up
+or down by a copy where that lessens it.  This list has some hundred rows per
+source, whatever its size.
 
 Targets: sources by code point, null last, weigh 5, 2, 1 and so on again.  They
 share all words by weight; a target stops at ``CAP`` times the words of its source, and what is
@@ -106,24 +107,38 @@ def multipliers(histogram: DataFrame, targets: DataFrame, base: str = "words", c
     return state.select("no", "lam")
 
 
-def choose_change(units: DataFrame, missing: DataFrame, cap: int) -> DataFrame:
-    """(k1, k2, move): documents to take once more or once less, from (no, k1, k2, words, copies) and
-    (no, missing words)."""
-    up = F.col("missing") > 0
-    able = units.join(missing, "no").where("words > 0").where((up & (F.col("copies") < cap)) | (~up & (F.col("copies") > 0)))
+def settle(units: DataFrame, missing: DataFrame, cap: int) -> DataFrame:
+    """(k1, k2, settled): copies of some documents of each source, set so that its words meet the target, from
+    (no, k1, k2, words, whole, copies) and (no, missing words)."""
     band = F.floor(F.log2(F.col("words").cast("double"))).cast("int")
-    few = (able.groupBy("no", "missing", band.alias("band"), F.pmod("k2", F.lit(CHANGE)).alias("slot"))
-           .agg(F.min(F.struct("k1", "k2", "words")).alias("u")))
-    lists = few.groupBy("no", "missing").agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct(F.col("u.words"), F.col("u.k1"), F.col("u.k2"))))).alias("us"))
-    empty = F.array().cast("array<struct<words:bigint,k1:bigint,k2:bigint>>")
-    fold = F.aggregate(
-        "us", F.struct(F.abs("missing").cast("bigint").alias("left"), empty.alias("taken")),
-        lambda a, u: F.when(u["words"] <= a["left"], F.struct((a["left"] - u["words"]).alias("left"),
-                                                             F.concat(a["taken"], F.array(u)).alias("taken"))).otherwise(a),
-        lambda a: a["taken"])
-    return (lists.select(F.when(F.col("missing") > 0, 1).otherwise(-1).alias("move"), F.explode(fold).alias("u"))
-            .select("u.k1", "u.k2", "move"))
+    few = (units.where("words > 0").groupBy("no", band.alias("band"), F.pmod("k2", F.lit(CHANGE)).alias("slot"))
+           .agg(F.min(F.struct("k1", "k2", "words", "whole", "copies")).alias("u")))
+    lists = few.groupBy("no").agg(F.reverse(F.array_sort(F.collect_list(F.struct(
+        *[F.col(f"u.{c}").alias(c) for c in ("words", "k1", "k2", "whole", "copies")])))).alias("us")).join(missing, "no")
+    kind = "array<struct<words:bigint,k1:bigint,k2:bigint,c:bigint>>"
+
+    def passed(us, left, had, change):
+        """Fold over us: change(left, u) is -1, 0 or 1 copies for each."""
+        def step(a, u):
+            move = change(a["left"], u)
+            return F.struct((a["left"] - u["words"] * move).alias("left"), F.concat(a["us"], F.array(F.struct(
+                u["words"].alias("words"), u["k1"].alias("k1"), u["k2"].alias("k2"), (had(u) + move).alias("c")))).alias("us"))
+        return F.aggregate(us, F.struct(left.alias("left"), F.array().cast(kind).alias("us")), step)
+
+    def fill(left, u):
+        return F.when((u["whole"] < cap) & (u["words"] <= left), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+
+    def trim(left, u):
+        up = (left > 0) & (u["c"] < cap) & (F.abs(left - u["words"]) < F.abs(left))
+        down = (left < 0) & (u["c"] > 0) & (F.abs(left + u["words"]) < F.abs(left))
+        return F.when(up, F.lit(1)).when(down, F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+
+    # without the random copies of the candidates, the source lacks this much
+    lack = F.col("missing") + F.aggregate("us", F.lit(0).cast("bigint"),
+                                          lambda a, u: a + (u["copies"] - u["whole"]) * u["words"])
+    first = lists.select("no", passed(F.col("us"), lack, lambda u: u["whole"], fill).alias("f"))
+    second = first.select(passed(F.col("f.us"), F.col("f.left"), lambda u: u["c"], trim)["us"].alias("us"))
+    return second.select(F.explode("us").alias("u")).select("u.k1", "u.k2", F.col("u.c").alias("settled"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
@@ -147,13 +162,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     duals = duals.join(mean, "no", "left")
     rounded = cut(units.join(duals, same(units, duals)).withColumn("rate", rate)
                   .withColumn("copies", F.least(F.lit(cap), whole + F.when(chance < F.col("rate") - whole, 1).otherwise(0)))
-                  .select("k1", "k2", "doc_id", "no", "size", "rows", "source_size", "target", F.col("copies").cast("bigint")))
+                  .select("k1", "k2", "doc_id", "no", "size", "rows", "source_size", "target",
+                          F.least(F.lit(cap), whole).cast("bigint").alias("whole"), F.col("copies").cast("bigint")))
     missing = (rounded.groupBy("no").agg((F.first("target") - F.sum(F.col("size") * F.col("rows") * F.col("copies")))
                                          .alias("missing")))
-    moves = choose_change(rounded.select("no", "k1", "k2", (F.col("size") * F.col("rows")).alias("words"), "copies"),
-                          missing, cap)
-    return (rounded.join(moves, ["k1", "k2"], "left")
-            .withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move", "no"))
+    settled = settle(rounded.select("no", "k1", "k2", (F.col("size") * F.col("rows")).alias("words"), "whole", "copies"),
+                     missing, cap)
+    return (rounded.join(settled, ["k1", "k2"], "left").withColumn("copies", F.coalesce("settled", "copies"))
+            .drop("settled", "whole", "no"))
 
 
 def op9_source_mix(spark, sf_dir):
