@@ -49,6 +49,14 @@ class HashCache(dict):
         return np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws))
 
 
+_RECENT = HashCache()       # one for each worker process, whatever tasks it runs
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hash of every word of the text, in text order."""
+    return _RECENT.array(words(text))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (xor-shift-multiply)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -3,7 +3,7 @@
 A document's tokens are its distinct 5-word shingles.  Two documents link when
 the Jaccard similarity of their token sets is at least ``PERCENT`` / 100.
 
-1. Equal sets are folded into one representative (smallest id).
+1. Equal sets have one representative.
 2. All tokens have one global order: first by the least document count of a
    shingle's words, so that shingles of boilerplate come last, then by hash.  The
    word counts cover all documents; they live in ``COUNTERS`` hashed counters, so
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsieve.llm.common import HashCache, cut, mix, shingles, table, values, words
+from textsieve.llm.common import cut, mix, shingles, table, values, word_hashes
 from textsieve.llm.graph import component_ids, components
 
 PERCENT = 80
@@ -48,6 +48,7 @@ COUNTERS = 1 << 19
 FREQUENT = 32                 # prefixes that hold a token, from which on it is frequent
 PER_CLASS = 8                 # prefix tokens of a class that a level aims at
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 18, 512
+MARKS = 1 << 23
 _COUNTER_SHIFT = np.uint64(64 - 19)
 _NAME = 0xA5A5A5A5A5A5A5A5
 
@@ -69,38 +70,43 @@ def classes(level: int, percent: int = PERCENT) -> int:
 
 
 def word_counters(texts: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Documents per hashed word: ``COUNTERS`` numbers, whatever the size of the corpus."""
+    """Documents per hashed word, on a logarithmic scale: ``COUNTERS`` numbers, whatever the size of the corpus."""
     def run(batches):
-        cache, total = HashCache(), np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             for text in values(b.column(0)):
                 if text:
-                    total[np.unique(cache.array(words(text)) >> _COUNTER_SHIFT).astype(np.int64)] += 1
+                    at = np.sort(word_hashes(text) >> _COUNTER_SHIFT).astype(np.int64)
+                    total[at] += 1        # a repeated index counts once
         at = np.flatnonzero(total)
         for lo in range(0, len(at), 1 << 16):
             part = at[lo:lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["at", "n"])
 
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(COUNTERS, np.uint16)
     counts = (texts.select(text_col).mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
               .toArrow())                     # at most COUNTERS rows
-    out[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
+    out[counts.column("at").to_numpy()] = (np.log2(1.0 + counts.column("n").to_numpy()) * 1000).astype(np.uint16)
     return out
 
 
-def token_set(text: str | None, cache: HashCache, counters: np.ndarray | None = None):
-    """Distinct shingle hashes; with counters, in the global order."""
-    if not text:
-        return np.empty(0, np.uint64)
-    w = cache.array(words(text))
+def token_set(text: str | None) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    s = np.sort(shingles(word_hashes(text))) if text else np.empty(0, np.uint64)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
+
+def ordered_tokens(text: str, counters: np.ndarray) -> np.ndarray:
+    """The set's tokens in the global order, as numbers that sort so: 16 bits of the least word count of the
+    shingle, then 48 of its hash."""
+    w = word_hashes(text)
     s = shingles(w)
-    if counters is None or len(s) == 0:
-        return np.unique(s)
     c = counters[(w >> _COUNTER_SHIFT).astype(np.int64)]
-    run = len(w) - len(s) + 1
-    least = np.lib.stride_tricks.sliding_window_view(c, run).min(axis=1)
-    s, first = np.unique(s, return_index=True)
-    return s[np.lexsort((s, least[first]))]
+    least = c[:len(s)]
+    for j in range(1, len(w) - len(s) + 1):
+        least = np.minimum(least, c[j:len(s) + j])
+    key = np.sort((least.astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16)))
+    return key[np.concatenate(([True], key[1:] != key[:-1]))]
 
 
 def name_of(s: np.ndarray) -> tuple[int, int]:
@@ -115,17 +121,15 @@ def describe(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     counters = docs.sparkSession.sparkContext.broadcast(word_counters(src))
 
     def run(batches):
-        cache = HashCache()
         for b in batches:
-            n, h1, h2, prefix = [], [], [], []
+            n, names, prefix = [], [], []
             for text in values(b.column(1)):
-                s = token_set(text, cache, counters.value)
+                s = token_set(text)
                 n.append(len(s))
-                name = name_of(s)
-                h1.append(name[0])
-                h2.append(name[1])
+                names.append(name_of(s))
                 longest = may_miss(len(s), percent) + 1 + classes(levels(len(s), percent)[-1], percent) if len(s) > 3 else 0
-                prefix.append(s[:longest].view(np.int64))
+                prefix.append(ordered_tokens(text, counters.value)[:longest].view(np.int64) if longest else [])
+            h1, h2 = zip(*names) if names else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
                  pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "h1", "h2", "prefix"])
@@ -239,28 +243,41 @@ def verify_group(rows: np.ndarray, sides: np.ndarray, copies: np.ndarray, sets:
         yield int(rows[x]), int(rows[find(x)]), int(links[x])
 
 
+def marked(members: DataFrame) -> np.ndarray:
+    """``MARKS`` bits; that of a hashed id is set where a member has the id (or another id with this hash)."""
+    bits = np.zeros(MARKS, bool)
+    bits[members.select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("at")).distinct()
+         .toArrow().column("at").to_numpy()] = True
+    return np.packbits(bits)
+
+
 def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, links) from candidate members (id, row, h1, h2, n, copies, part)."""
-    size = members.groupBy("part").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
+    """(a, b, links) from candidate members (id, row, h1, h2, n, copies, part).
+
+    Sets are made again from the texts, of members only (those without a mark cannot be one), and joined by
+    id and name of the set."""
+    size = members.groupBy("part").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).where("docs > 1")
     blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("docs") / BLOCK_DOCS)).cast("int")
     members = (members.join(size, "part").withColumn("blocks", blocks)
                .withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
                .select("id", "row", "h1", "h2", "copies", "part", "blocks", "block"))
-    found = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(members, "id")
+    marks = docs.sparkSession.sparkContext.broadcast(marked(members))
 
     def sets(batches):
-        cache = HashCache()
         for b in batches:
-            out = []
-            for text, h1, h2 in zip(*(values(b.column(b.schema.get_field_index(c))) for c in ("text", "h1", "h2"))):
-                s = token_set(text, cache)
-                out.append(s.view(np.int64) if name_of(s) == (h1, h2) else None)
-            b = b.drop_columns(["text", "h1", "h2"]).append_column("tokens", pa.array(out, pa.list_(pa.int64())))
-            yield b
-
-    whole = (found.select("text", "h1", "h2", "row", "copies", "part", "blocks", "block")
-             .mapInArrow(sets, "row bigint, copies bigint, part bigint, blocks int, block int, tokens array<bigint>")
-             .where("tokens IS NOT NULL"))
+            at = b.column(2).to_numpy()
+            on = np.flatnonzero((marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            b = b.take(pa.array(on))
+            found = [token_set(t) for t in values(b.column(1))]
+            names = [name_of(s) for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()),
+                 pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "h1", "h2", "tokens"])
+
+    whole = (docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+             .select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("mark"))
+             .mapInArrow(sets, "id bigint, h1 bigint, h2 bigint, tokens array<bigint>")
+             .join(members, ["id", "h1", "h2"]))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = (whole.select("row", "copies", "part", "block", "tokens", other)
              .select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
@@ -298,10 +315,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = cut(describe(docs, id_col, text_col, percent).withColumn("row", F.monotonically_increasing_id()))
     named = rows.where("id IS NOT NULL AND n > 0")
     folded = cut(named.groupBy("h1", "h2", "n").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
-    reps = rows.join(folded.where("n > 3").select(F.col("rep").alias("row"), "copies"), "row")
-    sigs = cut(signatures(reps.select("row", "n", "prefix"), percent))
+    # copies are indexed as well (linear in their number); only representatives are verified
+    sigs = cut(signatures(named.where("n > 3").select("row", "n", "prefix"), percent))
     parts = candidate_components(sigs)
-    members = cut(reps.select("id", "row", "h1", "h2", "n", "copies").join(parts, "row"))
+    members = cut(named.select("id", "row").join(folded.select(F.col("rep").alias("row"), "h1", "h2", "n", "copies"), "row")
+                  .join(parts, "row"))
     verified = cut(verified_links(docs, members, percent, id_col, text_col))
     copies = named.join(folded.where("copies > 1").select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
     links = verified.select("a", "b").unionByName(copies.select(F.col("row").alias("a"), F.col("rep").alias("b")))
