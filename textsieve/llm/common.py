@@ -35,7 +35,7 @@ def words(text: str) -> list[bytes]:
 class HashCache(dict):
     """word -> 64-bit hash; emptied when full, so its memory is bounded."""
 
-    def __init__(self, limit: int = 1 << 19):
+    def __init__(self, limit: int = 1 << 18):
         super().__init__()
         self.limit = limit
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from textsieve.llm.common import cut, table, values
 
 DIM = 1 << 18
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 FOLDS = 3
 PREFIXES = (3, 4, 5)
 PENALTY, WORKING = 0.014, 256      # the penalty is divided by the square root of the rows
@@ -50,7 +50,7 @@ class Slots(dict):
     """word -> slots of the word and of its first characters; emptied when full."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         parts = [word] + [word[:n] + "~" for n in PREFIXES if len(word) >= n]
         slots = self[word] = tuple(xxhash.xxh3_64_intdigest(p) % DIM for p in parts)
@@ -61,28 +61,34 @@ def slots_of(text: str | None, slots: Slots) -> set[int]:
     return set(chain.from_iterable(map(slots.__getitem__, set(_WORD.findall(text.lower()))))) if text else set()
 
 
-def fit_logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, penalty: float = PENALTY,
+def fit_logistic(slots: np.ndarray, lengths: np.ndarray, extra: np.ndarray, y: np.ndarray, penalty: float = PENALTY,
                  rounds: int = 12, passes: int = 10) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """(intercept, slots with weight, their weights, weights of extra); rows hold the slots of each text."""
+    """(intercept, slots with weight, their weights, weights of extra); ``slots`` holds the slots of all texts one
+    after the other, ``lengths`` how many each text has."""
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         floor = 1e-6
         return float(np.log(max(share, floor) / max(1 - share, floor))), np.empty(0, np.int64), np.empty(0), \
             np.zeros(extra.shape[1])
-    n, k = len(rows), extra.shape[1]
+    n, k = len(y), extra.shape[1]
     penalty = penalty / np.sqrt(n)
-    slot = np.concatenate(rows)
+    often = np.bincount(slots, minlength=1)
+    keep = (often >= 3)[slots]                       # rarer words cannot earn their penalty
+    slot = slots[keep].astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)[keep]
     order = np.argsort(slot, kind="stable")
-    used, start = np.unique(slot[order], return_index=True)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])[order]
-    end = np.append(start[1:], len(owner))
+    owner = owner[order]
+    used = np.flatnonzero(often >= 3)
+    end = np.cumsum(often[used])
+    start = end - often[used]
+    del slot, order, keep
     w, base = np.zeros(len(used)), np.zeros(1 + k)
     dense = np.column_stack((np.ones(n), extra))
     base[0] = np.log(share / (1 - share))
     score = dense @ base
     active = np.empty(0, np.int64)
     for _ in range(rounds):
-        slope = np.add.reduceat((probability(score) - y)[owner], start) / n
+        slope = np.add.reduceat((probability(score) - y)[owner], start) / n if len(start) else np.empty(0)
         outside = np.abs(slope) - penalty
         outside[active] = 0
         new = np.argsort(-outside, kind="stable")[:WORKING]
@@ -161,24 +167,29 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         # jobs 0 to folds - 1 leave that fold out, the last one fits all rows
         jobs = data.withColumn("job", F.explode(F.sequence(F.lit(0), F.lit(folds))))
 
-        def fit(key, frame):
-            job = key[0]
-            frame = frame.sort_values("id")          # sums in one order: reruns agree
-            train = (frame["fold"] != job) & frame["y"].notna()
-            extra = frame[known].to_numpy(np.float64).reshape(len(frame), len(known))
-            own = [np.asarray(s, np.int64) for s in frame["slots"]]
-            b, at, w, e = fit_logistic([s for s, t in zip(own, train) if t], extra[train], frame["y"][train].to_numpy())
-            out = [(job, -1, b), *((job, -2 - j, x) for j, x in enumerate(e)), *zip([job] * len(at), at.tolist(), w.tolist())]
-            if job < folds:                          # out-of-fold probabilities: kind is the id, far below any slot
+        known_columns = tuple(known)
+
+        def fit(key, table):
+            job = key[0].as_py()
+            table = table.sort_by("id").combine_chunks()          # sums in one order: reruns agree
+            ids, fold, y = (table.column(c).to_numpy() for c in ("id", "fold", "y"))
+            extra = np.column_stack([np.empty((len(ids), 0))] + [table.column(c).to_numpy() for c in known_columns])
+            column = table.column("slots").combine_chunks()
+            flat, ends = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+            train = (fold != job) & ~np.isnan(y)
+            b, at, w, e = fit_logistic(flat[np.repeat(train, ends)], ends[train], extra[train], y[train])
+            if job == folds:
+                rows = [(-1, b), *((-2 - j, x) for j, x in enumerate(e)), *zip(at.tolist(), w.tolist())]
+            else:                                    # out-of-fold probabilities of the fold's documents
                 dense = np.zeros(DIM)
                 dense[at] = w
-                out = []
-                for row in np.flatnonzero(frame["fold"] == job):
-                    s = b + dense[own[row]].sum() + extra[row] @ e
-                    out.append((job, int(frame["id"].iloc[row]), float(probability(np.array(s)))))
-            return _frame(out)
+                own = np.repeat(np.arange(len(ids)), ends)
+                s = b + np.bincount(own, dense[flat], minlength=len(ids)) + extra @ e
+                rows = [(int(ids[r]), float(p)) for r, p in zip(np.flatnonzero(fold == job), probability(s[fold == job]))]
+            return pa.table({"job": pa.array([job] * len(rows), pa.int32()), "k": pa.array([r[0] for r in rows], pa.int64()),
+                             "v": pa.array([float(r[1]) for r in rows], pa.float64())})
 
-        fitted = cut(jobs.groupBy("job").applyInPandas(fit, "job int, k bigint, v double"))
+        fitted = cut(jobs.groupBy("job").applyInArrow(fit, "job int, k bigint, v double"))
         weights = {r.k: r.v for r in fitted.where(F.col("job") == folds).collect()}
         links.append(Link(name, weights.pop(-1, float(np.log(1e-6))), {k: v for k, v in weights.items() if k >= 0},
                           [weights.get(-2 - j, 0.0) for j in range(i)]))
@@ -188,11 +199,6 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     return links
 
 
-def _frame(rows):
-    import pandas as pd
-    return pd.DataFrame(rows, columns=["job", "k", "v"])
-
-
 def predict_chain(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col: str = "text",
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of ``keep``, and p_<category> for every category of the chain."""

@@ -81,7 +81,7 @@ class _Recent(dict):
 
 
 class BytePairCoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, cache: int = 1 << 20,
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, cache: int = 1 << 19,
                  longest_cached: int = 48):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
