@@ -170,10 +170,8 @@ EDUCATIONAL_FACTOR = 0.3
 
 # FIXED VALUES — prompt detector signal weights and evidence concepts.
 FUZZY_THRESHOLD = 0.82
-FUZZY_MAX_WORDS = 300
 SEMANTIC_HIGH_PROB, SEMANTIC_MED_PROB = 0.8, 0.6
 SEMANTIC_HIGH_WEIGHT, SEMANTIC_MED_WEIGHT = 40, 20
-SEMANTIC_MAX_CHARS = 2000
 
 # FIXED VALUES — document-injection signatures: (id, severity, pattern, flags).
 RAG_SIGNATURES = [
@@ -230,7 +228,6 @@ TRUSTED_DOCUMENT_IDS = ["owasp-llm-top10", "internal-security-docs", "internal-s
                         "training-dataset-injection-examples"]
 TRUSTED_ID_SUBSTRINGS = ["owasp", "internal-security", "training-dataset"]
 PRINTABLE_RATIO_THRESHOLD = 0.85
-DECODE_MAX_DEPTH = 2
 SEMANTIC_SIMILARITY_THRESHOLD = 0.85
 CHUNK_SPLIT = r"(?<=[.!?])\s+|\n+"
 CANONICAL_INJECTION_TEMPLATES = [
@@ -258,7 +255,6 @@ EMAIL = (r"\b[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?"
          r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+\b")        # IGNORECASE
 EMAIL_CONFIDENCE = 0.9
 PHONE_CONFIDENCE = 0.95
-MAX_SCAN_CHARS = 50000
 NER_MIN_CONFIDENCE = 0.40
 PII_MAX_SCORE = 100
 PII_DEFAULT_SCORE = 20

@@ -3,7 +3,7 @@
 The pluggable model slot is filled with a Spark ML pipeline (regex tokenizer,
 hashed term frequencies, logistic regression) trained on a labelled table; any
 other scorer can supply the same probability column instead.  Scoring runs on
-the normalized text cut at 2 000 characters; a missing text gives a null
+the whole normalized text; a missing text gives a null
 probability, which adds no signal (the fail-soft rule).
 """
 from __future__ import annotations
@@ -20,7 +20,7 @@ from textsieve.functions import patterns as P
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
           num_features: int = 1 << 18, max_iter: int = 20) -> PipelineModel:
-    data = labelled.select(F.substring(F.lower(F.col(text_col)), 1, P.SEMANTIC_MAX_CHARS).alias("_t"),
+    data = labelled.select(F.lower(F.col(text_col)).alias("_t"),
                            F.col(label_col).cast("double").alias("_label"))
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol="_t", outputCol="_tok", pattern="\\W+", toLowercase=True),
@@ -31,7 +31,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
 
 
 def score(model: PipelineModel, df: DataFrame, text_col: str, out_col: str = "p_injection") -> DataFrame:
-    t = F.substring(F.col(text_col), 1, P.SEMANTIC_MAX_CHARS)
+    t = F.col(text_col)
     scored = model.transform(df.withColumn("_t", t))
     prob = F.when(F.col("_t").isNotNull() & (F.col("_t") != ""),
                   vector_to_array(F.col("probability"))[1])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textsieve.functions import dialect as D
+from textsieve.functions.barrier import computed_once
 from textsieve.functions import patterns as P
 from textsieve.functions.merge import merge_overlaps, redact, span_list_repr
 from textsieve.functions.spans import SPAN_TYPE, regex_spans, regex_spans_sql, sql_literal
@@ -20,14 +21,17 @@ FINDING_DDL = "struct<start:int,ord:int,end:int,type:string,confidence:double>"
 
 # Own finder set.  The e-mail pattern is a fixed value; the others re-aim the
 # phone library and the NER pattern recognizers as plain regexes (documented in
-# README): (type, python-syntax regex, flags, confidence, capped at scan limit).
-PHONE = (r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|\b[0-9]{2,4}[ .-])"
-         r"[0-9]{3,4}[ .-][0-9]{4}\b")
-CREDIT_CARD = r"\b[0-9]{13,19}\b"
+# README): (type, python-syntax regex, flags, confidence).
+PHONE = (r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}\b"
+         r"|(?:\([0-9]{2,4}\)[ .-]?|\b[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}\b"
+         r"|\b[2-9][0-9]{2}[2-9][0-9]{6}\b")
+CREDIT_CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
+CARD_CONFIDENCE = 0.97          # a Luhn hit outranks a phone number inside it
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 IBAN = r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"
-CRYPTO = r"\b0x[0-9a-fA-F]{40}\b"
+CRYPTO = (r"\b0x[0-9a-fA-F]{40}\b|\bbc1[ac-hj-np-z02-9]{11,71}\b"
+          r"|\b[13][1-9A-HJ-NP-Za-km-z]{25,34}\b")
 SECRETS = [
     ("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b"),
@@ -38,67 +42,34 @@ SECRETS = [
     ("ssh_key", r"\bssh-(?:rsa|ed25519|dss) [A-Za-z0-9+/]{40,}={0,2}"),
     ("jwt_token", r"\beyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}"),
     ("mac_address", r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b"),
-    ("ipv6", r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"),
+    ("ipv6", r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"
+             r"|\b[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?\b"),
 ]
 
 FINDERS = [
-    # type, regex, flags, confidence, capped
-    ("email", P.EMAIL, "I", P.EMAIL_CONFIDENCE, False),
-    ("phone", PHONE, "", P.PHONE_CONFIDENCE, True),
-    ("credit_card", CREDIT_CARD, "", 0.9, True),
-    ("ssn", SSN, "", 0.85, True),
-    ("ip_address", IPV4, "", 0.85, True),
-    ("iban", IBAN, "", 0.85, True),
-    ("crypto_wallet", CRYPTO, "", 0.8, True),
-] + [(t, p, "", 0.9, False) for t, p in SECRETS]
+    # type, regex, flags, confidence
+    ("email", P.EMAIL, "I", P.EMAIL_CONFIDENCE),
+    ("phone", PHONE, "", P.PHONE_CONFIDENCE),
+    ("credit_card", CREDIT_CARD, "", CARD_CONFIDENCE),
+    ("ssn", SSN, "", 0.85),
+    ("ip_address", IPV4, "", 0.85),
+    ("iban", IBAN, "", 0.85),
+    ("crypto_wallet", CRYPTO, "", 0.8),
+] + [(t, p, "", 0.9) for t, p in SECRETS]
 
 # cheap literal guards: a row is only regex-scanned when its guard holds
-_GUARDS = {
-    "email": lambda t: t.contains("@"),
-    "phone": lambda t: t.rlike("[0-9]{4}"),
-    "credit_card": lambda t: t.rlike("[0-9]{13}"),
-    "ssn": lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"),
-    "ip_address": lambda t: t.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]"),
-    "iban": lambda t: t.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"),
-    "crypto_wallet": lambda t: t.contains("0x"),
-}
-
-
-def _validator(ptype: str, m: Column) -> Column | None:
-    if ptype == "phone":
-        nd = F.length(F.regexp_replace(m, "[^0-9]", ""))
-        return (nd >= 7) & (nd <= 15)
-    if ptype == "credit_card":
-        return F.call_function("luhn_check", m)
-    if ptype == "ssn":
-        area, group, serial = m.substr(1, 3), m.substr(5, 2), m.substr(8, 4)
-        return ((area != "000") & (area != "666") & ~area.startswith("9")
-                & (group != "00") & (serial != "0000"))
-    if ptype == "ip_address":
-        octs = F.split(m, r"\.")
-        return F.forall(octs, lambda o: o.cast("int") <= 255)
-    if ptype == "iban":
-        moved = F.concat(m.substr(5, 64), m.substr(1, 4))
-        digits = F.array_join(F.transform(F.split(moved, ""), lambda c: F.when(
-            c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
-        rem = F.aggregate(F.split(digits, ""), F.lit(0),
-                          lambda acc, d: (acc * 10 + d.cast("int")) % 97)
-        return rem == 1
-    return None
-
-
 _GUARDS_SQL = {
     "email": "contains({t}, '@')",
     "phone": "{t} RLIKE '[0-9]{{4}}'",
-    "credit_card": "{t} RLIKE '[0-9]{{13}}'",
+    "credit_card": "{t} RLIKE '[0-9](?:[ -]?[0-9]){{12}}'",
     "ssn": "{t} RLIKE '[0-9]-[0-9]{{2}}-[0-9]'",
     "ip_address": "{t} RLIKE r'[0-9]\\.[0-9]{{1,3}}\\.[0-9]'",
     "iban": "{t} RLIKE '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11}}'",
-    "crypto_wallet": "contains({t}, '0x')",
+    "crypto_wallet": "{t} RLIKE '0x|bc1|[13][1-9A-HJ-NP-Za-km-z]{{25}}'",
 }
 _VALIDATORS_SQL = {
     "phone": "length(regexp_replace(m, '[^0-9]', '')) BETWEEN 7 AND 15",
-    "credit_card": "luhn_check(m)",
+    "credit_card": "luhn_check(regexp_replace(m, '[ -]', ''))",
     "ssn": ("substring(m, 1, 3) NOT IN ('000', '666') AND NOT startswith(substring(m, 1, 3), '9') "
             "AND substring(m, 5, 2) <> '00' AND substring(m, 8, 4) <> '0000'"),
     "ip_address": "forall(split(m, r'\\.'), o -> CAST(o AS INT) <= 255)",
@@ -108,19 +79,17 @@ _VALIDATORS_SQL = {
 }
 
 
-def pii_findings_sql(text_col: str, finders=None) -> Column:
-    """:func:`pii_findings` over a column name, built as one SQL expression
-    (one parse instead of hundreds of driver round trips)."""
+def pii_findings(text_col: str, finders=None) -> Column:
+    """array<FINDING_DDL> of the raw findings of a column in generation order (before merge), built as one
+    SQL expression (one parse instead of hundreds of driver round trips)."""
     finders = finders or FINDERS
     t = f"`{text_col}`"
-    capped = f"substring({t}, 1, {P.MAX_SCAN_CHARS})"
     empty = f"CAST(array() AS {SPAN_TYPE})"
     parts = []
-    for ord_, (ptype, pat, flags, conf, is_capped) in enumerate(finders):
-        src = capped if is_capped else t
+    for ord_, (ptype, pat, flags, conf) in enumerate(finders):
         jp = D.java(pat, flags)
-        guard = _GUARDS_SQL.get(ptype, "TRUE").format(t=src)
-        spans = f"CASE WHEN ({guard}) AND {src} RLIKE {sql_literal(jp)} THEN {regex_spans_sql(src, jp)} ELSE {empty} END"
+        guard = _GUARDS_SQL.get(ptype, "TRUE").format(t=t)
+        spans = f"CASE WHEN ({guard}) AND {t} RLIKE {sql_literal(jp)} THEN {regex_spans_sql(t, jp)} ELSE {empty} END"
         val = _VALIDATORS_SQL.get(ptype)
         if val is not None:
             m = f"substring({t}, s.start + 1, s.end - s.start)"
@@ -136,64 +105,39 @@ def _with_m(val: str, m: str) -> str:
     return _re.sub(r"\bm\b", lambda _x: m, val)
 
 
-def pii_findings(text: Column, finders=None) -> Column:
-    """array<FINDING_DDL> of raw findings in generation order (before merge)."""
-    finders = finders or FINDERS
-    capped = text.substr(1, P.MAX_SCAN_CHARS)
-    parts = []
-    for ord_, (ptype, pat, flags, conf, is_capped) in enumerate(finders):
-        src = capped if is_capped else text
-        jp = D.java(pat, flags)
-        guard = _GUARDS.get(ptype, lambda t: F.lit(True))(src)
-        spans = F.when(guard & src.rlike(jp), regex_spans(src, jp)).otherwise(
-            F.array().cast(SPAN_TYPE))
-        val = _validator(ptype, F.lit("x"))
-        if val is not None:
-            spans = F.filter(spans, _keep(ptype, text))
-        parts.append(F.transform(spans, _as_finding(ord_, ptype, conf)))
-    return F.flatten(F.array(*parts))
-
-
-def _keep(ptype, text):
-    return lambda s: _validator(ptype, text.substr(s["start"] + 1, s["end"] - s["start"]))
-
-
-def _as_finding(ord_, ptype, conf):
-    return lambda s: F.struct(
-        s["start"].alias("start"), F.lit(ord_).alias("ord"), s["end"].alias("end"),
-        F.lit(ptype).alias("type"), F.lit(conf).cast("double").alias("confidence"))
-
-
 def _lookup(pairs, key: Column, default) -> Column:
     m = F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.element_at(m, key), default)
 
 
-def pii_token(ptype: Column) -> Column:
-    return _lookup(P.PII_TOKENS, ptype, F.concat(F.lit("[REDACTED_"), F.upper(ptype), F.lit("]")))
+def pii_token(ptype: Column, overrides: dict[str, str] | None = None) -> Column:
+    tokens = {**dict(P.PII_TOKENS), **(overrides or {})}
+    return _lookup(tokens.items(), ptype, F.concat(F.lit("[REDACTED_"), F.upper(ptype), F.lit("]")))
 
 
 def pii_weight(ptype: Column) -> Column:
     return _lookup(P.PII_WEIGHTS, ptype, F.lit(P.PII_UNKNOWN_TYPE_WEIGHT))
 
 
-def pii_scan(df: DataFrame, text_col: str = "text", extra_findings: str | None = None) -> DataFrame:
+def pii_scan(df: DataFrame, text_col: str = "text", extra_findings: str | None = None,
+             tokens: dict[str, str] | None = None) -> DataFrame:
     """Adds ``pii`` struct: matched, score, evidence, sanitized_text, merged findings.
 
     ``extra_findings``: optional column of external model findings (D5) in
-    FINDING_DDL shape, merged with the regex findings.
+    FINDING_DDL shape, merged with the regex findings.  ``tokens``: replacement
+    per type, over the default ones.
     """
     t = F.col(text_col)
-    raw = pii_findings_sql(text_col)
+    raw = pii_findings(text_col)
     if extra_findings:
         raw = F.concat(raw, F.col(extra_findings))
-    out = df.withColumn("_pii_raw", raw)
-    out = out.withColumn("_pii_merged", merge_overlaps(F.col("_pii_raw"), FINDING_DDL, "confidence"))
+    out = df.withColumn("_pii_raw", computed_once(raw))
+    out = out.withColumn("_pii_merged", computed_once(merge_overlaps(F.col("_pii_raw"), FINDING_DDL, "confidence")))
     merged = F.col("_pii_merged")
     types = F.array_sort(F.array_distinct(F.transform(merged, lambda m: m["type"])))
     per_type = F.transform(types, lambda ty: F.struct(
         ty.alias("type"), F.filter(merged, lambda m: m["type"] == ty).alias("fs")))
-    out = out.withColumn("_pii_types", per_type)
+    out = out.withColumn("_pii_types", computed_once(per_type))
     pt = F.col("_pii_types")
     score = F.least(F.lit(P.PII_MAX_SCORE), F.aggregate(
         F.transform(pt, lambda x: pii_weight(x["type"]) + F.least(F.size(x["fs"]) - 1, F.lit(4))
@@ -209,22 +153,22 @@ def pii_scan(df: DataFrame, text_col: str = "text", extra_findings: str | None =
             F.when(score == 0, P.PII_DEFAULT_SCORE).otherwise(score)).cast("int").alias("score"),
         F.when(empty | ~matched, F.array().cast("array<string>")).otherwise(evidence).alias("evidence"),
         F.when(empty, F.coalesce(t, F.lit(""))).otherwise(
-            redact(t, merged, lambda m: pii_token(m["type"]))).alias("sanitized_text"),
+            redact(t, merged, lambda m: pii_token(m["type"], tokens))).alias("sanitized_text"),
         merged.alias("findings"),
     )
-    return out.withColumn("pii", result).drop("_pii_raw", "_pii_merged", "_pii_types")
+    return out.withColumn("pii", computed_once(result)).drop("_pii_raw", "_pii_merged", "_pii_types")
 
 
 def external_findings(entities: DataFrame, key: str = "doc_id") -> DataFrame:
     """Model entities (key, entity_type, start, end, score) -> findings.
 
     Keeps allow-listed entity types renamed by the entity map, drops scores
-    under the confidence floor and entities past the scan cap.  The entity map
+    under the confidence floor.  The entity map
     is a fixed 30-row table, broadcast by construction."""
     spark = entities.sparkSession
     emap = spark.createDataFrame(P.ENTITY_MAP, "entity_type string, type string")
     return (entities.join(F.broadcast(emap), "entity_type")
-            .where((F.col("score") >= P.NER_MIN_CONFIDENCE) & (F.col("end") <= P.MAX_SCAN_CHARS))
+            .where(F.col("score") >= P.NER_MIN_CONFIDENCE)
             .select(key, "type", "start", "end", F.col("score").cast("double").alias("confidence")))
 
 

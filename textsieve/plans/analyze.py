@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textsieve.functions import patterns as P
+from textsieve.functions.barrier import computed_once
 from textsieve.operators import pii as PII
 from textsieve.operators import policy as POL
 from textsieve.operators import prompt as PR
@@ -136,7 +137,7 @@ def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphra
     prompt_sanitized = F.coalesce(F.try_element_at(F.filter(
         F.col("_presults"), lambda r: r["sanitized_text"].isNotNull()), F.lit(-1))["sanitized_text"], F.col("prompt"))
     # grouped projections: every withColumn re-analyzes the whole (large) plan
-    p = p.withColumns({"risk_score": score, "risk_tags": tags, "reasons": reasons,
+    p = p.withColumns({"risk_score": computed_once(score), "risk_tags": computed_once(tags), "reasons": reasons,
                        "sanitized_prompt": prompt_sanitized,
                        "n_docs": F.coalesce(F.col("n_docs"), F.lit(0)).cast("long")})
     p = p.withColumn("compound_action", POL.compound_action(F.col("risk_tags")))

@@ -5,6 +5,8 @@ lambdas, merge by window gaps-and-islands, redaction by ordered string_agg.
 """
 from __future__ import annotations
 
+import re
+
 from textsieve.functions import dialect as D
 from textsieve.functions import patterns as P
 from textsieve.functions.spans import oracle_spans_sql
@@ -22,7 +24,7 @@ _IBAN = ("(list_reduce(list_transform(string_split("
          "'string_agg', ''), ''), lambda d: CAST(d AS INTEGER)), lambda a, b: (a * 10 + b) % 97, 0) = 1)")
 _VALIDATORS = {
     "phone": "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 7 AND 15",
-    "credit_card": _LUHN,
+    "credit_card": re.sub(r"\bm\b", "regexp_replace(m, '[ -]', '', 'g')", _LUHN),
     "ssn": ("substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 1, 1) <> '9' "
             "AND substr(m, 5, 2) <> '00' AND substr(m, 8, 4) <> '0000'"),
     "ip_address": "list_bool_and(list_transform(string_split(m, '.'), lambda o: CAST(o AS INTEGER) <= 255))",
@@ -33,9 +35,8 @@ _VALIDATORS = {
 def findings_cte(source: str = "seeded_docs", key: str = "doc_id", text: str = "text") -> str:
     """CTE body ``raw_findings(key, start_pos, end_pos, ord, type, confidence)``."""
     parts = []
-    for ord_, (ptype, pat, flags, conf, capped) in enumerate(FINDERS):
-        src = f"substr({text}, 1, {P.MAX_SCAN_CHARS})" if capped else text
-        spans = oracle_spans_sql(D.re2_word_view(src), D.re2(pat, flags))
+    for ord_, (ptype, pat, flags, conf) in enumerate(FINDERS):
+        spans = oracle_spans_sql(D.re2_word_view(text), D.re2(pat, flags))
         val = _VALIDATORS.get(ptype, "TRUE")
         parts.append(
             f"SELECT {key}, start_pos, end_pos, {ord_} AS ord, "
@@ -78,7 +79,7 @@ doc_redact AS (SELECT t.{key}, string_agg(substr(d.{text}, t.cut + 1, t.start_po
 def pii_sql() -> dict[str, str]:
     pre = cte_prefix("seeded_docs").rstrip() + ",\n" + merged_ctes()
     sp1_parts = []
-    for ord_, (ptype, pat, flags, conf, capped) in enumerate(FINDERS[:5]):
+    for ord_, (ptype, pat, flags, conf) in enumerate(FINDERS[:5]):
         if ptype in ("email", "ip_address", "credit_card"):
             spans = oracle_spans_sql(D.re2_word_view("text"), D.re2(pat, flags))
             sp1_parts.append(f"SELECT doc_id, '{ptype}' AS pattern_id, s.start AS start_pos, s.\"end\" AS end_pos "
@@ -91,7 +92,7 @@ def pii_sql() -> dict[str, str]:
     emap = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.ENTITY_MAP)
     ext = pre + f"""SELECT doc_id, etype AS type, CAST(start_pos AS BIGINT) AS start_pos, CAST(end_pos AS BIGINT) AS end_pos,
         confidence FROM (SELECT *, CASE (CASE type {names} ELSE upper(type) END) {emap} END AS etype FROM raw_findings)
-        WHERE etype IS NOT NULL AND confidence >= {P.NER_MIN_CONFIDENCE} AND end_pos <= {P.MAX_SCAN_CHARS}"""
+        WHERE etype IS NOT NULL AND confidence >= {P.NER_MIN_CONFIDENCE}"""
     return {
         "external_findings": ext,
         "regex_spans": sp1,

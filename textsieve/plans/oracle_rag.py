@@ -336,6 +336,11 @@ def rag_sql() -> dict[str, str]:
             CASE WHEN hit THEN decision ELSE 'allow' END AS decision,
             round(CASE WHEN hit THEN conf ELSE 0.0 END, 6) AS confidence,
             CASE WHEN hit THEN {evidence} ELSE '' END AS evidence, sanitized_text FROM res""",
+        "rag_decision_counts": base + """SELECT CASE WHEN hit THEN decision ELSE 'allow' END AS decision,
+            count(*) AS n_docs, CAST(sum(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60
+            ELSE score0 END) AS BIGINT) AS sum_score FROM res GROUP BY 1""",
+        "rag_blocked": base + """SELECT k AS doc_id, decision, sanitized_text FROM res
+            WHERE hit AND decision <> 'allow'""",
         "page_rules": base_ctes(src="pages", key="page_id", text="html") + f"""SELECT k AS page_id,
             hit AND decision <> 'allow' AS matched,
             CAST(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60 ELSE score0 END AS BIGINT) AS score,

@@ -25,7 +25,7 @@ def _scanned(spark, sf_dir) -> DataFrame:
 
 def _raw(spark, sf_dir) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return (explode_rows(d, ["doc_id"], pii.pii_findings(F.col("text")), "f")
+    return (explode_rows(d, ["doc_id"], pii.pii_findings("text"), "f")
             .select("doc_id", F.col("f.start").alias("start_pos"), F.col("f.end").alias("end_pos"),
                     F.col("f.type").alias("type"), F.col("f.confidence").alias("confidence")))
 
@@ -33,7 +33,7 @@ def _raw(spark, sf_dir) -> DataFrame:
 def regex_spans_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
     arrs = []
-    for ptype, pat, flags, _c, _cap in pii.FINDERS:
+    for ptype, pat, flags, _c in pii.FINDERS:
         if ptype in ("email", "ip_address", "credit_card"):
             arrs.append(_tag(regex_spans(F.col("text"), D.java(pat, flags)), ptype))
     return explode_rows(d, ["doc_id"], F.flatten(F.array(*arrs)), "s").select("doc_id", "s.*")

@@ -176,6 +176,19 @@ def rag_rules(spark, sf_dir):
     return _flat(s)
 
 
+def rag_decision_counts(spark, sf_dir):
+    """Documents per decision of the rule scan (an aggregate straight on the scan's output)."""
+    return (_scanned(spark, sf_dir).groupBy(F.col("rag_injection.decision").alias("decision"))
+            .agg(F.count("*").alias("n_docs"), F.sum("rag_injection.score").cast("long").alias("sum_score")))
+
+
+def rag_blocked(spark, sf_dir):
+    """Documents that the rule scan does not allow (a filter straight on the scan's output)."""
+    return (_scanned(spark, sf_dir).where("rag_injection.matched")
+            .select("doc_id", F.col("rag_injection.decision").alias("decision"),
+                    F.col("rag_injection.sanitized_text").alias("sanitized_text")))
+
+
 def rag_scan_q(spark, sf_dir):
     """Whole document scan with template similarity and the allow-list on."""
     s = _scanned(spark, sf_dir, similarity=True, trusted=True)
@@ -220,5 +233,7 @@ QUERIES = {
     "confidence": confidence_q,
     "doc_decision": doc_decision,
     "rag_rules": rag_rules,
+    "rag_decision_counts": rag_decision_counts,
+    "rag_blocked": rag_blocked,
     "rag_scan": rag_scan_q,
 }

@@ -35,11 +35,13 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, rebalance: int =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is only filled in here when it is
-    unset (local tests), with a fresh private temporary folder.
+    A cluster names a shared folder there.  Only a local master, as in tests, may
+    leave it unset and gets a fresh private temporary folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="textsieve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

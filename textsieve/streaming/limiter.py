@@ -129,7 +129,8 @@ def limit_batch(batch: DataFrame, tail: DataFrame | None, app_limit: int, app_wi
     verdicts = v.where("_new").select("event_id", "app_id", "user_id", "app_count", "app_ok", "user_count", "user_ok")
     horizon = max(app_window_s, user_window_s) * 1_000_000
     last = batch.agg(F.max("ts_us")).first()[0]          # one scalar per micro-batch
-    keep = F.lit(True) if last is None else F.col("ts_us") > F.lit(last - horizon)
+    since = F.lit(None if last is None else last - horizon)
+    keep = F.lit(True) if last is None else (F.col("ts_us") >= since if inclusive else F.col("ts_us") > since)
     nxt = v.where(keep).select("event_id", "app_id", "user_id", "ts_us", "app_ok", "user_logged")
     return verdicts, nxt
 
@@ -149,7 +150,7 @@ def run_limiter_stream_batched(spark: SparkSession, events_dir: str, app_limit:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         prev = os.path.join(tail_dir, f"b{batch_id - 1}")
-        tail = batch.sparkSession.read.parquet(prev) if batch_id > 0 and os.path.exists(prev) else None
+        tail = batch.sparkSession.read.parquet(prev) if batch_id > 0 else None      # a lost tail must fail
         verdicts, nxt = limit_batch(batch, tail, app_limit, app_window_s, user_limit, user_window_s, inclusive)
         nxt.write.mode("overwrite").parquet(os.path.join(tail_dir, f"b{batch_id}"))
         verdicts.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
