@@ -254,8 +254,8 @@ def marked(members: DataFrame) -> np.ndarray:
 def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b, links) from candidate members (id, row, h1, h2, n, copies, part).
 
-    Sets are made again from the texts, of members only (those without a mark cannot be one), and joined by
-    id and name of the set."""
+    What is shuffled is the texts of members (a text without a mark is none), which are smaller than their sets;
+    the sets are made again in the group that compares them."""
     size = members.groupBy("part").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).where("docs > 1")
     blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("docs") / BLOCK_DOCS)).cast("int")
     members = (members.join(size, "part").withColumn("blocks", blocks)
@@ -263,25 +263,19 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: st
                .select("id", "row", "h1", "h2", "copies", "part", "blocks", "block"))
     marks = docs.sparkSession.sparkContext.broadcast(marked(members))
 
-    def sets(batches):
+    def pick(batches):
         for b in batches:
             at = b.column(2).to_numpy()
             on = np.flatnonzero((marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-            b = b.take(pa.array(on))
-            found = [token_set(t) for t in values(b.column(1))]
-            names = [name_of(s) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()),
-                 pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "h1", "h2", "tokens"])
+            yield b.select([0, 1]).take(pa.array(on))
 
     whole = (docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
              .select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("mark"))
-             .mapInArrow(sets, "id bigint, h1 bigint, h2 bigint, tokens array<bigint>")
-             .join(members, ["id", "h1", "h2"]))
+             .mapInArrow(pick, "id bigint, text string").join(members, "id"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = (whole.select("row", "copies", "part", "block", "tokens", other)
+    dealt = (whole.select("row", "copies", "part", "block", "h1", "h2", "text", other)
              .select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                     F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "copies", "tokens"))
+                     F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "copies", "h1", "h2", "text"))
     dealt = dealt.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
 
     def verify(batches):
@@ -302,8 +296,9 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: st
                     if group and (out := flush(group)) is not None:
                         yield out
                     key, group = k, []
-                group.append((b.column(4)[i].as_py(), b.column(3)[i].as_py(), b.column(5)[i].as_py(),
-                              b.column(6)[i].values.to_numpy().view(np.uint64).copy()))
+                s = token_set(b.column(8)[i].as_py())
+                if name_of(s) == (b.column(6)[i].as_py(), b.column(7)[i].as_py()):      # else another row with this id
+                    group.append((b.column(4)[i].as_py(), b.column(3)[i].as_py(), b.column(5)[i].as_py(), s))
         if group and (out := flush(group)) is not None:
             yield out
 
