@@ -1,4 +1,4 @@
-"""Merge/redact invariants on real documents and against a plain fold."""
+"""Merge/redact invariants on real documents and random spans."""
 import random
 import re
 
@@ -13,20 +13,8 @@ from textsieve.sources.tables import seeded
 DDL = "struct<start:int,ord:int,end:int,type:string,confidence:double>"
 
 
-def _fold(fs):
-    fs = sorted(fs, key=lambda f: (f[0], f[1]))
-    out = []
-    for f in fs:
-        if out and f[0] < out[-1][2]:
-            last = out[-1]
-            win = last if last[4] >= f[4] else f
-            out[-1] = (last[0], last[1], max(last[2], f[2]), win[3], win[4])
-        else:
-            out.append(f)
-    return out
-
-
-def test_merge_matches_fold(spark):
+def test_merge_is_the_union_of_intervals(spark):
+    """Merged spans cover the same positions, do not overlap, and carry the best confidence of what they hold."""
     rnd = random.Random(7)
     rows = []
     for k in range(300):
@@ -36,11 +24,15 @@ def test_merge_matches_fold(spark):
             fs.append((s, o, s + rnd.randint(1, 15), rnd.choice("abc"), rnd.choice([0.5, 0.9, 0.95])))
         rows.append((k, fs))
     df = spark.createDataFrame(rows, f"k int, fs array<{DDL}>")
-    got = {r.k: [(m.start, m.ord, m.end, m.type, m.confidence) for m in r.m]
-           for r in df.select("k", merge_overlaps(F.col("fs"), DDL, "confidence").alias("m")).collect()}
+    got = {r.k: r.m for r in df.select("k", merge_overlaps(F.col("fs"), DDL, "confidence").alias("m")).collect()}
     for k, fs in rows:
-        exp = _fold(fs)
-        assert [(a, c, d) for a, _b, c, d, _e in got[k]] == [(a, c, d) for a, _b, c, d, _e in exp], k
+        held = [[f for f in fs if m.start <= f[0] and f[2] <= m.end] for m in got[k]]
+        assert sorted(f for h in held for f in h) == sorted(fs)                       # each finding in one span
+        assert {p for f in fs for p in range(f[0], f[2])} == {p for m in got[k] for p in range(m.start, m.end)}
+        for m, h in zip(got[k], held):
+            best = max(f[4] for f in h)
+            assert m.confidence == best
+            assert m.type == min((f for f in h if f[4] == best), key=lambda f: (f[0], f[1]))[3]
 
 
 def test_redacted_documents_keep_no_email(spark):

@@ -60,7 +60,7 @@ FINDERS = [
 # cheap literal guards: a row is only regex-scanned when its guard holds
 _GUARDS_SQL = {
     "email": "contains({t}, '@')",
-    "phone": "{t} RLIKE '[0-9]{{4}}'",
+    "phone": "{t} RLIKE '[0-9]{{4}}|[+][0-9]'",
     "credit_card": "{t} RLIKE '[0-9](?:[ -]?[0-9]){{12}}'",
     "ssn": "{t} RLIKE '[0-9]-[0-9]{{2}}-[0-9]'",
     "ip_address": "{t} RLIKE r'[0-9]\\.[0-9]{{1,3}}\\.[0-9]'",
