@@ -48,7 +48,7 @@ COUNTERS = 1 << 19
 FREQUENT = 32                 # prefixes that hold a token, from which on it is frequent
 PER_CLASS = 8                 # prefix tokens of a class that a level aims at
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 18, 512
-MARKS = 1 << 23
+MARKS, MARK_BITS = 1 << 23, 26
 _COUNTER_SHIFT = np.uint64(64 - 19)
 _NAME = 0xA5A5A5A5A5A5A5A5
 
@@ -161,11 +161,38 @@ def signatures_of(n: int, places: np.ndarray, tokens: np.ndarray, frequent: np.n
     return np.unique(np.concatenate(out))
 
 
+def shared_marks(shared: DataFrame) -> np.ndarray:
+    """A bit for each value of the lowest ``MARK_BITS`` of a token, set where a shared token has it."""
+    at = F.col("token").bitwiseAND(F.lit((1 << MARK_BITS) - 1)) + 1
+    parts = (shared.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+             .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow())     # 4 kB for 32,768 marks
+    out = np.zeros(1 << MARK_BITS >> 3, np.uint8)
+    for bucket, bits in zip(parts.column("bucket").to_pylist(), parts.column("bits").to_pylist()):
+        out[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
 def signatures(prefixes: DataFrame, percent: int) -> DataFrame:
     """(sig, row) for prefixes (row, n, prefix)."""
-    tokens = prefixes.select("row", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c >= 2") \
-        .select("token", (F.col("c") >= FREQUENT).alias("frequent"))
+    shared = cut(prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+                 .where("c >= 2").select("token", (F.col("c") >= FREQUENT).alias("frequent")))
+    marks = prefixes.sparkSession.sparkContext.broadcast(shared_marks(shared))
+
+    def possible(batches):
+        """Tokens with a mark; all that are shared have one."""
+        for b in batches:
+            prefix = b.column(2)
+            size = prefix.value_lengths().to_numpy()
+            token = prefix.flatten().to_numpy()
+            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            at = token & ((1 << MARK_BITS) - 1)
+            on = np.flatnonzero((marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            owner = np.repeat(np.arange(b.num_rows), size)[on]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)),
+                                              pa.array(place[on].astype(np.int32)), pa.array(token[on])],
+                                             names=["row", "n", "place", "token"])
+
+    tokens = prefixes.select("row", "n", "prefix").mapInArrow(possible, "row bigint, n int, place int, token bigint")
     known = (tokens.join(shared, "token").groupBy("row", "n")
              .agg(F.sort_array(F.collect_list(F.struct("place", "token", "frequent"))).alias("known")))
 
