@@ -22,8 +22,7 @@ in the article are its body and are never cut, so repeated articles stay whole.
 
 Scale: pages are parsed where they lie.  Styles and contents are counted per
 host and path after summing in each task, so a host with a third of all pages is a
-few aggregated rows; only lists of cut paths are joined back on the host (its pages
-are only joined, and adaptive execution splits them).
+few aggregated rows; only lists of cut paths are joined back on the host, salted.
 
 Edge cases: null or empty html gives empty text; an unclosed element ends with
 its parent, an unclosed script or comment with the page; null urls form one host;
@@ -43,6 +42,7 @@ from textsieve.llm.common import cut, table, values
 
 MIN_PAGES, LEAST_IMPORTANCE, DECAY = 8, 0.2, 0.9
 ALL = "*"
+SALTS = 64
 _FLUSH = 200_000
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -270,8 +270,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                        F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     trees = cut(unimportant_branches(cut(style_counts(src)), min_pages, least))
     whole = trees.where(F.col("host") == ALL).select(F.col("cut").alias("cut_all"))
-    sites = trees.where(F.col("host") != ALL)
-    dealt = src.join(sites, "host", "left").join(F.broadcast(whole), how="left")     # one row
+    # pages of one host are spread over SALTS parts of the join, each with its own copy of the host's list
+    sites = trees.where(F.col("host") != ALL).select("host", "cut", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(sites, ["host", "salt"], "left").join(F.broadcast(whole), how="left")     # one row
 
     def run(batches):
         for b in batches:
