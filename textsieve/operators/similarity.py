@@ -7,8 +7,8 @@ buckets, L2-normalized) and returns the best cosine per chunk.  The gram ->
 bucket hash is cached per worker: natural text repeats grams heavily.  No
 explode or regroup: the work stays in the document's partition.
 
-R12 ``vector_similarity``: precomputed embeddings against a bounded template set
-(at most ``n_templates`` rows, inlined by a scalar subquery: no join).
+R12 ``vector_similarity``: precomputed embeddings against a table of template vectors
+(inlined by a scalar subquery: no join).
 """
 from __future__ import annotations
 
@@ -127,16 +127,15 @@ def template_similarity(text: Column) -> Column:
         sim["hits"].alias("hits"))
 
 
-def vector_similarity(spark: SparkSession, embeddings: DataFrame, n_templates: int = 16,
+def vector_similarity(spark: SparkSession, embeddings: DataFrame, templates: DataFrame,
                       threshold: float = P.SEMANTIC_SIMILARITY_THRESHOLD) -> DataFrame:
-    """Best cosine of every embedding to the template rows ``vec_id < n_templates``."""
-    embeddings.createOrReplaceTempView("_ts_embeddings")
+    """Best cosine of every embedding to the rows of ``templates`` (vec_id, embedding), a small table of known
+    bad vectors that a scalar subquery puts beside each row."""
     return spark.sql(f"""
       WITH tpl AS (
-        SELECT (SELECT collect_list(struct(vec_id, transform(embedding, x -> CAST(x AS DOUBLE)) AS v))
-                FROM (SELECT vec_id, embedding FROM _ts_embeddings WHERE vec_id < {int(n_templates)}
-                      ORDER BY vec_id LIMIT {int(n_templates)})) AS t, e.*
-        FROM _ts_embeddings e),
+        SELECT (SELECT sort_array(collect_list(struct(vec_id, transform(embedding, x -> CAST(x AS DOUBLE)) AS v)))
+                FROM {{templates}}) AS t, e.*
+        FROM {{embeddings}} e),
       scored AS (
         SELECT vec_id, label, transform(t, x -> struct(
             x.vec_id AS template_id,
@@ -150,4 +149,4 @@ def vector_similarity(spark: SparkSession, embeddings: DataFrame, n_templates: i
              element_at(array_sort(sims, (l, r) -> CASE WHEN l.cos > r.cos THEN -1
                    WHEN l.cos < r.cos THEN 1 ELSE CAST(l.template_id - r.template_id AS INT) END), 1).template_id
                AS best_template
-      FROM scored""").withColumn("is_hit", F.col("best_similarity") >= threshold)
+      FROM scored""", embeddings=embeddings, templates=templates).withColumn("is_hit", F.col("best_similarity") >= threshold)

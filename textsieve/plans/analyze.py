@@ -32,18 +32,15 @@ def thresholds(tenant: Column, policy: dict | None = None) -> tuple[Column, Colu
     return (F.coalesce(F.element_at(bm, tenant), F.lit(int(b))), F.coalesce(F.element_at(tm, tenant), F.lit(int(t))))
 
 
-MAX_POLICY_ROWS = 100_000
-
-
-def policy_dict(policy_table: DataFrame) -> dict:
-    """Small tenant policy table (tenant_id, block, transform) -> dict.  The
-    table is configuration, bounded by the number of tenants (checked)."""
-    rows = policy_table.select("tenant_id", "block", "transform").limit(MAX_POLICY_ROWS + 1).collect()
-    if len(rows) > MAX_POLICY_ROWS:
-        raise ValueError("policy table is larger than a configuration table may be")
-    d = {r.tenant_id: (r.block, r.transform) for r in rows}
-    d.setdefault("default", P.DEFAULT_THRESHOLDS)
-    return d
+def with_thresholds(requests: DataFrame, policy: DataFrame) -> DataFrame:
+    """Adds _block and _transform from a policy table (tenant_id, block, transform); a tenant without a row has
+    the values of ``default``."""
+    row = policy.where("tenant_id = 'default'").select("block", "transform").first()
+    block, transform = row or P.DEFAULT_THRESHOLDS
+    own = policy.groupBy("tenant_id").agg(F.min("block").alias("_b"), F.min("transform").alias("_t"))
+    return (requests.join(own, "tenant_id", "left")
+            .withColumns({"_block": F.coalesce("_b", F.lit(block)), "_transform": F.coalesce("_t", F.lit(transform))})
+            .drop("_b", "_t"))
 
 
 def prompt_results(requests: DataFrame, paraphrase: bool = True, prob_col: str | None = None) -> DataFrame:
@@ -100,7 +97,7 @@ def _by_role_weight(role_w: Column, prefix: str) -> Column:
 
 
 def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphrase: bool = True,
-            similarity: bool = True, prob_col: str | None = None, policy: dict | None = None,
+            similarity: bool = True, prob_col: str | None = None, policy: dict | DataFrame | None = None,
             with_docs: bool = False):
     """Decision per request.  With ``with_docs`` returns (decisions, documents):
     the per-document table holds each attached document's weighted result and
@@ -130,7 +127,11 @@ def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphra
     tags = F.array_sort(F.array_distinct(F.concat(
         F.transform(hit, lambda r: r["tag"]),
         F.when(n_doc_hit > 0, F.array(F.lit("rag_injection"))).otherwise(F.array().cast("array<string>")))))
-    block, transform = thresholds(F.col("tenant_id"), policy)
+    if isinstance(policy, DataFrame):
+        p = with_thresholds(p, policy)
+        block, transform = F.col("_block"), F.col("_transform")
+    else:
+        block, transform = thresholds(F.col("tenant_id"), policy)
     reasons = F.transform(hit, lambda r: F.struct(r["tag"].alias("tag"), F.when(
         F.size(r["evidence"]) > 0, F.array_join(r["evidence"], "; "))
         .otherwise(F.concat(r["tag"], F.lit(" matched"))).alias("evidence")))
@@ -144,7 +145,7 @@ def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphra
     p = p.withColumn("decision", F.coalesce(F.col("compound_action"),
                                             POL.decide(F.col("risk_score"), block, transform)))
     p = p.withColumnRenamed("_presults", "results").drop(
-        *[c for c in p.columns if c.startswith("top_") or c.startswith("bump_")], "n_doc_matched")
+        *[c for c in p.columns if c.startswith("top_") or c.startswith("bump_")], "n_doc_matched", "_block", "_transform")
     if not with_docs:
         return p
     if long is None:

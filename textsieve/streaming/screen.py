@@ -29,7 +29,7 @@ def screen_batch(batch: DataFrame, policy_path: str, audit_path: str, paraphrase
     valid = (parsed.where("valid").select("req.*").withColumn("_rid", F.col("metadata.request_id"))
              .dropDuplicates(["_rid"]).drop("_rid"))
     requests, docs = RQ.flatten_requests(valid)
-    policy = AN.policy_dict(batch.sparkSession.read.parquet(policy_path))
+    policy = batch.sparkSession.read.parquet(policy_path)
     decisions, doc_rows = AN.analyze(requests, docs, paraphrase=paraphrase, similarity=similarity,
                                      policy=policy, with_docs=True)
     # written per batch id with overwrite: a micro-batch re-run after a failure
