@@ -1,6 +1,7 @@
 """Small helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Ask Python and the driver's JVM to collect garbage, so that Spark's cleaner deletes shuffle files and
+    checkpoints that nothing refers to any more now, not when the driver happens to need memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8.
 

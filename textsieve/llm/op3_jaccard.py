@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsieve.llm.common import cut, mix, shingles, table, values, word_hashes
+from textsieve.llm.common import cut, mix, release, shingles, table, values, word_hashes
 from textsieve.llm.graph import component_ids, components
 
 PERCENT = 80
@@ -339,9 +339,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     folded = cut(named.groupBy("h1", "h2", "n").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
     # copies are indexed as well (linear in their number); only representatives are verified
     sigs = cut(signatures(named.where("n > 3").select("row", "n", "prefix"), percent))
+    release(docs.sparkSession)                # the shuffles of tokens are no longer needed
     parts = candidate_components(sigs)
     members = cut(named.select("id", "row").join(folded.select(F.col("rep").alias("row"), "h1", "h2", "n", "copies"), "row")
                   .join(parts, "row"))
+    del sigs, parts
+    release(docs.sparkSession)
     verified = cut(verified_links(docs, members, percent, id_col, text_col))
     copies = named.join(folded.where("copies > 1").select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
     links = verified.select("a", "b").unionByName(copies.select(F.col("row").alias("a"), F.col("rep").alias("b")))
