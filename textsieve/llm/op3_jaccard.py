@@ -19,14 +19,12 @@ the Jaccard similarity of their token sets is at least ``PERCENT`` / 100.
    the power-of-two size level, so a large set indexes few pairs per token; a set
    near the edge of a level is indexed in both levels.  Sets of up to 3 tokens
    can only be similar if equal.
-4. Documents that share a signature are linked as candidates by a star around the
-   smallest id of the signature (rows stay linear in the postings), and the stars'
-   components bound where similar documents can be.
-5. Each candidate component is cut into blocks by hash, and each pair of blocks is
-   one group that verifies its pairs exactly on the full sets: shared tokens are
-   counted through an index over the group, pairs already connected need no
-   answer, and only links that join something are emitted.  So a component of any
-   size is spread over many tasks and no list of all pairs ever exists.
+4. The documents of a signature form a group named by its smallest row; signatures
+   with the same smallest row share a group (rows stay linear in the postings).
+5. Each group is cut into blocks by hash, and each pair of blocks is one task group
+   that verifies its pairs exactly on the full sets: shared tokens are counted
+   through an index, and per document its number of links and one connected
+   document are emitted, never pairs.  A pair in several groups counts once.
 6. Verified links give the components; representatives' answers go back to copies.
 
 Edge cases: null or blank text has no tokens, n_shingles 0 and links with nothing;
@@ -41,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsieve.llm.common import cut, mix, release, shingles, table, values, word_hashes
-from textsieve.llm.graph import component_ids, components
+from textsieve.llm.graph import component_ids
 
 PERCENT = 80
 COUNTERS = 1 << 19
@@ -214,15 +212,18 @@ def signatures(prefixes: DataFrame, percent: int) -> DataFrame:
     return known.select("row", "n", "known").mapInArrow(run, "sig bigint, row bigint")
 
 
-def candidate_components(sigs: DataFrame) -> DataFrame:
-    """(row, part): components of the graph that joins rows with a common signature."""
+def candidate_groups(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, part) and (row, parts): a signature's group is named by its smallest row; rows that share a
+    signature share its group."""
     centre = sigs.groupBy("sig").agg(F.min("row").alias("m"), F.max("row").alias("x")).where("m < x").select("sig", "m")
-    return components(sigs.join(centre, "sig").where("row <> m").select("row", "m").distinct(), "row", "m") \
-        .select(F.col("node").alias("row"), F.col("component").alias("part"))
+    pairs = cut(sigs.join(centre, "sig").select("row", F.col("m").alias("part")).distinct())
+    return pairs, pairs.groupBy("row").agg(F.collect_list("part").alias("parts"))
 
 
-def verify_group(rows: np.ndarray, sides: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], percent: int):
+def verify_group(rows: np.ndarray, sides: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], percent: int,
+                 parts: list[set[int]] | None = None, part: int = 0):
     """Links of one group.  With two sides only pairs across them count, else all pairs.
+    With ``parts`` (the groups of each row) a link counts only in the smallest group that both rows are in.
     Returns for every row with links: row, a row it is connected to, number of linked documents."""
     m = len(rows)
     n = np.array([len(s) for s in sets], np.int64)
@@ -259,14 +260,17 @@ def verify_group(rows: np.ndarray, sides: np.ndarray, copies: np.ndarray, sets:
             hit &= sides == 1
         found = np.flatnonzero(hit)
         if len(found):
-            links[x] += copies[found].sum()
+            counted = found if parts is None else found[[min(parts[x] & parts[y]) == part for y in found]]
+            links[x] += copies[counted].sum()
             if across:
-                links[found] += copies[x]
+                links[counted] += copies[x]
             for y in found:
                 a, b = find(x), find(y)
                 if a != b:
                     root[max(a, b)] = min(a, b)
-    for x in np.flatnonzero(links):
+    linked = links > 0
+    linked |= np.array([find(x) != x for x in range(m)])          # links that another group counts still connect
+    for x in np.flatnonzero(linked):
         yield int(rows[x]), int(rows[find(x)]), int(links[x])
 
 
@@ -279,7 +283,7 @@ def marked(members: DataFrame) -> np.ndarray:
 
 
 def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, links) from candidate members (id, row, h1, h2, n, copies, part).
+    """(a, b, links) from candidate members (id, row, h1, h2, n, copies, part, parts).
 
     What is shuffled is the texts of members (a text without a mark is none), which are smaller than their sets;
     the sets are made again in the group that compares them."""
@@ -287,7 +291,7 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: st
     blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("docs") / BLOCK_DOCS)).cast("int")
     members = (members.join(size, "part").withColumn("blocks", blocks)
                .withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-               .select("id", "row", "h1", "h2", "copies", "part", "blocks", "block"))
+               .select("id", "row", "h1", "h2", "copies", "part", "parts", "blocks", "block"))
     marks = docs.sparkSession.sparkContext.broadcast(marked(members))
 
     def pick(batches):
@@ -300,9 +304,9 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: st
              .select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("mark"))
              .mapInArrow(pick, "id bigint, text string").join(members, "id"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = (whole.select("row", "copies", "part", "block", "h1", "h2", "text", other)
+    dealt = (whole.select("row", "copies", "part", "parts", "block", "h1", "h2", "text", other)
              .select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                     F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "copies", "h1", "h2", "text"))
+                     F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "copies", "h1", "h2", "text", "parts"))
     dealt = dealt.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
 
     def verify(batches):
@@ -310,8 +314,8 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: st
             kept = {r[0]: r for r in group}           # a repeated row of the input brings its set twice
             if len(kept) < 2:
                 return None
-            rows, side, copies, sets = zip(*kept.values())
-            got = list(verify_group(np.array(rows), np.array(side), np.array(copies), list(sets), percent))
+            rows, side, copies, sets, parts = zip(*kept.values())
+            got = list(verify_group(np.array(rows), np.array(side), np.array(copies), list(sets), percent, parts, key[0]))
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*got)],
                                               names=["a", "b", "links"]) if got else None
 
@@ -325,7 +329,8 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: st
                     key, group = k, []
                 s = token_set(b.column(8)[i].as_py())
                 if name_of(s) == (b.column(6)[i].as_py(), b.column(7)[i].as_py()):      # else another row with this id
-                    group.append((b.column(4)[i].as_py(), b.column(3)[i].as_py(), b.column(5)[i].as_py(), s))
+                    group.append((b.column(4)[i].as_py(), b.column(3)[i].as_py(), b.column(5)[i].as_py(), s,
+                                  set(b.column(9)[i].as_py())))
         if group and (out := flush(group)) is not None:
             yield out
 
@@ -340,10 +345,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # copies are indexed as well (linear in their number); only representatives are verified
     sigs = cut(signatures(named.where("n > 3").select("row", "n", "prefix"), percent))
     release(docs.sparkSession)                # the shuffles of tokens are no longer needed
-    parts = candidate_components(sigs)
+    pairs, lists = candidate_groups(sigs)
     members = cut(named.select("id", "row").join(folded.select(F.col("rep").alias("row"), "h1", "h2", "n", "copies"), "row")
-                  .join(parts, "row"))
-    del sigs, parts
+                  .join(pairs, "row").join(lists, "row"))
+    del sigs, pairs, lists
     release(docs.sparkSession)
     verified = cut(verified_links(docs, members, percent, id_col, text_col))
     copies = named.join(folded.where("copies > 1").select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
