@@ -79,6 +79,28 @@ def test_planted_groups(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_groups_with_empty_blocks(spark, monkeypatch):
+    """Pairs of near copies longer than a block, of which many fall into one block of several."""
+    monkeypatch.setattr(J, "BLOCK_TOKENS", 50)
+    rnd = random.Random(3)
+    texts = []
+    for g in range(16):
+        t = " ".join(f"g{g}w{rnd.randrange(100_000)}" for _ in range(90))
+        texts += [t, f"{t} more"] + [f"{t} third"] * (g % 2)
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_short_sets_at_lower_percent(spark, monkeypatch):
+    """Sets of 1 to 4 tokens that differ by one link where the percent says so, also by frequent tokens."""
+    monkeypatch.setattr(J, "FREQUENT", 3)
+    texts = [" ".join(f"g{g}w{j}" for j in range(n)) for g in range(6) for n in (5, 6, 7, 8, 9)[g % 3:]]
+    texts += [f"a b c d e {x}" for x in ("f", "g", "h", "i")] + ["a b c d e", "z a b c d e"]
+    rows = list(enumerate(texts))
+    for percent in (76, 75, 66, 50, 30):
+        assert run(spark, rows, percent=percent) == brute(rows, percent), percent
+
+
 def test_ids_null_and_repeated(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (5, "x y z"),
             (5, "totally other text here now"), (1, "totally other text here now"), (9, "x y z")]

@@ -17,8 +17,10 @@ the Jaccard similarity of their token sets is at least ``PERCENT`` / 100.
    similar set may miss.  So two similar sets share an indexed token or pair
    (tokens, being ordered, are in the shorter prefix's range of both).  g depends on
    the power-of-two size level, so a large set indexes few pairs per token; a set
-   near the edge of a level is indexed in both levels.  Sets of up to 3 tokens
-   can only be similar if equal.
+   near the edge of a level is indexed in both levels.  Where similar sets of a level
+   may share no more tokens than it has classes, all its tokens count as rare.  Sets
+   of fewer than percent / (100 - percent) tokens (4 at 80) can only be similar if
+   equal.
 4. The documents of a signature form a group named by its smallest row; signatures
    with the same smallest row share a group (rows stay linear in the postings).
 5. Each group is cut into blocks by hash, and each pair of blocks is one task group
@@ -56,6 +58,11 @@ def may_miss(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100)
 
 
+def may_link(n, percent: int = PERCENT):
+    """Whether a set of n tokens can be similar to another than an equal one: to itself and one token more."""
+    return n * (100 - percent) >= percent
+
+
 def levels(n: int, percent: int = PERCENT) -> list[int]:
     """Size levels (power of two) in which a set of n is indexed: its own and those its partners may have."""
     lo, hi = -(-n * percent // 100), n * 100 // percent
@@ -67,6 +74,11 @@ def classes(level: int, percent: int = PERCENT) -> int:
     return max(1, may_miss(1 << level, percent) // PER_CLASS)
 
 
+def singly(level: int, percent: int = PERCENT) -> bool:
+    """Whether similar sets whose larger one is of the level may share no two tokens of one class."""
+    return -(-(1 << level) * percent // 100) <= classes(level, percent)
+
+
 def word_counters(texts: DataFrame, text_col: str = "text") -> np.ndarray:
     """Documents per hashed word, on a logarithmic scale: ``COUNTERS`` numbers, whatever the size of the corpus."""
     def run(batches):
@@ -125,7 +137,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
                 s = token_set(text)
                 n.append(len(s))
                 names.append(name_of(s))
-                longest = may_miss(len(s), percent) + 1 + classes(levels(len(s), percent)[-1], percent) if len(s) > 3 else 0
+                longest = may_miss(len(s), percent) + 1 + classes(levels(len(s), percent)[-1], percent) if may_link(len(s), percent) else 0
                 prefix.append(ordered_tokens(text, counters.value)[:longest].view(np.int64) if longest else [])
             h1, h2 = zip(*names) if names else ((), ())
             yield pa.RecordBatch.from_arrays(
@@ -142,7 +154,8 @@ def signatures_of(n: int, places: np.ndarray, tokens: np.ndarray, frequent: np.n
     out = []
     for level in levels(n, percent):
         kind = tokens % np.uint64(classes(level, percent))
-        at = np.flatnonzero(frequent)
+        often = np.zeros_like(frequent) if singly(level, percent) else frequent
+        at = np.flatnonzero(often)
         firsts = places[at[np.unique(kind[at], return_index=True)[1]]]
         end = may_miss(n, percent) + 1
         for p in np.sort(firsts):               # the first frequent token of a class covers no miss
@@ -150,8 +163,8 @@ def signatures_of(n: int, places: np.ndarray, tokens: np.ndarray, frequent: np.n
                 break
             end += 1
         salt = np.uint64(level + 1)
-        out.append(mix(tokens[(places < end) & ~frequent] * np.uint64(3) + salt))
-        pairs = (places < end) & frequent
+        out.append(mix(tokens[(places < end) & ~often] * np.uint64(3) + salt))
+        pairs = (places < end) & often
         for c in np.unique(kind[pairs]):
             own = np.sort(tokens[pairs & (kind == c)])
             i, j = np.triu_indices(len(own), 1)
@@ -315,6 +328,8 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: st
             if len(kept) < 2:
                 return None
             rows, side, copies, sets, parts = zip(*kept.values())
+            if key[1] != key[2] and len(set(side)) < 2:       # one of the two blocks is empty: its own group has these pairs
+                return None
             got = list(verify_group(np.array(rows), np.array(side), np.array(copies), list(sets), percent, parts, key[0]))
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*got)],
                                               names=["a", "b", "links"]) if got else None
@@ -343,7 +358,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = rows.where("id IS NOT NULL AND n > 0")
     folded = cut(named.groupBy("h1", "h2", "n").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
     # copies are indexed as well (linear in their number); only representatives are verified
-    sigs = cut(signatures(named.where("n > 3").select("row", "n", "prefix"), percent))
+    sigs = cut(signatures(named.where(may_link(F.col("n"), percent)).select("row", "n", "prefix"), percent))
     release(docs.sparkSession)                # the shuffles of tokens are no longer needed
     pairs, lists = candidate_groups(sigs)
     members = cut(named.select("id", "row").join(folded.select(F.col("rep").alias("row"), "h1", "h2", "n", "copies"), "row")
