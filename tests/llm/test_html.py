@@ -29,6 +29,19 @@ def test_broken_markup():
     assert H.main_text("<a \"" * 3000) == ""
 
 
+def test_long_quoted_values():
+    """A closed quote ends where it closes, and nothing in a value is markup or a name."""
+    for n in (1, 70_000, 1_000_000):
+        fill = "x" * n
+        assert H.main_text(f"<article><p data-a='{fill}><p>leak</p></article>{fill}'>in</p><p>next</p></article>") == "in\n\nnext"
+        assert H.main_text(f'<p title="{fill}>" class="ad">{fill}</p><p a=1 data-b = "<i class=\'ad\'> {fill}">y</p>') == "y"
+    assert H.main_text("<p a=\"" + "x" * 70_000 + "><b>y</b></p><p>z</p>") == "y\n\nz"
+    assert H.main_text("<p a=b'c>d</p><p " + "x" * 200_000 + ">e'</p>") == "d\n\ne'"
+    for piece in ("<a b='", "<a b=\"'", "=", "= ", "\"", "<p x ", "x='y' "):
+        H.main_text("<p " + piece * 100_000)
+        H.main_text("<p " + piece * 100_000 + ">")
+
+
 def plain_low(pages, least):
     """Paths to cut of one site, straight from the definition."""
     seen, styles, contents = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))

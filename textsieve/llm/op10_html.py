@@ -66,7 +66,10 @@ ENDED_BY = {"p": BLOCKS - {"label", "button", "select", "option"}, "li": {"li"},
             "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
             "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}, "head": {"body"}}
 _TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: The end of a tag, or a value: its opening quote or, without quotes, all of it.
+_VALUE = re.compile(r"""=\s*(?:(["'])|[^\s>"'][^\s>]*)|>""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s/"'])([^\s/="']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAMES = {"class", "id", "role"}
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _COMMENT_END = re.compile(r"--!?>")
 
@@ -79,20 +82,18 @@ class Node:
 
 
 def _tag_end(html: str, at: int) -> int:
-    """Index of the > that ends the tag open at ``at``: one outside quotes if the quotes are closed."""
-    end = html.find(">", at)
-    while end >= 0:
-        inside = html[at:end]
-        if '"' not in inside and "'" not in inside:
-            return end
-        rest = re.sub(r"\"[^\"]*\"|'[^']*'", "", inside)
-        if not re.search(r"=\s*[\"']", rest):
-            return end
-        quote = '"' if '"' in rest else "'"
-        close = html.find(quote, end)
-        if close < 0 or close - at > 1 << 16:
-            return end
-        end = html.find(">", close)
+    """Index of the > that ends the tag open at ``at``: the first outside quoted values, however long they are.
+    A quote that is never closed does not count."""
+    while m := _VALUE.search(html, at):
+        if m.group() == ">":
+            return m.start()
+        at = m.end()
+        if m.group(1):
+            close = html.find(m.group(1), at)
+            if close < 0:
+                end = html.find(">", at)
+                return end if end >= 0 else len(html)
+            at = close + 1
     return len(html)
 
 
@@ -151,7 +152,7 @@ def parse(html: str):
         while len(stack) > 1 and tag in ENDED_BY.get(stack[-1].tag, ()):
             stack.pop()
         up = stack[-1]
-        names = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(attributes)} if attributes else {}
+        names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes) if k.lower() in _NAMES}
         words = set(re.split(r"[^a-z]+", " ".join(names.values()).lower())) if names else set()
         is_cut = up.is_cut or tag in CUT_TAGS or bool(words & CUT_NAMES) or (tag == "header" and not up.in_body)
         label = tag
