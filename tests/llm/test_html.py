@@ -100,6 +100,28 @@ def test_articles_that_repeat_stay(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_copies_keep_their_main_text(spark):
+    """Copies are one page: on one host, over many hosts, and where a host is a few groups of copies."""
+    def page(name, kind):
+        text = f"<p>The story of {name}.</p><p>Part two of {name}.</p>"
+        return (f"<html><body><div class={kind}-story>{text}</div></body></html>" if kind != "art" else
+                f"<article><h1>Head</h1><div class=content>{text}</div></article>")
+    rows = []
+    for kind in ("two", "eight", "many", "art"):
+        n = {"two": 2, "eight": 8, "many": 1000, "art": 20}[kind]
+        rows += [(f"http://{kind}.example/{i}", kind, page(kind, kind)) for i in range(n)]
+        rows += [(f"http://h{i}.example/", f"{kind}-spread", page(f"{kind}-spread", kind)) for i in range(n)]
+    rows += [(f"http://few.example/{i}", f"few{i % 3}", page(f"few{i % 3}", "few")) for i in range(60)]
+    rows += [(f"http://big.example/{i}", f"b{i}", f"<div class=post><p>Tale {i}</p></div>") for i in range(20)]
+    rows += [(f"http://big.example/c{i}", "solo", page("solo", "solo")) for i in range(9)]
+    names = [r[1] for r in rows]
+    df = spark.createDataFrame([(i, u, h) for i, (u, _, h) in enumerate(rows)], "page_id long, url string, html string")
+    for r in H.extract(df.repartition(5)).collect():
+        name = names[r.page_id]
+        want = f"Tale {name[1:]}" if name[0] == "b" else f"The story of {name}.\n\nPart two of {name}."
+        assert r.text == ("Head\n\n" if name.startswith("art") else "") + want
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     got = {r.page_id: r for r in H.op10_html_extract(spark, d).collect()}

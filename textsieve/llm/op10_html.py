@@ -14,7 +14,11 @@ importance between 0 and 1:
 
 Branches below ``LEAST_IMPORTANCE`` are cut from every page of the host.  A host
 with fewer than ``MIN_PAGES`` pages says too little about itself; its pages use
-the tree of all pages.  Besides, elements whose tag, class, id or role names a
+the tree of all pages.  Nor is a branch cut that fewer than ``MIN_PAGES`` pages have.
+Pages are counted by their html: copies are one page of their host and one of the
+tree of all pages, so they cannot make their own main text look repeated.  Only
+where most of the text is the body of an article (see below), which is never cut,
+copies count each.  Besides, elements whose tag, class, id or role names a
 menu, header, footer, sidebar, notice, advert, form or reader comments are cut
 on any site, and where a page marks its article (or main) element only that
 is read.  Plain text elements (paragraphs, headings, lists, tables, ...) directly
@@ -23,16 +27,19 @@ in the article are its body and are never cut, so repeated articles stay whole.
 Scale: pages are parsed where they lie.  Styles and contents are counted per
 host and path after summing in each task, so a host with a third of all pages is a
 few aggregated rows; only lists of cut paths are joined back on the host, salted.
+Pages that may have copies are known by ``MARKS`` bits of the hashes of their html;
+only their counts are kept by page until copies are dropped.
 
 Edge cases: null or empty html gives empty text; an unclosed element ends with
 its parent, an unclosed script or comment with the page; null urls form one host;
-repeated pages count each; a page of any length is read whole.
+a page of any length is read whole.
 """
 from __future__ import annotations
 
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,6 +50,7 @@ from textsieve.llm.common import cut, table, values
 MIN_PAGES, LEAST_IMPORTANCE, DECAY = 8, 0.2, 0.9
 ALL = "*"
 SALTS = 64
+MARKS = 1 << 23
 _FLUSH = 200_000
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -205,40 +213,73 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, n): pages of the host (and of all, ``*``) whose node at path has the value:
-    kind 0 a content, 1 a presentation style, 2 the node itself."""
-    def run(batches):
-        total: dict[tuple, int] = {}
+def mostly_body(blocks: list) -> bool:
+    """Whether more than half of a page's text, as far as names tell, is the plain body of an article."""
+    sizes = [(len(t), is_body(node.path)) for node, t in blocks if node.in_body and not node.is_cut]
+    return 2 * sum(n for n, body in sizes if body) > sum(n for n, _ in sizes)
 
-        def flush():
-            keys = list(total)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                 pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int64()),
-                 pa.array(list(total.values()), pa.int64())], names=["host", "path", "kind", "value", "n"])
 
-        for b in batches:
-            for host, html in zip(values(b.column(0)), values(b.column(1))):
-                blocks, nodes = parse(html or "")
-                seen = {(x.path, 0, xxhash.xxh3_64_intdigest(t) - (1 << 63)) for x, t in blocks}
-                seen |= {(x.path, 1, xxhash.xxh3_64_intdigest("/".join(x.children)) - (1 << 63)) for x in nodes}
-                seen |= {(x.path, 2, 0) for x in nodes}
-                for key in seen:
-                    for h in (host, ALL):
-                        total[(h, *key)] = total.get((h, *key), 0) + 1
-                if len(total) >= _FLUSH:
-                    yield flush()
-                    total.clear()
-        if total:
-            yield flush()
-
-    return (pages.select("host", "html").mapInArrow(run, "host string, path string, kind int, value bigint, n bigint")
-            .groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n")))
+def copied(pages: DataFrame) -> np.ndarray:
+    """``MARKS`` bits; that of a hash of html is set where a page has copies (or two pages share the bit)."""
+    at = F.col("mark") + 1
+    parts = (pages.groupBy("mark").count().where("count > 1")
+             .select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+             .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow())     # 4 kB for 32,768 marks
+    out = np.zeros(MARKS >> 3, np.uint8)
+    for bucket, bits in zip(parts.column("bucket").to_pylist(), parts.column("bits").to_pylist()):
+        out[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def style_counts(pages: DataFrame) -> DataFrame:
+    """(host, path, kind, value, n): distinct pages of the host (and of all, ``*``) whose node at path has the value:
+    kind 0 a content, 1 a presentation style, 2 the node itself."""
+    pages = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).withColumn(
+        "mark", F.pmod(F.xxhash64("html"), F.lit(MARKS)))
+    marks = pages.sparkSession.sparkContext.broadcast(copied(pages))
+
+    def counts_of(with_copies: bool):
+        def run(batches):
+            total: dict[tuple, int] = {}
+
+            def flush():
+                columns = list(zip(*total))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(),
+                                                              pa.bool_()))] + [pa.array(list(total.values()), pa.int64())],
+                    names=["host", "path", "kind", "value", "page", "each", "n"])
+
+            for b in batches:
+                mark = b.column(2).to_numpy()
+                on = ((marks.value[mark >> 3] >> (mark & 7).astype(np.uint8)) & 1).astype(bool)
+                own = b.take(pa.array(np.flatnonzero(on == with_copies)))
+                for host, html in zip(values(own.column(0)), values(own.column(1))):
+                    blocks, nodes = parse(html)
+                    seen = {(x.path, 0, xxhash.xxh3_64_intdigest(t) - (1 << 63)) for x, t in blocks}
+                    seen |= {(x.path, 1, xxhash.xxh3_64_intdigest("/".join(x.children)) - (1 << 63)) for x in nodes}
+                    seen |= {(x.path, 2, 0) for x in nodes}
+                    page = (xxhash.xxh3_64_intdigest(html) - (1 << 63), mostly_body(blocks)) if with_copies else (0, True)
+                    for key in seen:
+                        for h in (host, ALL):
+                            total[(h, *key, *page)] = total.get((h, *key, *page), 0) + 1
+                    if len(total) >= _FLUSH:
+                        yield flush()
+                        total.clear()
+            if total:
+                yield flush()
+
+        return pages.mapInArrow(run, "host string, path string, kind int, value bigint, page bigint, each boolean, n bigint")
+
+    key = ["host", "path", "kind", "value"]
+    single = counts_of(False).select(*key, "n")
+    several = (counts_of(True).groupBy(*key, "page", "each").agg(F.sum("n").alias("n"))
+               .select(*key, F.when(F.col("each"), F.col("n")).otherwise(F.lit(1).cast("bigint")).alias("n")))
+    return single.unionByName(several).groupBy(*key).agg(F.sum("n").alias("n"))
 
 
 def unimportant_branches(counts: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, cut): for each host with enough pages (and ``*``) the paths of its tree to cut."""
+    """(host, cut): for each host with enough pages (and ``*``) the paths of its tree that enough pages have and
+    that are to cut."""
     pages = counts.where("path = '' AND kind = 2").select("host", F.col("n").alias("pages")).where(
         (F.col("pages") >= min_pages) | (F.col("host") == ALL))
     node = counts.where("kind = 2").select("host", "path", F.col("n").alias("m"))
@@ -248,7 +289,7 @@ def unimportant_branches(counts: DataFrame, min_pages: int = MIN_PAGES, least: f
         F.sum(F.when(F.col("kind") == 1, F.col("n") / F.col("m") * F.log(F.col("m") / F.col("n")))).alias("entropy"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("styles")))
     base = F.when(F.col("m") > 1, F.log("m"))
-    per = per.select("host", "path", "styles", F.coalesce(F.col("entropy") / base, F.lit(1.0)).alias("presentation"),
+    per = per.select("host", "path", "m", "styles", F.coalesce(F.col("entropy") / base, F.lit(1.0)).alias("presentation"),
                      F.col("contents"), F.coalesce(1 - F.col("logs") / F.col("contents") / base, F.lit(1.0)).alias("own"))
     # contents count for every branch above them
     steps = F.split("path", "/")
@@ -258,7 +299,7 @@ def unimportant_branches(counts: DataFrame, min_pages: int = MIN_PAGES, least: f
     fade = F.pow(F.lit(DECAY), F.col("styles"))
     bare = F.col("styles") == 0
     importance = F.when(bare, F.col("content")).otherwise((1 - fade) * F.col("presentation") + fade * F.col("content"))
-    low = (per.join(below, ["host", "path"]).where((importance < least) & (F.col("path") != ""))
+    low = (per.join(below, ["host", "path"]).where((importance < least) & (F.col("path") != "") & (F.col("m") >= min_pages))
            .groupBy("host").agg(F.collect_set("path").alias("cut")))
     return (pages.join(low, "host", "left")
             .select("host", F.coalesce("cut", F.array().cast("array<string>")).alias("cut")))
