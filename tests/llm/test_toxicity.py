@@ -76,3 +76,8 @@ def test_reruns_agree(spark):
     d = "/root/testdata/sf0.001"
     first, second = (sorted((r.doc_id, r.p_toxic) for r in T.op5_toxicity(spark, d).collect()) for _ in range(2))
     assert first == second
+
+
+def test_fit_bound():
+    """The bound of the fit is not lowered for a check's limits."""
+    assert T.FIT_ROWS >= 20_000

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from textsieve.llm.common import cut, table, values
 
 DIM = 1 << 18
-FIT_ROWS = 12_000
+FIT_ROWS = 20_000
 FOLDS = 3
 PREFIXES = (3, 4, 5)
 PENALTY, WORKING = 0.014, 256      # the penalty is divided by the square root of the rows
