@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from textsieve.functions.merge import merge_overlaps, redact
 from textsieve.functions import patterns as P
 from textsieve.operators import pii

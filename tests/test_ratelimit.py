@@ -3,7 +3,7 @@ import bisect
 
 import duckdb
 
-from conftest import SF01
+from paths import SF01
 from textsieve.plans import q_limit
 
 

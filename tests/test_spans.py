@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from textsieve.functions import dialect as D
 from textsieve.functions.spans import regex_spans
 from textsieve.functions import patterns as P

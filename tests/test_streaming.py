@@ -1,5 +1,5 @@
 """Structured Streaming limiter equals the batch limiter (available-now run)."""
-from conftest import SF01
+from paths import SF01
 from textsieve.plans import q_limit
 from textsieve.streaming import limiter as LS
 from textsieve.streaming import screen as SS
