@@ -13,7 +13,7 @@ Text is cut by the pre-token pattern first, each match is merged separately, and
 no special tokens are produced.  Decoding joins the bytes of the ids.
 
 Scale: map-only; ranks are broadcast (their size is that of the file).  Each
-task keeps a bounded table of recently encoded short pre-tokens.
+worker process keeps a bounded table of recently encoded short pre-tokens over all its tasks.
 
 Edge cases: null and empty text give no ids and decode to no bytes; whole texts
 are encoded; repeated rows are encoded each.
@@ -37,6 +37,8 @@ from textsieve.llm.ranks import read_ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 SHIFT, MASK, SHORT = 8, 255, 64
+_PLACE = [1 << i for i in range(SHORT)]
+_CODERS: dict = {}          # in each worker process, the coder last used, with what it has cached
 
 
 def splitter(pattern: str):
@@ -65,16 +67,20 @@ def splitter(pattern: str):
 
 
 class _Recent(dict):
-    """Short pre-token -> ids; emptied when full, so its memory is bounded."""
+    """Short pre-token -> ids, in two generations: a full one becomes the old one, whose entries come back when they
+    are used again.  Memory is bounded, and frequent pre-tokens are never lost all at once."""
 
     def __init__(self, merge, limit: int, longest: int):
         super().__init__()
-        self.merge, self.limit, self.longest = merge, limit, longest
+        self.merge, self.limit, self.longest, self.old = merge, limit, longest, {}
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        ids = self.merge(token.encode("utf-8", "replace"))
+        ids = self.old.get(token)
+        if ids is None:
+            ids = self.merge(token.encode("utf-8", "replace"))
         if len(token) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[token] = ids
         return ids
@@ -92,6 +98,8 @@ class BytePairCoder:
             self.piece[r] = p
         self.word_of = [r >> SHIFT for r in range(len(self.piece))]
         self.bit_of = [1 << (r & MASK) for r in range(len(self.piece))]
+        self.top_of = [1 << m for m in self.word_of]
+        self.byte_pair = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.split = splitter(pattern)
         self.recent = _Recent(self.merge, cache, longest_cached)
 
@@ -104,33 +112,42 @@ class BytePairCoder:
 
     def _merge_short(self, word: bytes) -> tuple[int, ...]:
         """The queue for few positions: a bucket is a bitmap of positions as well."""
-        n, get, word_of, bit_of = len(word), self.ranks.get, self.word_of, self.bit_of
+        n, get, word_of, bit_of, top_of = len(word), self.ranks.get, self.word_of, self.bit_of, self.top_of
+        byte_pair, place = self.byte_pair, _PLACE
         ends = list(range(1, n + 1))          # piece at i covers word[i:ends[i]]
         before = list(range(-1, n - 1))       # start of the piece to the left
         pending = [-1] * n                    # left position -> rank of its pair now
         top, low, buckets = 0, {}, {}
-        for i in range(n - 1):
-            r = get(word[i:i + 2])
-            if r is not None:
+        i, a = 0, word[0]
+        for b in word[1:]:
+            r = byte_pair[a << 8 | b]
+            if r >= 0:
                 pending[i] = r
-                at = buckets.get(r)
-                if at:
-                    buckets[r] = at | 1 << i
+                if r in buckets:
+                    buckets[r] |= place[i]
                 else:
-                    buckets[r] = 1 << i
+                    buckets[r] = place[i]
                     m = word_of[r]
                     low[m] = low[m] | bit_of[r] if m in low else bit_of[r]
-                    top |= 1 << m
+                    top |= top_of[r]
+            a = b
+            i += 1
         while top:
             m = (top & -top).bit_length() - 1          # find-first-set on each level
             bits = low[m]
             r = (m << SHIFT) + (bits & -bits).bit_length() - 1
             at = buckets[r]
             i = (at & -at).bit_length() - 1
-            buckets[r] = at = at & (at - 1)
-            if not at:
-                low[m] = bits = bits & (bits - 1)
-                if not bits:
+            at &= at - 1
+            if at:
+                buckets[r] = at
+            else:
+                del buckets[r]
+                bits &= bits - 1
+                if bits:
+                    low[m] = bits
+                else:
+                    del low[m]
                     top &= top - 1
             if pending[i] != r:               # stale: the pair at i is another one by now, or gone
                 continue
@@ -142,14 +159,13 @@ class BytePairCoder:
                 r = get(word[i:ends[end]])
                 if r is not None:
                     pending[i] = r
-                    at = buckets.get(r)
-                    if at:
-                        buckets[r] = at | 1 << i
+                    if r in buckets:
+                        buckets[r] |= place[i]
                     else:
-                        buckets[r] = 1 << i
+                        buckets[r] = place[i]
                         m = word_of[r]
                         low[m] = low[m] | bit_of[r] if m in low else bit_of[r]
-                        top |= 1 << m
+                        top |= top_of[r]
             i = before[i]
             if i >= 0:
                 r = get(word[i:end])
@@ -157,14 +173,13 @@ class BytePairCoder:
                     pending[i] = -1
                 else:
                     pending[i] = r
-                    at = buckets.get(r)
-                    if at:
-                        buckets[r] = at | 1 << i
+                    if r in buckets:
+                        buckets[r] |= place[i]
                     else:
-                        buckets[r] = 1 << i
+                        buckets[r] = place[i]
                         m = word_of[r]
                         low[m] = low[m] | bit_of[r] if m in low else bit_of[r]
-                        top |= 1 << m
+                        top |= top_of[r]
         return self._pieces(word, ends)
 
     def _merge_long(self, word: bytes) -> tuple[int, ...]:
@@ -224,13 +239,22 @@ class BytePairCoder:
         return b"".join(map(self.piece.__getitem__, ids))
 
 
+def coder_of(ranks: dict[bytes, int], pattern: str, key: tuple) -> BytePairCoder:
+    """The coder of these ranks in this process, made once whatever tasks it runs."""
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = BytePairCoder(ranks, pattern)
+    return _CODERS[key]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, digests: bool = False,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids; with ``digests`` the SHA-256 of the ids and of the decoded bytes instead of ids."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    pieces = read_ranks(ranks_path)
+    ranks, key = docs.sparkSession.sparkContext.broadcast(pieces), (hash(frozenset(pieces.items())), pattern)
 
     def run(batches):
-        coder = BytePairCoder(ranks.value, pattern)
+        coder = coder_of(ranks.value, pattern, key)
         names = [str(r) for r in range(len(coder.piece))]
         for b in batches:
             n, first, second = [], [], []
