@@ -22,7 +22,8 @@ the weights that are not zero.
 Edge cases: rows without a label for a category do not train it; a category with
 one class only (or no labelled row) predicts its share (0 without rows) and no
 words; null or empty text has no words and gets what the intercept says;
-repeated rows are scored each; null ids are never used in the fit.
+repeated rows are scored each; null ids are never used in the fit, and of
+several rows with one id that with the least hash of its text is.
 """
 from __future__ import annotations
 
@@ -43,6 +44,7 @@ FOLDS = 3
 PREFIXES = (3, 4, 5)
 PENALTY, WORKING = 0.014, 256      # the penalty is divided by the square root of the rows
 CUTOFF = 0.5
+_OWNER_BITS = 40           # of a posting; the slot is above
 _WORD = re.compile(r"\w+")
 
 
@@ -61,10 +63,39 @@ def slots_of(text: str | None, slots: Slots) -> set[int]:
     return set(chain.from_iterable(map(slots.__getitem__, set(_WORD.findall(text.lower()))))) if text else set()
 
 
-def fit_logistic(slots: np.ndarray, lengths: np.ndarray, extra: np.ndarray, y: np.ndarray, penalty: float = PENALTY,
-                 rounds: int = 12, passes: int = 10) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """(intercept, slots with weight, their weights, weights of extra); ``slots`` holds the slots of all texts one
-    after the other, ``lengths`` how many each text has."""
+def postings(parts, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots in three texts or more, start and end of each one's texts in owner, owner) from parts (slots, owners)
+    of ``slots`` slots in all; rarer words cannot earn their penalty.  Holds 8 bytes a slot, then 4."""
+    key, at = np.empty(slots, np.int64), 0
+    for slot, owner in parts:
+        own = key[at:at + len(slot)]
+        own[:] = slot
+        own <<= _OWNER_BITS
+        own |= owner
+        at += len(slot)
+    key.sort()
+    owner = np.empty(slots, np.int32)
+    often = np.zeros(DIM, np.int64)
+    for lo in range(0, slots, 1 << 20):
+        part = key[lo:lo + (1 << 20)]
+        owner[lo:lo + (1 << 20)] = part & ((1 << _OWNER_BITS) - 1)
+        often += np.bincount(part >> _OWNER_BITS, minlength=DIM)
+    del key
+    end = np.cumsum(often)
+    used = np.flatnonzero(often >= 3)
+    return used, end[used] - often[used], end[used], owner
+
+
+def fit_logistic(slots: np.ndarray, lengths: np.ndarray, extra: np.ndarray, y: np.ndarray, **options):
+    """`fit_postings` for texts whose slots follow each other; ``lengths`` says how many each text has."""
+    owner = np.repeat(np.arange(len(y)), lengths)
+    return fit_postings(*postings([(slots, owner)], len(slots)), extra, y, **options)
+
+
+def fit_postings(used: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray, extra: np.ndarray,
+                 y: np.ndarray, penalty: float = PENALTY, rounds: int = 12, passes: int = 10):
+    """(intercept, slots with weight, their weights, weights of extra); slot ``used[j]`` is in the texts
+    ``owner[start[j]:end[j]]``."""
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         floor = 1e-6
@@ -72,23 +103,14 @@ def fit_logistic(slots: np.ndarray, lengths: np.ndarray, extra: np.ndarray, y: n
             np.zeros(extra.shape[1])
     n, k = len(y), extra.shape[1]
     penalty = penalty / np.sqrt(n)
-    often = np.bincount(slots, minlength=1)
-    keep = (often >= 3)[slots]                       # rarer words cannot earn their penalty
-    slot = slots[keep].astype(np.int32)
-    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)[keep]
-    order = np.argsort(slot, kind="stable")
-    owner = owner[order]
-    used = np.flatnonzero(often >= 3)
-    end = np.cumsum(often[used])
-    start = end - often[used]
-    del slot, order, keep
     w, base = np.zeros(len(used)), np.zeros(1 + k)
     dense = np.column_stack((np.ones(n), extra))
     base[0] = np.log(share / (1 - share))
     score = dense @ base
     active = np.empty(0, np.int64)
     for _ in range(rounds):
-        slope = np.add.reduceat((probability(score) - y)[owner], start) / n if len(start) else np.empty(0)
+        residual = probability(score) - y
+        slope = np.array([residual[owner[i:j]].sum() for i, j in zip(start, end)]) / n if len(start) else np.empty(0)
         outside = np.abs(slope) - penalty
         outside[active] = 0
         new = np.argsort(-outside, kind="stable")[:WORKING]
@@ -149,56 +171,83 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     def slots(batches):
         cache = Slots()
         for b in batches:
-            found = [sorted(slots_of(t, cache)) for t in values(b.column(b.schema.get_field_index("text")))]
-            yield b.drop_columns(["text"]).append_column("slots", pa.array(found, pa.list_(pa.int32())))
+            sets = [slots_of(t, cache) for t in values(b.column(b.schema.get_field_index("text")))]
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = np.fromiter(chain.from_iterable(map(sorted, sets)), np.int32, ends[-1])
+            yield b.drop_columns(["text"]).append_column("slots", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
 
     ys = ", ".join(f"y{i} double" for i in range(len(names)))
-    # the sample is bounded by fit_rows, so it may be broadcast
+    # the sample is bounded by fit_rows, so it may be broadcast; of rows with one id that with the least hash of its text counts
     rows = cut(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
                .join(F.broadcast(chosen), "id")
-               .select("id", "h", *[f"y{i}" for i in range(len(names))], "text")
-               .mapInArrow(slots, f"id bigint, h bigint, {ys}, slots array<int>")
-               .dropDuplicates(["id"]).withColumn("fold", F.pmod("h", F.lit(folds)).cast("int")))
+               .select("id", "h", F.xxhash64("text").alias("t"), *[f"y{i}" for i in range(len(names))], "text")
+               .mapInArrow(slots, f"id bigint, h bigint, t bigint, {ys}, slots array<int>")
+               .groupBy("id").agg(F.min_by(F.struct("h", *[f"y{i}" for i in range(len(names))], "slots"), "t").alias("row"))
+               .select("id", "row.*").withColumn("fold", F.pmod("h", F.lit(folds)).cast("int")))
     links: list[Link] = []
     earlier = rows.select("id")
     for i, name in enumerate(names):
-        known = [f"p{j}" for j in range(i)]
+        known = tuple(f"p{j}" for j in range(i))
         data = rows.select("id", "fold", "slots", F.col(f"y{i}").alias("y")).join(earlier, "id")
-        # jobs 0 to folds - 1 leave that fold out, the last one fits all rows
-        jobs = data.withColumn("job", F.explode(F.sequence(F.lit(0), F.lit(folds))))
-
-        known_columns = tuple(known)
+        # job j < folds is fitted without fold j, for the probabilities that later categories learn from; the last one on all rows
+        first_job = 0 if i + 1 < len(names) else folds
+        jobs = (data.where("y IS NOT NULL AND NOT isnan(y)")
+                .withColumn("job", F.explode(F.filter(F.sequence(F.lit(first_job), F.lit(folds)), lambda j: j != F.col("fold")))))
 
         def fit(key, table):
-            job = key[0].as_py()
-            table = table.sort_by("id").combine_chunks()          # sums in one order: reruns agree
-            ids, fold, y = (table.column(c).to_numpy() for c in ("id", "fold", "y"))
-            extra = np.column_stack([np.empty((len(ids), 0))] + [table.column(c).to_numpy() for c in known_columns])
-            column = table.column("slots").combine_chunks()
-            flat, ends = column.flatten().to_numpy(), column.value_lengths().to_numpy()
-            train = (fold != job) & ~np.isnan(y)
-            b, at, w, e = fit_logistic(flat[np.repeat(train, ends)], ends[train], extra[train], y[train])
-            if job == folds:
-                rows = [(-1, b), *((-2 - j, x) for j, x in enumerate(e)), *zip(at.tolist(), w.tolist())]
-            else:                                    # out-of-fold probabilities of the fold's documents
-                dense = np.zeros(DIM)
-                dense[at] = w
-                own = np.repeat(np.arange(len(ids)), ends)
-                s = b + np.bincount(own, dense[flat], minlength=len(ids)) + extra @ e
-                rows = [(int(ids[r]), float(p)) for r, p in zip(np.flatnonzero(fold == job), probability(s[fold == job]))]
-            return pa.table({"job": pa.array([job] * len(rows), pa.int32()), "k": pa.array([r[0] for r in rows], pa.int64()),
-                             "v": pa.array([float(r[1]) for r in rows], pa.float64())})
-
-        fitted = cut(jobs.groupBy("job").applyInArrow(fit, "job int, k bigint, v double"))
-        weights = {r.k: r.v for r in fitted.where(F.col("job") == folds).collect()}
-        links.append(Link(name, weights.pop(-1, float(np.log(1e-6))), {k: v for k, v in weights.items() if k >= 0},
-                          [weights.get(-2 - j, 0.0) for j in range(i)]))
+            ids = table.column("id").to_numpy()
+            order = np.argsort(ids)                               # sums in one order: reruns agree
+            place = np.empty(len(ids), np.int64)
+            place[order] = np.arange(len(ids))
+            extra = np.column_stack([np.empty((len(ids), 0))] + [table.column(c).to_numpy()[order] for c in known])
+
+            def parts():
+                at = 0
+                for c in table.column("slots").chunks:
+                    yield c.flatten().to_numpy(), np.repeat(place[at:at + len(c)], c.value_lengths().to_numpy())
+                    at += len(c)
+
+            n = sum(len(c.flatten()) for c in table.column("slots").chunks)
+            b, at, w, e = fit_postings(*postings(parts(), n), extra, table.column("y").to_numpy()[order])
+            out = [(-1, b), *((-2 - j, x) for j, x in enumerate(e)), *zip(at.tolist(), w.tolist())]
+            return pa.table({"job": pa.array([key[0].as_py()] * len(out), pa.int32()), "k": pa.array([r[0] for r in out], pa.int64()),
+                             "v": pa.array([float(r[1]) for r in out], pa.float64())})
+
+        found: dict[int, dict[int, float]] = {j: {} for j in range(folds + 1)}
+        for r in jobs.groupBy("job").applyInArrow(fit, "job int, k bigint, v double").collect():     # weights that are not zero
+            found[r.job][r.k] = r.v
+        fitted = [Link(name, w.pop(-1, float(np.log(1e-6))), {k: v for k, v in w.items() if k >= 0},
+                       [w.get(-2 - j, 0.0) for j in range(i)]) for w in found.values()]
+        links.append(fitted[folds])
         if i + 1 < len(names):
-            earlier = cut(earlier.join(fitted.where(F.col("job") < folds)
-                                       .select(F.col("k").alias("id"), F.col("v").alias(f"p{i}")), "id"))
+            earlier = cut(data.select("id", "fold", "slots", *known)
+                          .mapInArrow(_out_of_fold(fitted[:folds], known), ", ".join(["id bigint", *(f"p{j} double" for j in range(i + 1))])))
     return links
 
 
+def _out_of_fold(fitted: list[Link], known: tuple[str, ...]):
+    """(id, earlier probabilities, and that of the model that did not see the row's fold)."""
+    def run(batches):
+        dense = []
+        for m in fitted:
+            weights = np.zeros(DIM)
+            weights[list(m.weights)] = list(m.weights.values())
+            dense.append(weights)
+        for b in batches:
+            column, fold = b.column(2), b.column(1).to_numpy()
+            owner = np.repeat(np.arange(len(fold)), column.value_lengths().to_numpy())
+            flat, before = column.flatten().to_numpy(), [b.column(3 + j) for j in range(len(known))]
+            score = np.zeros(len(fold))
+            for k, m in enumerate(fitted):
+                s = m.intercept + np.bincount(owner, dense[k][flat], minlength=len(fold))
+                s += sum(w * p.to_numpy() for w, p in zip(m.earlier, before))
+                score = np.where(fold == k, s, score)
+            yield pa.RecordBatch.from_arrays([b.column(0), *before, pa.array(probability(score))],
+                                             names=["id", *known, f"p{len(known)}"])
+
+    return run
+
+
 def predict_chain(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col: str = "text",
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of ``keep``, and p_<category> for every category of the chain."""
