@@ -127,3 +127,18 @@ def test_counts_handed_on_in_parts(spark, monkeypatch):
     whole = sorted(map(tuple, A.pair_counts(A.alignments(df, *PATHS)).collect()))
     monkeypatch.setattr(A, "HELD", 8)
     assert sorted(map(tuple, A.pair_counts(A.alignments(df, *PATHS)).collect())) == whole
+
+
+def test_ranks_encode_as_the_list_of_merges(spark, pair):
+    rnd = random.Random(9)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    texts += ["".join(rnd.choice(["a", "b", "the", " ", "  ", "\n", "é", "漢", "1", "'s", "!", "\U0001F600", "\u200b", "\x85", "\x1c", "<|endoftext|>"])
+                      for _ in range(rnd.randint(1, 60))) for _ in range(3000)] + [t for t in TEXTS if t]
+    assert pair.by_rank is not None
+    for text in texts:
+        assert pair.encode_first(" " + text) == pair.first.encode(" " + text, add_special_tokens=False).ids
+    assert len(pair.encode_first("ab" * 200_000)) > 1000
+
+
+def test_other_order_of_merges_is_not_ranked(pair):
+    assert pair._ranked({"vocab": {"ab": 300, "bc": 299}, "merges": [["a", "b"], ["b", "c"]]}) is None
