@@ -171,33 +171,19 @@ def decode_sql(seg: str) -> str:
             f"WHEN {ok(rot)} THEN {rot} END")
 
 
-def rule_hit_sql() -> str:
-    """Boolean over columns raw/norm/leet of a CTE of decoded payloads."""
-    conds = []
-    for i, (sid, sev, pat, flags) in enumerate(SIGS):
-        r = D.re2(pat, flags)
-        conds.append(f"regexp_matches({wv('norm')}, {q(r)}) OR (leet <> norm AND regexp_matches({wv('leet')}, {q(r)}))")
-    for pat, flags in P.EMBEDDED_BLOCK_PATTERNS:
-        r = D.re2(pat, flags)
-        conds.append(f"coalesce(list_bool_or(list_transform(regexp_extract_all({wv('norm')}, {q(r)}, 1), lambda x: "
-                     f"regexp_replace(x, {STRIP}, '', 'g') <> '' AND regexp_matches(x, {rx(OP.VERBS)}))), false)")
-    for _l, phs in P.MULTILINGUAL_KEYWORDS:
-        for ph in phs:
-            conds.append(f"contains(raw, {q(ph)})")
-    conds.append(f"regexp_matches(raw, {rx(P.URL)})")
-    conds.append(f"regexp_matches({wv('raw')}, {rx(P.URL_INSTRUCTION_CONTEXT, 'I')})")
-    conds.append(f"regexp_matches(raw, {rx(P.BASE64_BLOB)})")
-    conds.append(f"regexp_matches(raw, {rx(P.HEX_BLOB)})")
-    conds.append(f"regexp_matches({wv('raw')}, {rx(P.ROT13_HINT, 'I')})")
-    conds.append(f"coalesce(list_bool_or(list_transform(regexp_extract_all(raw, {rx(P.LONG_TOKEN)}), lambda t: "
-                 f"{OP.entropy('t')} >= {P.ENTROPY_THRESHOLD})), false)")
-    for _s, cat, cond, _w, _n in [(0, 0, s[1], 0, 0) for s in OP.signal_exprs()
-                                  if s[0] in ("multi_stage_execution_chain", "role_transition_spoofing",
-                                              "semantic_contradiction", "context_window_stuffing")]:
-        conds.append(cond)
-    ev = OP.evasions("raw")
-    conds.append(f"({ev['homoglyph']} + {ev['zero_width']} + {ev['leet_mix']} + {ev['spaced_letters']}) >= 5")
-    return "(" + " OR ".join(f"({c})" for c in conds) + ")"
+def decoded_level(frontier: str, view: str, depth: int) -> str:
+    """CTEs {frontier}_n: rows of the frontier whose text trips a rule, with the numbers of findings and signals."""
+    rows = "\nUNION ALL\n".join(f"SELECT k FROM ({r})" for r in signature_rows(view) + embedded_rows(view) + raw_rows(view))
+    sigs = "\nUNION ALL\n".join(f"SELECT k FROM ({r})" for r in doc_signal_rows(view))
+    return (f"{frontier}_f AS (SELECT k, count(*) AS n FROM ({rows}) GROUP BY k),\n"
+            f"{frontier}_s AS (SELECT k, count(*) AS m FROM ({sigs}) GROUP BY k),\n"
+            f"{frontier}_n AS (SELECT t.*, coalesce(f.n, 0) AS n_spans, coalesce(g.m, 0) AS n_signals FROM {frontier} t "
+            f"LEFT JOIN {frontier}_f f ON f.k = t.dk LEFT JOIN {frontier}_s g ON g.k = t.dk)")
+
+
+def note_sql(depth: int, n: str) -> str:
+    return (f"'decoded_payload span=(' || CAST(ds AS VARCHAR) || ',' || CAST(de AS VARCHAR) || ') depth={depth} inner_signatures=' "
+            f"|| CAST({n} AS VARCHAR) || ' inner_signals=' || CAST(n_signals AS VARCHAR)")
 
 
 def base_ctes(with_decoded=True, src: str = "seeded_docs", key: str = "doc_id", text: str = "text") -> str:
@@ -205,13 +191,25 @@ def base_ctes(with_decoded=True, src: str = "seeded_docs", key: str = "doc_id",
     pre += n5_ctes(src, key, text) + ",\n"
     enc_union = "\nUNION ALL\n".join(encoded_rows())
     pre += f"enc AS ({enc_union}),\n"
-    pre += f"decs AS (SELECT e.k, e.s, e.e, {decode_sql('substr(d.raw, e.s + 1, e.e - e.s)')} AS dtext "
+    pre += f"decs AS (SELECT e.k, e.ord, e.s, e.e, {decode_sql('substr(d.raw, e.s + 1, e.e - e.s)')} AS dtext "
     pre += "FROM enc e JOIN d ON d.k = e.k),\n"
-    pre += ("dsrc AS (SELECT row_number() OVER (ORDER BY k, s, e) AS dk, k AS doc_k, s AS ds, e AS de, "
-            "regexp_replace(dtext, '[\\p{Cf}\\x{AD}]', '', 'g') AS dtext FROM decs WHERE dtext IS NOT NULL),\n")
+    pre += ("dsrc AS (SELECT row_number() OVER (ORDER BY k, ord, s, e) AS dk, k AS up, ord AS dord, s AS ds, e AS de, dtext "
+            "FROM decs WHERE dtext IS NOT NULL),\n")
     pre += n5_ctes("dsrc", "dk", "dtext", prefix="x") + ",\n"
-    pre += (f"dhit AS (SELECT x.k AS dk FROM x WHERE {rule_hit_sql()}),\n")
-    pre += ("decoded AS (SELECT s.doc_k AS k, s.ds AS s, s.de AS e FROM dsrc s JOIN dhit h ON h.dk = s.dk),\n")
+    enc1 = "\nUNION ALL\n".join(encoded_rows("x"))
+    pre += f"enc1 AS ({enc1}),\n"
+    pre += f"decs1 AS (SELECT e.k, e.ord, e.s, e.e, {decode_sql('substr(x.raw, e.s + 1, e.e - e.s)')} AS dtext "
+    pre += "FROM enc1 e JOIN x ON x.k = e.k),\n"
+    pre += ("dsrc1 AS (SELECT row_number() OVER (ORDER BY k, ord, s, e) AS dk, k AS up, ord AS dord, s AS ds, e AS de, dtext "
+            "FROM decs1 WHERE dtext IS NOT NULL),\n")
+    pre += n5_ctes("dsrc1", "dk", "dtext", prefix="y") + ",\n"
+    pre += decoded_level("dsrc1", "y", 2) + ",\n" + decoded_level("dsrc", "x", 1) + ",\n"
+    pre += (f"hit2 AS (SELECT up, count(*) AS n_inner, string_agg({note_sql(2, 'n_spans')}, ' | ' ORDER BY dord, ds, de) AS inner_notes "
+            "FROM dsrc1_n WHERE n_spans + n_signals > 0 GROUP BY up),\n"
+            "hit1 AS (SELECT t.*, n_spans + coalesce(n_inner, 0) AS n_all, inner_notes FROM dsrc_n t LEFT JOIN hit2 h ON h.up = t.dk),\n"
+            f"decoded AS (SELECT up AS k, dord, ds AS s, de AS e, {note_sql(1, 'n_all')} || coalesce(' | ' || inner_notes, '') AS note "
+            "FROM hit1 WHERE n_all + n_signals > 0),\n"
+            "dnotes AS (SELECT k, string_agg(note, ' | ' ORDER BY dord, s, e) AS notes FROM decoded GROUP BY k),\n")
     rows = signature_rows() + embedded_rows() + raw_rows()
     rows.append(f"SELECT k, {ORD_DECODED} AS ord, 'decoded_payload_injection' AS sid, "
                 f"least(50 + {P.ENCODED_SEVERITY}, 90) AS sev, s, e FROM decoded")
@@ -263,13 +261,13 @@ red AS (SELECT t.k, string_agg(substr(d.raw, t.cut + 1, t.s - t.cut) || {q(P.RED
          + {wd('external_source')} * CASE WHEN coalesce(mstat.ext, false) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END
          + {wd('decoded_payload')} * CASE WHEN coalesce(mstat.dec, false) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)
         * (CAST(1.0 AS DOUBLE) - CAST(0.5 AS DOUBLE) * CASE WHEN coalesce(mstat.n, 0) > 0 THEN mstat.nd / mstat.n ELSE CAST(0.0 AS DOUBLE) END)
-        AS c_raw, mstat.mev, sstat.sev_, red.sanitized_text
+        AS c_raw, mstat.mev, sstat.sev_, dnotes.notes, red.sanitized_text
         FROM d LEFT JOIN ss ON ss.k = d.k LEFT JOIN mstat ON mstat.k = d.k LEFT JOIN sstat ON sstat.k = d.k
-        LEFT JOIN red ON red.k = d.k),
+        LEFT JOIN red ON red.k = d.k LEFT JOIN dnotes ON dnotes.k = d.k),
 conf1 AS (SELECT *, greatest(CAST(0.0 AS DOUBLE), least(c_raw, CAST(1.0 AS DOUBLE))) AS conf FROM conf0),
 res AS (SELECT k, hit, conf, CASE WHEN conf >= {P.DOC_BLOCK_THRESHOLD} THEN 'block' WHEN conf >= {P.DOC_REVIEW_THRESHOLD}
         THEN 'review' ELSE 'allow' END AS decision, least(CAST(round_even(conf * 100, 0) AS INTEGER), 100) AS score0,
-        mev, sev_, coalesce(sanitized_text, raw) AS sanitized_text, span_score, doc_score FROM conf1)
+        mev, sev_, notes, coalesce(sanitized_text, raw) AS sanitized_text, span_score, doc_score FROM conf1)
 """
     return pre
 
@@ -293,7 +291,7 @@ def rag_sql() -> dict[str, str]:
                + " OR ".join(f"contains({nid}, {q(s)})" for s in P.TRUSTED_ID_SUBSTRINGS) + "), false)")
     verbs = OP.count("text", OP.VERBS)
     toks = f"len({OP.words('text')})"
-    evidence = ("array_to_string(list_filter([mev, sev_, 'semantic_max_similarity=0.000 threshold=0.85', "
+    evidence = ("array_to_string(list_filter([mev, sev_, notes, 'semantic_max_similarity=0.000 threshold=0.85', "
                 "'confidence=' || printf('%.3f', conf) || ' decision=' || decision], lambda x: x IS NOT NULL), ' | ')")
     return {
         "normalize_with_map": n5 + "SELECT k AS doc_id, norm, CAST(length(norm) AS BIGINT) AS norm_len FROM d",
@@ -322,6 +320,8 @@ def rag_sql() -> dict[str, str]:
                                  "dtext AS decoded FROM decs WHERE dtext IS NOT NULL",
         "decode_rescan": base + "SELECT k AS doc_id, CAST(least(50 + 20, 90) AS BIGINT) AS severity, CAST(s AS BIGINT) AS start_pos, "
                                 "CAST(e AS BIGINT) AS end_pos FROM decoded",
+        "decode_notes": base + "SELECT k AS doc_id, CAST(i AS BIGINT) AS ord, ns[i + 1] AS note FROM (SELECT k, ns, unnest(range(len(ns))) AS i "
+                               "FROM (SELECT k, string_split(notes, ' | ') AS ns FROM dnotes))",
         "trusted_source": cte_prefix("seeded_docs") + f"SELECT doc_id, document_id, {trusted} AS trusted FROM seeded_docs",
         "imperative_density": cte_prefix("seeded_docs") + f"SELECT doc_id, round(CASE WHEN {toks} > 0 THEN "
                               f"least({verbs} / {toks} * CAST(10 AS DOUBLE), CAST(1.0 AS DOUBLE)) ELSE CAST(0.0 AS DOUBLE) END, 6) "

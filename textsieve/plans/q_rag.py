@@ -144,9 +144,17 @@ def decode_payload(spark, sf_dir):
 
 def decode_rescan(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    s = explode_rows(d, ["doc_id"], RAG.decoded_findings(D.fold_ws(F.col("text")), RAG.encoded_findings(D.fold_ws(F.col("text")))), "f")
-    return s.select("doc_id", F.col("f.severity").cast("long").alias("severity"),
-                    F.col("f.start").cast("long").alias("start_pos"), F.col("f.end").cast("long").alias("end_pos"))
+    hits = RAG.decode_rescan(d).select(*RAG._TEXT, "severity", "start", "end")
+    return (RAG.with_text_key(d, "text").select("doc_id", *RAG._TEXT).join(hits, RAG._TEXT)
+            .select("doc_id", F.col("severity").cast("long").alias("severity"),
+                    F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos")))
+
+
+def decode_notes(spark, sf_dir):
+    """What decoded payloads hold, both levels, in the order of the evidence."""
+    d = RAG.with_decoded(_docs(spark, sf_dir), "text")
+    return explode_rows(d, ["doc_id"], F.col("_dec_notes"), "note", pos="ord").select(
+        "doc_id", F.col("ord").cast("long").alias("ord"), "note")
 
 
 def trusted_source(spark, sf_dir):
@@ -228,6 +236,7 @@ QUERIES = {
     "vector_similarity": vector_similarity,
     "decode_payload": decode_payload,
     "decode_rescan": decode_rescan,
+    "decode_notes": decode_notes,
     "trusted_source": trusted_source,
     "imperative_density": imperative_density_q,
     "confidence": confidence_q,
