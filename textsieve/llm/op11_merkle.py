@@ -38,6 +38,7 @@ from textsieve.llm.common import cut, table
 
 FAN = 3
 BLOCK_LEVELS = 7
+FILES = 16                  # of small tables
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -118,15 +119,21 @@ def leaf_digest(fields: dict[str, Column]) -> Column:
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
-def _in_order(rows: DataFrame, tree: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+def _few(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table with a row for each range, source or block, in few files."""
+    return cut(df.repartition(FILES))
+
+
+def _in_order(rows: DataFrame, tree: list[str], order: list[str], files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows in ranges of (tree, order) with their place ``at``, and the runs of trees in ranges:
     ``part``, ``first`` place, rows of the tree ``before`` and in all, ``n``."""
-    at = cut(rows.repartitionByRange(*tree, *order).sortWithinPartitions(*tree, *order)
-             .withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    at = (rows.repartitionByRange(*tree, *order).sortWithinPartitions(*tree, *order)
+          .withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    at = cut(at.coalesce(files) if files else at)
     runs = at.groupBy(*tree, "part").agg(F.min("at").alias("first"), F.count("*").alias("run"))
     whole = Window.partitionBy(*tree)
     before = F.sum("run").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    return at, cut(runs.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("n", F.sum("run").over(whole)))
+    return at, _few(runs.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("n", F.sum("run").over(whole)))
 
 
 def _blocks(nodes: DataFrame, size: int) -> DataFrame:
@@ -148,7 +155,7 @@ def _rounds(nodes: DataFrame, most: int, block_levels: int) -> list[DataFrame]:
     rounds = [nodes]
     while most > 1:
         below = _blocks(rounds[-1].select("tree", "pos", "n", "digest"), size)
-        rounds.append(cut(below.groupBy("tree", "block").applyInArrow(top, "tree bigint, pos bigint, n bigint, digest binary")))
+        rounds.append(_few(below.groupBy("tree", "block").applyInArrow(top, "tree bigint, pos bigint, n bigint, digest binary")))
         most = -(-most // size)
     return rounds
 
@@ -180,7 +187,7 @@ def _inner(tree: BlockTree, block, head):
 def _paths(rounds: list[DataFrame], heads: DataFrame, block_levels: int) -> DataFrame:
     """Paths of the nodes of every round but the lowest, top down; those of ``rounds[1]`` (or ``heads``)."""
     for nodes in rounds[-2:0:-1]:
-        heads = cut(_down(nodes, heads.drop("digest"), block_levels, _inner, _HEAD))
+        heads = _few(_down(nodes, heads.drop("digest"), block_levels, _inner, _HEAD))
     return heads
 
 
@@ -220,10 +227,10 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
     by = ["named", "source"]
     at, runs = _in_order(leaves, by, ["doc_id", "digest"])
     size = FAN ** block_levels
-    places, spans = _in_order(runs.select(*by).distinct().withColumn("all", F.lit(0)), ["all"], by)
+    places, spans = _in_order(runs.select(*by).distinct().withColumn("all", F.lit(0)), ["all"], by, FILES)
     trees = (places.join(spans, ["all", "part"])
              .select(*by, (F.col("at") - F.col("first") + F.col("before")).alias("tree"), F.col("n").alias("n_trees")))
-    runs = cut(runs.join(trees, by))
+    runs = _few(runs.join(trees, by))
     found = runs.agg(F.max("n"), F.max("n_trees")).first()
     leaves = (at.join(runs, [*by, "part"])
               .select("tree", (F.col("at") - F.col("first") + F.col("before")).alias("pos"), "n", "doc_id", "digest", "changed"))
@@ -237,7 +244,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
                             F.col("digest").alias("root"))
     if len(upper) > 1:
         head = _down(upper[0], _paths(upper, head, block_levels).drop("digest"), block_levels, _inner, _HEAD)
-    head = cut(head.select(F.col("pos").alias("tree"), F.lit(0).cast("bigint").alias("pos"), "digest", "path",
+    head = _few(head.select(F.col("pos").alias("tree"), F.lit(0).cast("bigint").alias("pos"), "digest", "path",
                            F.col("digest").alias("subroot"), "root"))
     return _down(leaves, _paths(rounds, head, block_levels).drop("digest"), block_levels, _leaf_rows, _LEAVES)
 
