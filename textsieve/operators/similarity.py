@@ -1,106 +1,90 @@
 """Similarity to canonical injection templates.
 
-R11 ``template_similarity``: each document is cut into sentence/line chunks
-(native regex spans); the chunk array of one document goes to an Arrow UDF that
-embeds chunks with the default hashing backend (character 3/4/5-grams, 512
-buckets, L2-normalized) and returns the best cosine per chunk.  The gram ->
-bucket hash is cached per worker: natural text repeats grams heavily.  No
-explode or regroup: the work stays in the document's partition.
+R11 ``template_similarity``: each document is cut into sentence/line chunks; a
+chunk is the vector of its counts of character 3-, 4- and 5-grams (lower-cased,
+blanks folded, one blank at each end), and its similarity the best cosine to a
+template.  The templates' grams are an inverted index (gram -> counts in the
+templates).  It is a constant of fixed size, so the equi-join of a chunk's grams
+with it is a look-up beside the row: grams are hashed to its buckets, dot products
+are sums of whole numbers, and neither texts nor grams are shuffled.  Only the
+templates that share a gram are touched.
+
+X2 ``embedding_similarity``: the same with vectors from any embedding backend,
+a column function from texts to vectors.
 
 R12 ``vector_similarity``: precomputed embeddings against a table of template vectors
 (inlined by a scalar subquery: no join).
 """
 from __future__ import annotations
 
-import hashlib
-import re
-from functools import lru_cache
+import json
+import zlib
+from collections import Counter
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from textsieve.functions import dialect as D
 from textsieve.functions import normalize as N
 from textsieve.functions import patterns as P
-from textsieve.functions.spans import regex_spans
+from textsieve.functions.barrier import computed_once
+from textsieve.functions.spans import regex_spans, sql_literal
 
-DIM = 512
 NGRAMS = (3, 4, 5)
-_WS_RE = re.compile(r"\s+")
-
-
-@lru_cache(maxsize=1 << 20)
-def _bucket(gram: str) -> int:
-    return int(hashlib.blake2b(gram.encode("utf-8"), digest_size=4).hexdigest(), 16) % DIM
-
-
-def _counts(text: str) -> np.ndarray:
-    t = _WS_RE.sub(" ", text.strip().lower())
-    if not t:
-        return np.zeros(DIM, dtype=np.float64)
-    padded = f" {t} "
-    ids = [_bucket(padded[i:i + n]) for n in NGRAMS for i in range(len(padded) - n + 1)]
-    return np.bincount(ids, minlength=DIM).astype(np.float64)
-
-
-def embed(text: str) -> np.ndarray:
-    vec = _counts(text)
-    norm = np.sqrt((vec * vec).sum())
-    return vec / norm if norm > 0 else vec
-
-
-_TEMPLATES = None
-
-
-def _templates() -> np.ndarray:
-    global _TEMPLATES
-    if _TEMPLATES is None:
-        m = np.stack([embed(t) for t in P.CANONICAL_INJECTION_TEMPLATES])
-        _TEMPLATES = m / np.linalg.norm(m, axis=1, keepdims=True)
-    return _TEMPLATES
-
-
-def best_similarities(texts: list[str]) -> list[float]:
-    """Best template cosine per text; repeated texts are embedded once."""
-    tm = _templates()
-    uniq = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-    if not uniq:
-        return []
-    m = np.stack([_counts(t) for t in uniq])
-    norms = np.sqrt((m * m).sum(axis=1))
-    safe = np.where(norms > 0, norms, 1.0)
-    best = np.where(norms > 0, (m / safe[:, None] @ tm.T).max(axis=1), 0.0)
-    return [float(best[uniq[t]]) for t in texts]
-
-
-SIM_TYPE = T.StructType([
-    T.StructField("max_similarity", T.DoubleType()),
-    T.StructField("hits", T.ArrayType(T.StructType([
-        T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-        T.StructField("similarity", T.DoubleType()), T.StructField("severity", T.IntegerType())]))),
-])
-
-
-@pandas_udf(SIM_TYPE)
-def chunk_similarity_udf(chunks: pd.Series) -> pd.DataFrame:
-    th = P.SEMANTIC_SIMILARITY_THRESHOLD
-    maxes, hits = [], []
-    texts = [c["text"] for arr in chunks if arr is not None for c in arr]
-    sim_of = dict(zip(texts, best_similarities(texts)))
-    for arr in chunks:
-        if arr is None or len(arr) == 0:
-            maxes.append(0.0)
-            hits.append([])
-            continue
-        sims = [sim_of[c["text"]] for c in arr]
-        maxes.append(max(sims))
-        hits.append([{"start": int(c["start"]), "end": int(c["end"]), "similarity": s,
-                      "severity": int(round(30 + s * 20))} for c, s in zip(arr, sims) if s >= th])
-    return pd.DataFrame({"max_similarity": maxes, "hits": hits})
+BUCKETS = 4096
+_INDEX_TYPE = "array<array<struct<g:string,w:array<int>>>>"
+_ORD_SEMANTIC = 6000
+
+
+def grams_of(text: str) -> Counter:
+    """Counts of a template's grams."""
+    padded = f" {' '.join(text.lower().split())} "
+    return Counter(padded[i:i + n] for n in NGRAMS for i in range(len(padded) - n + 1))
+
+
+def gram_index(templates) -> tuple[list, list[int]]:
+    """(buckets by crc32 of the gram, each a list of gram and its counts in every template; squared norms)."""
+    counts = [grams_of(t) for t in templates]
+    buckets = [[] for _ in range(BUCKETS)]
+    for g in sorted(set().union(*counts)):
+        buckets[zlib.crc32(g.encode()) % BUCKETS].append({"g": g, "w": [c[g] for c in counts]})
+    return buckets, [sum(n * n for n in c.values()) for c in counts]
+
+
+def _gram_sql(n: int) -> str:
+    parts = ", ".join("ch[i]" if k == 0 else f"ch[i + {k}]" for k in range(n))
+    return (f"CASE WHEN size(ch) >= {n} THEN transform(sequence(0, size(ch) - {n}), i -> concat({parts})) "
+            "ELSE CAST(array() AS array<string>) END")
+
+
+def _cosine_sql(text: str, index: str, norms: list[int]) -> str:
+    """Best cosine of a text (SQL) to the templates of the bound ``index``; each value is bound once by a lambda."""
+    grams = "flatten(array(" + ", ".join(_gram_sql(n) for n in NGRAMS) + "))"
+    dots = (f"aggregate(gs, array_repeat(0, {len(norms)}), (acc, g) -> aggregate("
+            f"filter(element_at({index}, CAST(crc32(CAST(g AS BINARY)) % {BUCKETS} AS INT) + 1), e -> e.g = g), acc, "
+            "(a, e) -> zip_with(a, e.w, (x, y) -> x + y)))")
+    # a gram's (k + 1)-th copy adds 2k + 1 to the sum of squared counts
+    square = ("aggregate(sort_array(gs), named_struct('g', '', 'k', 0, 's', CAST(0 AS BIGINT)), (st, g) -> "
+              "CASE WHEN g = st.g THEN named_struct('g', g, 'k', st.k + 1, 's', st.s + 2 * st.k + 1) "
+              "ELSE named_struct('g', g, 'k', 1, 's', st.s + 1) END, st -> st.s)")
+    length = f"array({', '.join(str(n) for n in norms)})"
+    best = (f"array_max(zip_with(ds, {length}, (d, m) -> CASE WHEN d = 0 THEN 0D "
+            "ELSE d / (sqrt(CAST(q AS DOUBLE)) * sqrt(CAST(m AS DOUBLE))) END))")
+    best = f"element_at(transform(array({square}), q -> {best}), 1)"
+    best = f"element_at(transform(array({dots}), ds -> {best}), 1)"
+    best = f"element_at(transform(array({grams}), gs -> {best}), 1)"
+    return f"element_at(transform(array(split({text}, '', -1)), ch -> {best}), 1)"
+
+
+def chunk_cosines(chunks: str, templates=None) -> Column:
+    """array<struct<start, end, similarity>> of a chunk column (its name)."""
+    index, norms = gram_index(templates or P.CANONICAL_INJECTION_TEMPLATES)
+    padded = (f"concat(' ', regexp_replace(regexp_replace(lower(c.text), {sql_literal(N.STRIP)}, ''), "
+              f"{sql_literal(D.java(chr(92) + 's+'))}, ' '), ' ')")
+    table = f"from_json({sql_literal(json.dumps(index))}, '{_INDEX_TYPE}')"
+    return F.expr(f"element_at(transform(array({table}), ix -> transform({chunks}, c -> named_struct('start', c.start, "
+                  f"'end', c.end, 'similarity', {_cosine_sql(padded, 'ix', norms)}))), 1)")
 
 
 def chunk_spans(text: Column) -> Column:
@@ -116,15 +100,49 @@ def chunk_spans(text: Column) -> Column:
                     & (F.regexp_replace(D.fold_ws(c["text"]), N.STRIP, "") != ""))
 
 
-def template_similarity(text: Column) -> Column:
-    """struct(max_similarity, findings array<rag finding>) for rag_scan."""
-    sim = chunk_similarity_udf(chunk_spans(text))
-    return F.struct(sim["max_similarity"].alias("max_similarity"), F.transform(
-        sim["hits"], lambda h: F.struct(
-            h["start"].alias("start"), F.lit(6000).alias("ord"), h["end"].alias("end"),
-            F.lit("semantic_injection").alias("signature_id"), h["severity"].alias("severity"),
-            F.lit(False).alias("dampened"))).alias("findings"),
-        sim["hits"].alias("hits"))
+def _findings(scored: Column, threshold: float) -> Column:
+    """struct(max_similarity, findings array<rag finding>, n_hits) of scored chunks."""
+    hits = F.filter(scored, lambda c: c["similarity"] >= threshold)
+    return F.struct(
+        F.coalesce(F.array_max(F.transform(scored, lambda c: c["similarity"])), F.lit(0.0)).alias("max_similarity"),
+        F.transform(hits, lambda h: F.struct(
+            h["start"].alias("start"), F.lit(_ORD_SEMANTIC).alias("ord"), h["end"].alias("end"),
+            F.lit("semantic_injection").alias("signature_id"),
+            F.rint(F.lit(30) + h["similarity"] * 20).cast("int").alias("severity"), F.lit(False).alias("dampened")))
+        .alias("findings"))
+
+
+def with_template_similarity(df: DataFrame, text_col: str = "text", out: str = "_sim", templates=None,
+                             threshold: float = P.SEMANTIC_SIMILARITY_THRESHOLD) -> DataFrame:
+    """Adds ``out``: struct(max_similarity, findings) for rag_scan (0.0 and none for null, empty and blank text)."""
+    chunks = F.coalesce(chunk_spans(F.col(text_col)), F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    df = df.withColumn("_chunks", computed_once(chunks))
+    df = df.withColumn("_scored", computed_once(chunk_cosines("_chunks", templates)))
+    return df.withColumn(out, computed_once(_findings(F.col("_scored"), threshold))).drop("_chunks", "_scored")
+
+
+def with_embedding_similarity(df: DataFrame, embed: Callable[[Column], Column], text_col: str = "text", out: str = "_sim",
+                              templates=None, threshold: float = P.SEMANTIC_SIMILARITY_THRESHOLD) -> DataFrame:
+    """The same with the vectors of a backend: ``embed`` maps a column of array<string> to one of array<array<double>>.
+
+    A chunk without a vector, or with a zero one, has similarity 0."""
+    chunks = F.coalesce(chunk_spans(F.col(text_col)), F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    texts = F.array(*[F.lit(t) for t in (templates or P.CANONICAL_INJECTION_TEMPLATES)])
+    df = df.withColumn("_chunks", computed_once(chunks))
+    df = df.withColumns({"_vectors": embed(F.transform("_chunks", lambda c: c["text"])), "_templates": embed(texts)})
+
+    def product(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+
+    def cosine(a, b):
+        return F.coalesce(F.try_divide(product(a, b), F.sqrt(product(a, a)) * F.sqrt(product(b, b))), F.lit(0.0))
+
+    scored = F.zip_with("_chunks", "_vectors", lambda c, v: F.struct(
+        c["start"].alias("start"), c["end"].alias("end"),
+        F.coalesce(F.array_max(F.transform(F.col("_templates"), lambda t: cosine(v, t))), F.lit(0.0)).alias("similarity")))
+    df = df.withColumn("_scored", computed_once(scored))
+    return df.withColumn(out, computed_once(_findings(F.col("_scored"), threshold))).drop(
+        "_chunks", "_scored", "_vectors", "_templates")
 
 
 def vector_similarity(spark: SparkSession, embeddings: DataFrame, templates: DataFrame,

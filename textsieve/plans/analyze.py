@@ -69,8 +69,7 @@ def doc_results(request_docs: DataFrame, similarity: bool = True) -> tuple[DataF
     documents still spreads over tasks (partial aggregation).  The weighted score
     depends on the request's role, so it is pre-computed for every distinct
     role weight of the policy and picked after the join."""
-    sim = SIM.template_similarity(F.col("text")) if similarity else None
-    d = RAG.rag_scan(request_docs, "text", similarity=sim)
+    d = RAG.rag_scan(request_docs, "text", similarity=SIM.with_template_similarity if similarity else None)
     r = F.col("rag_injection")
     long = d.select(
         "request_id", F.col("pos").cast("int").alias("pos"), F.col("doc_id").cast("string").alias("doc_id"),

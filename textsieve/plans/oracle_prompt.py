@@ -219,6 +219,30 @@ def prompt_rules_sql(src="seeded_prompts", key="request_id", text="prompt", pre=
     return pre + views_cte(src, key, text) + ",\n" + signals_cte() + ",\n" + result_cte()
 
 
+def candidates_sql() -> str:
+    """Word windows and phrases as tables, joined by the windows' width under both bounds."""
+    rows = []
+    for i, (name, _w, _p, phrases) in enumerate(P.CATEGORIES):
+        rows += [f"({i}, {q(name)}, {q(ph)}, {len(ph.split()) + 3})" for ph in phrases]
+    th = f"CAST({P.FUZZY_THRESHOLD} AS DOUBLE)"
+    w = words("norm")
+    return f"""
+, ph AS (SELECT * FROM (VALUES {', '.join(rows)}) AS v(pos, category, phrase, width)),
+letters AS (SELECT phrase, ch, count(*) AS n FROM (SELECT phrase, unnest(regexp_extract_all(phrase, '(?s).')) AS ch
+            FROM (SELECT DISTINCT phrase FROM ph)) GROUP BY phrase, ch),
+ws AS (SELECT k, norm, {w} AS w FROM pv),
+win AS (SELECT DISTINCT k, width, CASE WHEN len(w) > width + 1 THEN array_to_string(w[i:i + width - 1], ' ') ELSE norm END AS win
+        FROM (SELECT k, norm, w, width, unnest(CASE WHEN len(w) > width + 1 THEN range(1, len(w) - width + 2) ELSE [1] END) AS i
+              FROM ws, (SELECT DISTINCT width FROM ph))),
+near AS (SELECT win.k, ph.category, ph.phrase, win.win FROM win JOIN ph ON ph.width = win.width
+         WHERE 2 * least(length(phrase), length(win)) / CAST(length(phrase) + length(win) AS DOUBLE) >= {th}
+           AND NOT EXISTS (SELECT 1 FROM sig WHERE sig.k = win.k AND sig.category = ph.category)),
+met AS (SELECT n.k, n.category, n.phrase, n.win, sum(least(l.n, length(n.win) - length(replace(n.win, l.ch, '')))) AS shared
+        FROM near n JOIN letters l ON l.phrase = n.phrase GROUP BY ALL)
+SELECT k AS request_id, category, phrase, win AS "window" FROM met
+WHERE 2 * shared / CAST(length(phrase) + length(win) AS DOUBLE) >= {th}"""
+
+
 def prompt_sql() -> dict[str, str]:
     base = prompt_rules_sql()
     ev = evasions("raw")
@@ -234,6 +258,7 @@ def prompt_sql() -> dict[str, str]:
                                  f"round(CASE WHEN {sentence_count('norm')} > 0 THEN {count('norm', VERBS)} / "
                                  f"{sentence_count('norm')} ELSE 0.0 END, 6) AS density FROM pv",
         "category_lexical": base + "\nSELECT k AS request_id, category FROM sig WHERE pos < 8",
+        "paraphrase_candidates": base + candidates_sql(),
         "multilingual_hits": base + "\nSELECT k AS request_id, regexp_extract(evidence[1], 'lang=([a-z]+)', 1) AS lang "
                                     "FROM sig WHERE category = 'multilingual_override'",
         "embedded_instruction": base + "\nSELECT k AS request_id FROM sig WHERE category = 'embedded_instruction'",

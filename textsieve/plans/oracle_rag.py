@@ -11,7 +11,7 @@ from __future__ import annotations
 from textsieve.functions import dialect as D
 from textsieve.functions import patterns as P
 from textsieve.functions.spans import oracle_spans_sql
-from textsieve.operators.rag import ORD_DECODED, ORD_EMBEDDED, ORD_ENC, ORD_MULTI, ORD_URL
+from textsieve.operators.rag import ORD_DECODED, ORD_EMBEDDED, ORD_ENC, ORD_MULTI, ORD_SEMANTIC, ORD_URL
 from textsieve.plans import oracle_prompt as OP
 from textsieve.sources.tables import cte_prefix
 
@@ -186,7 +186,47 @@ def note_sql(depth: int, n: str) -> str:
             f"|| CAST({n} AS VARCHAR) || ' inner_signals=' || CAST(n_signals AS VARCHAR)")
 
 
-def base_ctes(with_decoded=True, src: str = "seeded_docs", key: str = "doc_id", text: str = "text") -> str:
+def chunk_ctes(src: str, key: str, text: str) -> str:
+    """CTE ch: k, s, e, chunk of every sentence or line."""
+    sep = oracle_spans_sql("raw", D.re2(r"[.!?]\s+|\n+"))
+    return f"""ch0 AS (SELECT {key} AS k, {text} AS raw, list_transform({sep}, lambda x:
+          {{'start': CASE WHEN regexp_matches(substr(raw, x['start'] + 1, 1), '[.!?]') THEN x['start'] + 1 ELSE x['start'] END,
+            'end': x['end']}}) AS seps FROM {src}),
+      ch1 AS (SELECT k, raw, unnest(list_transform(range(1, len(seps) + 2), lambda i: {{
+          'start': CASE WHEN i = 1 THEN 0 ELSE seps[i - 1]['end'] END,
+          'end': CASE WHEN i = len(seps) + 1 THEN length(raw) ELSE seps[i]['start'] END}})) AS c FROM ch0),
+      ch AS (SELECT k, CAST(c['start'] AS BIGINT) AS s, CAST(c['end'] AS BIGINT) AS e,
+                    substr(raw, c['start'] + 1, c['end'] - c['start']) AS chunk FROM ch1
+             WHERE c['end'] > c['start'] AND regexp_replace(substr(raw, c['start'] + 1, c['end'] - c['start']), {STRIP}, '', 'g') <> '')"""
+
+
+def similarity_ctes(src: str, key: str, text: str) -> str:
+    """CTEs best (k, s, e, sim: best cosine of every chunk) and dsim (k, sim): distinct chunks, their grams exploded,
+    joined with the templates' grams, products summed over both norms."""
+    tpl = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(P.CANONICAL_INJECTION_TEMPLATES))
+
+    def grams(table: str, name: str) -> str:
+        each = "\nUNION ALL\n".join(
+            f"SELECT name, unnest(list_transform(range(1, length(t) - {n} + 2), lambda i: substr(t, i, {n}))) AS g FROM {table}"
+            for n in (3, 4, 5))
+        return f"{name} AS (SELECT name, g, count(*) AS n FROM ({each}) GROUP BY name, g)"
+
+    def padded(t: str) -> str:
+        return f"' ' || regexp_replace(regexp_replace(lower({t}), {STRIP}, '', 'g'), {q(WS + '+')}, ' ', 'g') || ' '"
+    return (chunk_ctes(src, key, text) + f""",
+      tt AS (SELECT name, {padded('t')} AS t FROM (VALUES {tpl}) AS v(name, t)),
+      ct AS (SELECT DISTINCT chunk AS name, {padded('chunk')} AS t FROM ch),
+      {grams('tt', 'tg')}, {grams('ct', 'cg')},
+      tn AS (SELECT name, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM tg GROUP BY name),
+      cn AS (SELECT name, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM cg GROUP BY name),
+      dots AS (SELECT cg.name AS c, tg.name AS t, sum(cg.n * tg.n) AS dot FROM cg JOIN tg ON cg.g = tg.g GROUP BY 1, 2),
+      sims AS (SELECT c, max(dot / (cn.norm * tn.norm)) AS sim FROM dots JOIN cn ON cn.name = c JOIN tn ON tn.name = t GROUP BY c),
+      best AS (SELECT ch.k, ch.s, ch.e, coalesce(sim, CAST(0 AS DOUBLE)) AS sim FROM ch LEFT JOIN sims ON sims.c = ch.chunk),
+      dsim AS (SELECT k, max(sim) AS sim, count(*) FILTER (WHERE sim >= {P.SEMANTIC_SIMILARITY_THRESHOLD}) AS n_hits FROM best GROUP BY k)""")
+
+
+def base_ctes(with_decoded=True, src: str = "seeded_docs", key: str = "doc_id", text: str = "text",
+              similarity: bool = False, trusted: str = "false", trusted_ev: str = "NULL") -> str:
     pre = cte_prefix("seeded_docs").rstrip() + ",\n"
     pre += n5_ctes(src, key, text) + ",\n"
     enc_union = "\nUNION ALL\n".join(encoded_rows())
@@ -211,6 +251,12 @@ def base_ctes(with_decoded=True, src: str = "seeded_docs", key: str = "doc_id",
             "FROM hit1 WHERE n_all + n_signals > 0),\n"
             "dnotes AS (SELECT k, string_agg(note, ' | ' ORDER BY dord, s, e) AS notes FROM decoded GROUP BY k),\n")
     rows = signature_rows() + embedded_rows() + raw_rows()
+    if similarity:
+        pre += similarity_ctes(src, key, text) + ",\n"
+        rows.append(f"SELECT k, {ORD_SEMANTIC} AS ord, 'semantic_injection' AS sid, CAST(round_even(30 + sim * 20, 0) AS INTEGER) AS sev, "
+                    f"s, e FROM best WHERE sim >= {P.SEMANTIC_SIMILARITY_THRESHOLD}")
+    else:
+        pre += "dsim AS (SELECT k, CAST(0 AS DOUBLE) AS sim FROM d WHERE false),\n"
     rows.append(f"SELECT k, {ORD_DECODED} AS ord, 'decoded_payload_injection' AS sid, "
                 f"least(50 + {P.ENCODED_SEVERITY}, 90) AS sev, s, e FROM decoded")
     pre += ("rawf AS (SELECT k, ord, sid, sev, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM (\n"
@@ -251,23 +297,27 @@ red AS (SELECT t.k, string_agg(substr(d.raw, t.cut + 1, t.s - t.cut) || {q(P.RED
     dens = f"(CASE WHEN {toks} > 0 THEN least({verbs} / {toks} * CAST(10 AS DOUBLE), CAST(1.0 AS DOUBLE)) ELSE CAST(0.0 AS DOUBLE) END)"
     W = dict(P.CONFIDENCE_WEIGHTS)
     wd = lambda n: f"CAST({W[n]} AS DOUBLE)"
-    pre += f"""conf0 AS (SELECT d.k, d.raw, coalesce(ss.span_score, 0) AS span_score, coalesce(sstat.doc_score, 0) AS doc_score,
+    pre += f"""tr AS (SELECT {key} AS k, {trusted} AS trusted, {trusted_ev} AS tev FROM {src}),
+conf0 AS (SELECT d.k, d.raw, coalesce(ss.span_score, 0) AS span_score, coalesce(sstat.doc_score, 0) AS doc_score,
         (mstat.k IS NOT NULL OR sstat.k IS NOT NULL) AS hit,
         ({wd('regex')} * least((coalesce(ss.span_score, 0) + coalesce(sstat.doc_score, 0)) / CAST(100.0 AS DOUBLE), CAST(1.0 AS DOUBLE))
-         + {wd('semantic')} * CAST(0.0 AS DOUBLE)
+         + {wd('semantic')} * coalesce(dsim.sim, CAST(0.0 AS DOUBLE))
          + {wd('role_spoofing')} * CASE WHEN coalesce(sstat.role, false) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END
          + {wd('imperative_density')} * {dens}
          + {wd('obfuscation')} * least({obf} / CAST(15.0 AS DOUBLE), CAST(1.0 AS DOUBLE))
          + {wd('external_source')} * CASE WHEN coalesce(mstat.ext, false) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END
          + {wd('decoded_payload')} * CASE WHEN coalesce(mstat.dec, false) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)
         * (CAST(1.0 AS DOUBLE) - CAST(0.5 AS DOUBLE) * CASE WHEN coalesce(mstat.n, 0) > 0 THEN mstat.nd / mstat.n ELSE CAST(0.0 AS DOUBLE) END)
-        AS c_raw, mstat.mev, sstat.sev_, dnotes.notes, red.sanitized_text
+        AS c_raw, coalesce(dsim.sim, CAST(0.0 AS DOUBLE)) AS sim, coalesce(tr.trusted, false) AS trusted, tr.tev,
+        mstat.mev, sstat.sev_, dnotes.notes, red.sanitized_text
         FROM d LEFT JOIN ss ON ss.k = d.k LEFT JOIN mstat ON mstat.k = d.k LEFT JOIN sstat ON sstat.k = d.k
-        LEFT JOIN red ON red.k = d.k LEFT JOIN dnotes ON dnotes.k = d.k),
-conf1 AS (SELECT *, greatest(CAST(0.0 AS DOUBLE), least(c_raw, CAST(1.0 AS DOUBLE))) AS conf FROM conf0),
+        LEFT JOIN red ON red.k = d.k LEFT JOIN dnotes ON dnotes.k = d.k LEFT JOIN dsim ON dsim.k = d.k
+        LEFT JOIN tr ON tr.k = d.k),
+conf1 AS (SELECT *, greatest(CAST(0.0 AS DOUBLE), least(c_raw, CAST(1.0 AS DOUBLE))) * CASE WHEN trusted
+        THEN CAST({P.ALLOWLIST_DAMPENING_FACTOR} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS conf FROM conf0),
 res AS (SELECT k, hit, conf, CASE WHEN conf >= {P.DOC_BLOCK_THRESHOLD} THEN 'block' WHEN conf >= {P.DOC_REVIEW_THRESHOLD}
         THEN 'review' ELSE 'allow' END AS decision, least(CAST(round_even(conf * 100, 0) AS INTEGER), 100) AS score0,
-        mev, sev_, notes, coalesce(sanitized_text, raw) AS sanitized_text, span_score, doc_score FROM conf1)
+        sim, trusted, tev, mev, sev_, notes, coalesce(sanitized_text, raw) AS sanitized_text, span_score, doc_score FROM conf1)
 """
     return pre
 
@@ -275,15 +325,8 @@ res AS (SELECT k, hit, conf, CASE WHEN conf >= {P.DOC_BLOCK_THRESHOLD} THEN 'blo
 def rag_sql() -> dict[str, str]:
     base = base_ctes()
     n5 = cte_prefix("seeded_docs").rstrip() + ",\n" + n5_ctes("seeded_docs", "doc_id", "text") + "\n"
-    sep = oracle_spans_sql("raw", D.re2(r"[.!?]\s+|\n+"))
-    chunk = cte_prefix("seeded_docs") + f""", c0 AS (SELECT doc_id, text AS raw, list_transform({sep}, lambda x:
-          {{'start': CASE WHEN regexp_matches(substr(raw, x['start'] + 1, 1), '[.!?]') THEN x['start'] + 1 ELSE x['start'] END,
-            'end': x['end']}}) AS seps FROM seeded_docs),
-      c1 AS (SELECT doc_id, raw, unnest(list_transform(range(1, len(seps) + 2), lambda i: {{
-          'start': CASE WHEN i = 1 THEN 0 ELSE seps[i - 1]['end'] END,
-          'end': CASE WHEN i = len(seps) + 1 THEN length(raw) ELSE seps[i]['start'] END}})) AS c FROM c0)
-      SELECT doc_id, CAST(c['start'] AS BIGINT) AS start_pos, CAST(c['end'] AS BIGINT) AS end_pos FROM c1
-      WHERE c['end'] > c['start'] AND regexp_replace(substr(raw, c['start'] + 1, c['end'] - c['start']), {STRIP}, '', 'g') <> ''"""
+    chunk = cte_prefix("seeded_docs").rstrip() + ",\n" + chunk_ctes("seeded_docs", "doc_id", "text") + (
+        "\nSELECT k AS doc_id, s AS start_pos, e AS end_pos FROM ch")
     banner = oracle_spans_sql(wv("norm"), D.re2(P.RAG_SIGNATURES[20][2], P.RAG_SIGNATURES[20][3]))
     trusted_ids = ", ".join(q(x) for x in P.TRUSTED_DOCUMENT_IDS)
     nid = f"lower(regexp_replace(document_id, {STRIP}, '', 'g'))"
@@ -291,8 +334,14 @@ def rag_sql() -> dict[str, str]:
                + " OR ".join(f"contains({nid}, {q(s)})" for s in P.TRUSTED_ID_SUBSTRINGS) + "), false)")
     verbs = OP.count("text", OP.VERBS)
     toks = f"len({OP.words('text')})"
-    evidence = ("array_to_string(list_filter([mev, sev_, notes, 'semantic_max_similarity=0.000 threshold=0.85', "
-                "'confidence=' || printf('%.3f', conf) || ' decision=' || decision], lambda x: x IS NOT NULL), ' | ')")
+    evidence = ("array_to_string(list_filter([mev, sev_, notes, 'semantic_max_similarity=' || printf('%.3f', sim) || ' threshold=0.85', "
+                "'confidence=' || printf('%.3f', conf) || ' decision=' || decision, CASE WHEN trusted THEN tev END], lambda x: x IS NOT NULL), ' | ')")
+    allowed = "'allow_listed_source document_id=' || chr(39) || document_id || chr(39)"
+    whole = f"""SELECT k AS doc_id, hit AND decision <> 'allow' AS matched,
+            CAST(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60 ELSE score0 END AS BIGINT) AS score,
+            CASE WHEN hit THEN decision ELSE 'allow' END AS decision,
+            round(CASE WHEN hit THEN conf ELSE 0.0 END, 6) AS confidence,
+            CASE WHEN hit THEN {evidence} ELSE '' END AS evidence, sanitized_text FROM res"""
     return {
         "normalize_with_map": n5 + "SELECT k AS doc_id, norm, CAST(length(norm) AS BIGINT) AS norm_len FROM d",
         "map_span": n5 + f"SELECT k AS doc_id, CAST(m['start'] AS BIGINT) AS start_pos, CAST(m['end'] AS BIGINT) AS end_pos "
@@ -331,11 +380,11 @@ def rag_sql() -> dict[str, str]:
             hit AND decision <> 'allow' AS matched,
             CAST(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60 ELSE score0 END AS BIGINT) AS score
             FROM res""",
-        "rag_rules": base + f"""SELECT k AS doc_id, hit AND decision <> 'allow' AS matched,
-            CAST(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60 ELSE score0 END AS BIGINT) AS score,
-            CASE WHEN hit THEN decision ELSE 'allow' END AS decision,
-            round(CASE WHEN hit THEN conf ELSE 0.0 END, 6) AS confidence,
-            CASE WHEN hit THEN {evidence} ELSE '' END AS evidence, sanitized_text FROM res""",
+        "rag_rules": base + whole,
+        "rag_scan": base_ctes(similarity=True, trusted=trusted, trusted_ev=allowed) + whole,
+        "template_similarity": cte_prefix("seeded_docs").rstrip() + ",\n" + similarity_ctes("seeded_docs", "doc_id", "text")
+                               + "\nSELECT d.doc_id, round(coalesce(sim, 0), 6) AS max_similarity, CAST(coalesce(n_hits, 0) AS BIGINT) AS n_hits "
+                                 "FROM seeded_docs d LEFT JOIN dsim ON dsim.k = d.doc_id",
         "rag_decision_counts": base + """SELECT CASE WHEN hit THEN decision ELSE 'allow' END AS decision,
             count(*) AS n_docs, CAST(sum(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60
             ELSE score0 END) AS BIGINT) AS sum_score FROM res GROUP BY 1""",

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsieve.functions.arrays import explode_rows
+from textsieve.functions.barrier import computed_once
 
 from textsieve.functions import dialect as D
 from textsieve.functions import normalize as N
@@ -23,12 +24,12 @@ def _views(spark, sf_dir) -> DataFrame:
 
 def _signals(spark, sf_dir, paraphrase=False) -> DataFrame:
     v = _views(spark, sf_dir)
+    v = v.withColumn("_lexical", computed_once(PR.lexical_hits(F.col("_norm"), F.col("_leet"))))
     para = None
     if paraphrase:
-        norm, lv = F.col("_norm"), F.col("_leet")
-        v = v.withColumn("_para", PR.paraphrase_hits(norm, F.array(*[F.lit(False)] * len(P.CATEGORIES))))
+        v = PR.with_paraphrases(v)
         para = F.col("_para")
-    sig = PR.prompt_signals(D.fold_ws(F.col("prompt")), F.col("_norm"), F.col("_leet"), para)
+    sig = PR.prompt_signals(D.fold_ws(F.col("prompt")), F.col("_norm"), F.col("_lexical"), para)
     return explode_rows(v, ["request_id"], sig, "s", pos="pos").select(
         "request_id", "pos", F.col("s.category").alias("category"), F.col("s.weight").alias("weight"),
         F.col("s.evidence").alias("evidence"))
@@ -79,6 +80,15 @@ def paraphrase_match(spark, sf_dir):
                     F.regexp_extract(F.col("evidence")[0], "confidence=([0-9.]+)", 1).alias("confidence")))
 
 
+def paraphrase_candidates(spark, sf_dir):
+    """P2, prune step: the word windows of every prompt that may be close enough to a phrase."""
+    v = _views(spark, sf_dir)
+    v = v.withColumn("_lexical", computed_once(PR.lexical_hits(F.col("_norm"), F.col("_leet"))))
+    names = F.array(*[F.lit(n) for n in PR.CATEGORY_NAMES])
+    return (PR.with_norm_key(v).select("request_id", *PR._KEY).join(PR.paraphrase_candidates(v), PR._KEY)
+            .select("request_id", F.get(names, F.col("category")).alias("category"), "phrase", "window"))
+
+
 def multilingual_hits(spark, sf_dir):
     return (_signals(spark, sf_dir).where("category = 'multilingual_override'")
             .select("request_id", F.regexp_extract(F.col("evidence")[0], "lang=([a-z]+)", 1).alias("lang")))
@@ -174,6 +184,7 @@ QUERIES = {
     "sentence_stats": sentence_stats,
     "category_lexical": category_lexical,
     "paraphrase_match": paraphrase_match,
+    "paraphrase_candidates": paraphrase_candidates,
     "multilingual_hits": multilingual_hits,
     "embedded_instruction": embedded_instruction,
     "structural_delimiter": structural_delimiter,

@@ -88,8 +88,8 @@ def doc_signals_q(spark, sf_dir):
 
 def _scanned(spark, sf_dir, similarity=False, trusted=False):
     d = _docs(spark, sf_dir)
-    sim = SIM.template_similarity(F.col("text")) if similarity else None
-    return RAG.rag_scan(d, "text", doc_id_col="document_id" if trusted else None, similarity=sim, keep=True)
+    return RAG.rag_scan(d, "text", doc_id_col="document_id" if trusted else None,
+                        similarity=SIM.with_template_similarity if similarity else None, keep=True)
 
 
 def documentation_dampening(spark, sf_dir):
@@ -120,9 +120,9 @@ def rag_span_score(spark, sf_dir):
 
 def template_similarity(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    s = d.select("doc_id", SIM.template_similarity(F.col("text")).alias("s"))
+    s = SIM.with_template_similarity(d, "text", "s")
     return s.select("doc_id", F.round("s.max_similarity", 6).alias("max_similarity"),
-                    F.size("s.hits").cast("long").alias("n_hits"))
+                    F.size("s.findings").cast("long").alias("n_hits"))
 
 
 def vector_similarity(spark, sf_dir):
