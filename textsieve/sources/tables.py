@@ -97,9 +97,12 @@ SELECT d.doc_id, d.lang,
 FROM documents d LEFT JOIN seeds s ON (d.doc_id * 7) % 31 = s.k
 """
 
+# every document belongs to a request: documents are dealt to all conversations in turn, and to their requests in turn
 REQUEST_DOCS_SQL = """
 SELECT p.request_id, d.* FROM seeded_docs d
-JOIN seeded_prompts p ON p.conv_id = d.doc_id % 100 AND p.turn = d.doc_id % 2
+CROSS JOIN (SELECT max(conv_id) + 1 AS n FROM conversations) c
+JOIN (SELECT conv_id, max(turn) + 1 AS turns FROM conversations GROUP BY conv_id) t ON t.conv_id = d.doc_id % c.n
+JOIN seeded_prompts p ON p.conv_id = t.conv_id AND p.turn = CAST(floor(d.doc_id / c.n) AS BIGINT) % t.turns
 """
 
 VIEWS = [("seeds", SEEDS_SQL), ("seeded_prompts", SEEDED_PROMPTS_SQL),
