@@ -1,6 +1,7 @@
 """HTML extraction: parser cases, style tree importance against a plain version."""
 import math
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 from textsieve.llm import op10_html as H
 
@@ -42,28 +43,44 @@ def test_long_quoted_values():
         H.main_text("<p " + piece * 100_000 + ">")
 
 
-def plain_low(pages, least):
+def plain_low(pages, least, path_of="path", label_of="label"):
     """Paths to cut of one site, straight from the definition."""
-    seen, styles, contents = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
+    m_all = len(pages)
+    on, styles, contents = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
     for no, page in enumerate(pages):
         blocks, nodes = H.parse(page)
         for x in nodes:
-            seen[x.path].add(no)
-            styles[x.path][tuple(x.children)].add(no)
+            if x.tag in H.CONTAINERS or x.up is None:
+                on[getattr(x, path_of)].add(no)
+                styles[getattr(x, path_of)][tuple(getattr(c, label_of) for c in x.children)].add(no)
         for x, t in blocks:
-            contents[x.path][t].add(no)
+            contents[getattr(x, path_of)][t].add(no)
+
+    def below(path):
+        return [(t, s) for q, texts in contents.items() if q == path or q.startswith(path + "/") for t, s in texts.items()]
+
+    worth = {p: sum(len(t.split()) * len(s) * (1 - math.log(len(s)) / math.log(m_all)) for t, s in below(p)) for p in on}
+    words = {p: sum(len(t.split()) * len(s) for t, s in below(p)) for p in on}
+    main = ""
+    while True:
+        children = [p for p in on if p and p.rpartition("/")[0] == main and worth[p] > 0 and worth[p] >= H.SHARE * worth[main]]
+        if not children:
+            break
+        main = children[0]
     low = set()
-    for path, on in seen.items():
-        m, n_styles = len(on), len(styles[path])
-        presentation = 1.0 if m == 1 else sum(len(s) / m * math.log(m / len(s)) for s in styles[path].values()) / math.log(m)
-        imp = n = 0.0
-        for q, texts in contents.items():
-            if q == path or q.startswith(path + "/") or path == "":
-                k = len(seen[q])
-                imp += sum(1 - (math.log(len(s)) / math.log(k) if k > 1 else 0.0) for s in texts.values())
-                n += len(texts)
-        if path and n and (1 - 0.9 ** n_styles) * presentation + 0.9 ** n_styles * imp / n < least:
-            low.add(path)
+    for p in on:
+        tag = p.rpartition("/")[2].split(">")[0].split(".")[0].split("#")[0]
+        if len(on[p]) < H.MIN_PAGES or not words[p] or (main + "/").startswith(p + "/") or tag in H.NEVER:
+            continue
+        n = sum(len(s) for s in styles[p].values())
+        presentation = -sum(len(s) / n * math.log(len(s) / n) for s in styles[p].values()) / math.log(m_all)
+        if (p + "/").startswith(main + "/"):
+            content = worth[p] / words[p]
+        else:
+            content = min(1.0, worth[p] / len(on[p]) / (worth[main] / len(on[main])))
+        fade = 0.9 ** len(styles[p])
+        if (1 - fade) * presentation + fade * content < least:
+            low.add(p)
     return low
 
 
@@ -88,9 +105,14 @@ def test_style_tree_cuts_what_repeats_on_a_host(spark):
     assert got[(100, "https://small.example/x")].text == "Alone"
     assert got[(101, None)].text == "" and got[(None, "not a url")].text == "q"
     src = df.select("page_id", "url", "html", H.host_of(df["url"]).alias("host"))
-    trees = {r.host: set(r.cut) for r in H.unimportant_branches(H.style_counts(src)).collect()}
-    assert trees["big.example"] == plain_low(pages + [pages[0]], H.LEAST_IMPORTANCE)
+    trees = defaultdict(set)
+    for r in H.unimportant_branches(H.style_counts(src)).collect():
+        trees[r.host].add(r.cut)
+    assert trees["big.example"] - {""} == plain_low(pages + [pages[0]], H.LEAST_IMPORTANCE)
+    assert len(trees["big.example"]) == 4 and all("" in t for t in trees.values())
     assert set(trees) == {"big.example", "*"}
+    distinct = [*pages, rows[40][2], "", rows[42][2]]
+    assert trees["*"] - {""} == plain_low(distinct, H.LEAST_IMPORTANCE, "plain", "tag")
 
 
 def test_articles_that_repeat_stay(spark):
@@ -130,3 +152,61 @@ def test_query(spark):
     for p in pages:
         assert got[p.page_id].url == p.url and got[p.page_id].n_chars == len(got[p.page_id].text) > 0
         assert "<" not in got[p.page_id].text.replace("< ", "")
+
+
+def test_names_never_cut_what_holds_the_text():
+    keep = {'<body class="no-sidebar"><p>One</p></body>': "One", '<div id="search-results"><p>Two</p></div>': "Two",
+            '<article class="share"><p>Three</p></article>': "Three", "<form><div><p>Four is the whole page</p></div></form>": "Four is the whole page",
+            '<div class="with-sidebar"><article><p>Five</p></article><div class="sidebar">Side</div></div>': "Five",
+            '<article><div class="entry-header"><h1>Six</h1></div><p>Body</p></article>': "Six\n\nBody",
+            "<article></article><p>Seven</p>": "Seven"}
+    for page, text in keep.items():
+        assert H.main_text(page) == text, page
+    long = "<p>" + "nice " * 200 + "</p>"
+    assert H.main_text(f'<article><p>Story</p><section class="comments">{long}</section></article>') == "Story"
+    assert H.main_text(f'<article><p>Story</p></article><div id="comments">{long}</div>') == "Story"
+    assert H.main_text('<p>Some text of the page</p><div class="ad"><p>Buy</p></div>') == "Some text of the page"
+
+
+_NAMING = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside|form|section)\b")
+
+
+def unnamed(html):
+    """The page without anything that names its parts: such tags become div, classes and ids go."""
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", _NAMING.sub(r"<\1div", html))
+
+
+def words_found(spark, rows, **options):
+    """(precision, recall) of the words of the main text that the pages' own marks give."""
+    want = {i: Counter(H.main_text(h).split()) for i, _, h in rows}
+    df = spark.createDataFrame([(i, u, unnamed(h)) for i, u, h in rows], "page_id long, url string, html string").repartition(8)
+    got = {r.page_id: Counter(r.text.split()) for r in H.extract(df, **options).collect()}
+    both = sum(sum((want[i] & got[i]).values()) for i in want)
+    return both / sum(sum(c.values()) for c in got.values()), both / sum(sum(c.values()) for c in want.values())
+
+
+def test_tree_finds_the_article_where_nothing_names_it(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html").collect()]
+    precision, recall = words_found(spark, rows)
+    assert precision >= 0.95 and recall >= 0.95, (precision, recall)
+    off, _ = words_found(spark, rows, least=-1.0)
+    assert off < precision - 0.05, (off, precision)
+
+
+def test_trees_cut_menu_advert_and_footer(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    src = df.select("page_id", "url", "html", H.host_of(df["url"]).alias("host"))
+    found = defaultdict(set)
+    for r in H.unimportant_branches(H.style_counts(src)).collect():
+        found[r.host].add(r.cut.rpartition("/")[2].rstrip("0123456789"))
+    hosts = [t for h, t in found.items() if h != "*"]
+    assert len(hosts) > 20 and sum({"nav>l", "footer>t", "div.ad>t"} <= t for t in hosts) > 0.9 * len(hosts)
+    assert not any(x.startswith(("article", "body", "html")) for t in found.values() for x in t)
+
+
+def test_deep_pages_and_long_texts(spark):
+    deep = "<div>" * 500 + "<p>deep text of page {}</p>" + "</div>" * 500
+    rows = [(i, "http://deep.example/", deep.format(i)) for i in range(12)] + [(99, "http://deep.example/", "<p>" + "word " * 50_000 + "</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert all(got[i] == f"deep text of page {i}" for i in range(12)) and len(got[99].split()) == 50_000

@@ -1,42 +1,51 @@
 """Main text of web pages with a site style tree.
 
-The DOMs of one host are merged into a tree whose nodes are element paths (tag,
-class and id of every block element from the root, digits left out).  A node has
-the presentation styles seen on the host's m pages (sequences of child elements)
-and, where it holds text, the contents seen (block texts).  Both give an
-importance between 0 and 1:
-
-- content: 1 - mean over distinct contents of log(pages with it) / log(m): near 1
-  where every page says something else, near 0 where all say the same;
-- presentation: entropy of the styles to the base m;
-- a branch combines its own presentation and the contents below it:
-  (1 - 0.9 ** styles) * presentation + 0.9 ** styles * content.
-
-Branches below ``LEAST_IMPORTANCE`` are cut from every page of the host.  A host
-with fewer than ``MIN_PAGES`` pages says too little about itself; its pages use
-the tree of all pages.  Nor is a branch cut that fewer than ``MIN_PAGES`` pages have.
+The DOMs of one host are merged into a tree.  Its nodes are the paths of
+container elements (div, section, article, ...): for each step the tag, class and
+id (digits left out), whether the element holds bare text, lists or other blocks,
+and its number among equal siblings.  A node has the presentation styles seen
+on the host's m pages (sequences of child elements) and, where it holds text, the
+contents seen (block texts, weighed by their words).
+
+- A content that n of the host's m pages have is worth 1 - log(n) / log(m) for each of its
+  words: 1 if it is on one page, 0 if it is on all.  A branch's content is what its
+  words are worth, on average of the pages that have it.
+- Its presentation is the entropy of its styles to the base m.
+- The most telling branch is found from the root down, by the child that holds at least
+  ``SHARE`` of what its parent's words are worth.  It and its ancestors are never cut.
+- Branches beside it are judged against it: their content is the share of its content.  Branches
+  inside it are judged by what their words are worth on average.  The importance
+  is (1 - 0.9 ** styles) * presentation + 0.9 ** styles * content.
+
+Branches whose importance is below ``LEAST_IMPORTANCE`` are cut from every page of
+the host.  A host with fewer than ``MIN_PAGES`` pages says too little about itself; its
+pages use the tree of all pages, in which class and id do not count, so that all
+of them share its nodes.  Nor is a branch cut that fewer than ``MIN_PAGES`` pages have.
 Pages are counted by their html: copies are one page of their host and one of the
 tree of all pages, so they cannot make their own main text look repeated.  Only
-where most of the text is the body of an article (see below), which is never cut,
-copies count each.  Besides, elements whose tag, class, id or role names a
-menu, header, footer, sidebar, notice, advert, form or reader comments are cut
-on any site, and where a page marks its article (or main) element only that
-is read.  Plain text elements (paragraphs, headings, lists, tables, ...) directly
-in the article are its body and are never cut, so repeated articles stay whole.
+where most of the text is the body of an article, whose plain text elements are
+never cut, copies count each.
+
+Beside the tree, tags and roles that name a menu, header, footer, sidebar or
+notice are cut on any page.  Class and id words (and form) are only a hint: such an element
+is cut unless it is html, body, article or main or a container of most of the page's text; comments are cut if
+there is other article text.  Where a page marks its article (or main) element and that has text, only it is read.
 
 Scale: pages are parsed where they lie.  Styles and contents are counted per
 host and path after summing in each task, so a host with a third of all pages is a
-few aggregated rows; only lists of cut paths are joined back on the host, salted.
+few aggregated rows.  Cut paths are rows; the distinct paths of each page are joined
+with them by hash, salted, and a page gets only its own cut paths.
 Pages that may have copies are known by ``MARKS`` bits of the hashes of their html;
 only their counts are kept by page until copies are dropped.
 
 Edge cases: null or empty html gives empty text; an unclosed element ends with
 its parent, an unclosed script or comment with the page; null urls form one host;
-a page of any length is read whole.
+paths deeper than ``DEPTH`` count as their ancestor of that depth; a page of any length is read whole.
 """
 from __future__ import annotations
 
 import html as entities
+import operator
 import re
 
 import numpy as np
@@ -47,9 +56,10 @@ from pyspark.sql import functions as F
 
 from textsieve.llm.common import cut, table, values
 
-MIN_PAGES, LEAST_IMPORTANCE, DECAY = 8, 0.2, 0.9
+MIN_PAGES, LEAST_IMPORTANCE, DECAY, SHARE = 8, 0.2, 0.9, 0.6
 ALL = "*"
-SALTS = 64
+SALTS = 16
+DEPTH = 24
 MARKS = 1 << 23
 _FLUSH = 200_000
 
@@ -61,14 +71,19 @@ BLOCKS = TEXT_BLOCKS | {"html", "head", "body", "div", "article", "main", "nav",
                         "fieldset", "title", "details", "summary", "dialog", "menu", "hgroup", "center", "select",
                         "button", "label", "option"}
 BODY = {"article", "main"}
-CUT_TAGS = {"head", "title", "nav", "footer", "aside", "form", "fieldset", "dialog", "menu", "select", "button", "label",
-            "option"}
-CUT_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner",
-             "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "sidebar", "aside",
-             "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "topbar",
-             "comment", "comments", "respond", "reply", "replies", "discussion", "share", "sharing", "social", "related",
-             "recommended", "newsletter", "subscribe", "signup", "login", "search", "widget", "toolbar", "pagination",
-             "pager", "contentinfo", "complementary", "dialog", "form"}
+CONTAINERS = BLOCKS - TEXT_BLOCKS | {"section", "figure"}
+LISTS = {"ul", "ol", "dl", "li", "menu", "select"}
+NEVER = {"html", "body"} | BODY
+CUT_TAGS = {"head", "title", "nav", "footer", "aside", "dialog", "menu", "select", "button", "label", "option"}
+CUT_ROLES = {"navigation", "contentinfo", "complementary", "banner", "search", "dialog", "alertdialog", "menu", "menubar"}
+HINT_TAGS = {"form", "fieldset"}
+HINTS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promotion",
+         "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "sidebar", "aside",
+         "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer",
+         "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "login", "search",
+         "widget", "toolbar", "pagination", "pager", "contentinfo", "complementary", "dialog", "form"}
+HEAD_HINTS = {"header", "masthead", "topbar", "banner"}      # outside articles
+COMMENTS = {"comment", "comments", "respond", "reply", "replies", "discussion"}
 #: An open element of the left side ends where one of the right side opens.
 ENDED_BY = {"p": BLOCKS - {"label", "button", "select", "option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
             "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
@@ -83,10 +98,20 @@ _COMMENT_END = re.compile(r"--!?>")
 
 
 class Node:
-    __slots__ = ("tag", "path", "is_cut", "in_body", "children")
+    """A block element: ``is_cut`` by tag, role or hint (after `settle`), ``path`` and ``plain`` (without class and id)
+    in the style tree if it is a container (after `name_paths`)."""
+    __slots__ = ("tag", "up", "label", "is_cut", "hint", "in_body", "children", "own", "size", "body_size", "path", "plain")
+
+    def __init__(self, tag, up, label, is_cut, hint, in_body):
+        self.tag, self.up, self.label, self.is_cut, self.hint, self.in_body = tag, up, label, is_cut, hint, in_body
+        self.children, self.own, self.size, self.body_size, self.path, self.plain = [], 0, 0, 0, "", ""
 
-    def __init__(self, tag, path, is_cut, in_body):
-        self.tag, self.path, self.is_cut, self.in_body, self.children = tag, path, is_cut, in_body, []
+    @property
+    def container(self):
+        node = self
+        while node.tag not in CONTAINERS and node.up is not None:
+            node = node.up
+        return node
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -107,13 +132,14 @@ def _tag_end(html: str, at: int) -> int:
 
 def parse(html: str):
     """(blocks, nodes): blocks are (node, text) in page order, nodes are all block elements."""
-    root = Node("", "", False, False)
+    root = Node("", None, "", False, "", False)
     stack, nodes, blocks, held = [root], [root], [], []
 
     def close_block():
         text = " ".join("".join(held).split())
         held.clear()
         if text:
+            stack[-1].own += len(text)
             blocks.append((stack[-1], text))
 
     at, n = 0, len(html)
@@ -161,34 +187,78 @@ def parse(html: str):
             stack.pop()
         up = stack[-1]
         names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes) if k.lower() in _NAMES}
-        words = set(re.split(r"[^a-z]+", " ".join(names.values()).lower())) if names else set()
-        is_cut = up.is_cut or tag in CUT_TAGS or bool(words & CUT_NAMES) or (tag == "header" and not up.in_body)
-        label = tag
-        if names:
-            label += "".join(f"{mark}{re.sub(r'[0-9/]+', '', '.'.join(sorted(names[k].split())))}"
-                             for k, mark in (("class", "."), ("id", "#")) if names.get(k))
-        node = Node(tag, f"{up.path}/{label}", is_cut, up.in_body or tag in BODY)
-        up.children.append(label)
+        words = set(re.split(r"[^a-z]+", f"{names.get('class', '')} {names.get('id', '')}".lower())) if names else set()
+        is_cut = tag in CUT_TAGS or (tag == "header" and not up.in_body) or (
+            tag not in NEVER and names.get("role", "").strip().lower() in CUT_ROLES)
+        hint = "" if tag in NEVER else "comments" if words & COMMENTS else "other" if (
+            tag in HINT_TAGS or words & HINTS or (words & HEAD_HINTS and not up.in_body)) else ""
+        label = tag + "".join(f"{mark}{re.sub(r'[0-9/>]+', '', '.'.join(sorted(names[k].split())))}"
+                              for k, mark in (("class", "."), ("id", "#")) if names.get(k))
+        node = Node(tag, up, label, is_cut, hint, up.in_body or tag in BODY)
+        up.children.append(node)
         stack.append(node)
         nodes.append(node)
     close_block()
+    settle(nodes)
+    name_paths(nodes)
     return blocks, nodes
 
 
-def is_body(path: str) -> bool:
-    """Whether a path leads from an article through plain text elements only."""
-    labels = path.split("/")
-    for i in range(len(labels) - 1, -1, -1):
-        tag = re.split(r"[.#]", labels[i])[0]
-        if tag in BODY:
-            return True
-        if labels[i] != tag or tag not in TEXT_BLOCKS:
+def settle(nodes: list[Node]) -> None:
+    """Decide on hints: a container that holds most of the text (as far as tags and roles leave it) stays, and
+    comments stay only where no other article has text."""
+    for x in nodes[1:]:
+        x.is_cut = x.is_cut or x.up.is_cut
+    for x in reversed(nodes):
+        if not x.is_cut:
+            x.size += x.own
+            x.body_size += x.own if x.in_body else 0
+            if x.up is not None:
+                x.up.size += x.size
+                x.up.body_size += x.body_size
+    root = nodes[0]
+    for x in nodes[1:]:
+        if x.up.is_cut:
+            x.is_cut = True
+        elif x.hint and not x.is_cut:
+            elsewhere = root.body_size - x.body_size
+            x.is_cut = x.tag not in CONTAINERS or (
+                elsewhere > 0 if x.hint == "comments" else 2 * x.size < root.size or not x.size)
+
+
+def name_paths(nodes: list[Node]) -> None:
+    """Paths of containers in the tree of the host and, without class and id, in that of all pages."""
+    for x in nodes:
+        seen: dict[tuple, int] = {}
+        for c in x.children:
+            if c.tag not in CONTAINERS:
+                c.path, c.plain = x.path, x.plain
+                continue
+            tags = {y.tag for y in c.children}
+            kind = "t" if not tags else "l" if tags <= LISTS else "x"
+            up = (x.path, x.plain)
+            if up[0].count("/") >= DEPTH:
+                c.path, c.plain = up
+                continue
+            numbers = []
+            for label in (c.label, c.tag):
+                seen[(label, kind, len(numbers))] = k = seen.get((label, kind, len(numbers)), 0) + 1
+                numbers.append(f"{label}>{kind}{min(k, 9)}")
+            c.path, c.plain = f"{up[0]}/{numbers[0]}", f"{up[1]}/{numbers[1]}"
+
+
+def is_body(node: Node) -> bool:
+    """Whether a node is an article or lies in one through plain text elements only."""
+    while node is not None and node.tag not in BODY:
+        if node.tag not in TEXT_BLOCKS or node.label != node.tag:
             return False
-    return False
+        node = node.up
+    return node is not None
 
 
-def main_text(html: str | None, unimportant: frozenset[str] = frozenset()) -> str:
-    """Blocks of the page that are left, joined by blank lines."""
+def main_text(html: str | None, unimportant: frozenset[str] = frozenset(), plain: bool = False) -> str:
+    """Blocks of the page that are left, joined by blank lines; ``unimportant`` are paths of the tree of its host, or
+    with ``plain`` of that of all pages."""
     if not html:
         return ""
     blocks, nodes = parse(html)
@@ -196,16 +266,14 @@ def main_text(html: str | None, unimportant: frozenset[str] = frozenset()) -> st
     def kept(node: Node) -> bool:
         if node.is_cut:
             return False
-        if not unimportant or is_body(node.path):
-            return True
-        at = node.path
-        while at:
+        at = node.plain if plain else node.path
+        while at and unimportant:
             if at in unimportant:
                 return False
             at = at.rpartition("/")[0]
         return True
 
-    only_body = any(x.in_body and not x.is_cut for x in nodes)
+    only_body = nodes[0].body_size > 0
     return "\n\n".join(t for node, t in blocks if (node.in_body or not only_body) and kept(node))
 
 
@@ -215,7 +283,7 @@ def host_of(url):
 
 def mostly_body(blocks: list) -> bool:
     """Whether more than half of a page's text, as far as names tell, is the plain body of an article."""
-    sizes = [(len(t), is_body(node.path)) for node, t in blocks if node.in_body and not node.is_cut]
+    sizes = [(len(t), is_body(node)) for node, t in blocks if node.in_body and not node.is_cut]
     return 2 * sum(n for n, body in sizes if body) > sum(n for n, _ in sizes)
 
 
@@ -231,9 +299,20 @@ def copied(pages: DataFrame) -> np.ndarray:
     return out
 
 
+def _seen(blocks, nodes, path_of: str, label_of: str) -> set[tuple[str, int, int, int]]:
+    """(path, kind, value, words) of one page."""
+    of = operator.attrgetter(path_of)
+    out = {(of(x), 0, xxhash.xxh3_64_intdigest(t) - (1 << 63), min(len(t.split()), 1 << 30)) for x, t in blocks}
+    for x in nodes:
+        if x.tag in CONTAINERS or x.up is None:
+            style = "/".join(getattr(c, label_of) for c in x.children)
+            out |= {(of(x), 1, xxhash.xxh3_64_intdigest(style) - (1 << 63), 0), (of(x), 2, 0, 0)}
+    return out
+
+
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, n): distinct pages of the host (and of all, ``*``) whose node at path has the value:
-    kind 0 a content, 1 a presentation style, 2 the node itself."""
+    """(host, path, kind, value, words, n): distinct pages of the host (and of all, ``*``) whose node at path has the
+    value: kind 0 a content of so many words, 1 a presentation style, 2 the node itself."""
     pages = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).withColumn(
         "mark", F.pmod(F.xxhash64("html"), F.lit(MARKS)))
     marks = pages.sparkSession.sparkContext.broadcast(copied(pages))
@@ -244,10 +323,10 @@ def style_counts(pages: DataFrame) -> DataFrame:
 
             def flush():
                 columns = list(zip(*total))
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(),
-                                                              pa.bool_()))] + [pa.array(list(total.values()), pa.int64())],
-                    names=["host", "path", "kind", "value", "page", "each", "n"])
+                    [pa.array(c, t) for c, t in zip(columns, kinds)] + [pa.array(list(total.values()), pa.int64())],
+                    names=["host", "path", "kind", "value", "words", "page", "each", "n"])
 
             for b in batches:
                 mark = b.column(2).to_numpy()
@@ -255,22 +334,20 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 own = b.take(pa.array(np.flatnonzero(on == with_copies)))
                 for host, html in zip(values(own.column(0)), values(own.column(1))):
                     blocks, nodes = parse(html)
-                    seen = {(x.path, 0, xxhash.xxh3_64_intdigest(t) - (1 << 63)) for x, t in blocks}
-                    seen |= {(x.path, 1, xxhash.xxh3_64_intdigest("/".join(x.children)) - (1 << 63)) for x in nodes}
-                    seen |= {(x.path, 2, 0) for x in nodes}
                     page = (xxhash.xxh3_64_intdigest(html) - (1 << 63), mostly_body(blocks)) if with_copies else (0, True)
-                    for key in seen:
-                        for h in (host, ALL):
-                            total[(h, *key, *page)] = total.get((h, *key, *page), 0) + 1
+                    for tree, path_of, label_of in ((host, "path", "label"), (ALL, "plain", "tag")):
+                        for key in _seen(blocks, nodes, path_of, label_of):
+                            total[(tree, *key, *page)] = total.get((tree, *key, *page), 0) + 1
                     if len(total) >= _FLUSH:
                         yield flush()
                         total.clear()
             if total:
                 yield flush()
 
-        return pages.mapInArrow(run, "host string, path string, kind int, value bigint, page bigint, each boolean, n bigint")
+        return pages.mapInArrow(run, "host string, path string, kind int, value bigint, words int, page bigint, "
+                                     "each boolean, n bigint")
 
-    key = ["host", "path", "kind", "value"]
+    key = ["host", "path", "kind", "value", "words"]
     single = counts_of(False).select(*key, "n")
     several = (counts_of(True).groupBy(*key, "page", "each").agg(F.sum("n").alias("n"))
                .select(*key, F.when(F.col("each"), F.col("n")).otherwise(F.lit(1).cast("bigint")).alias("n")))
@@ -278,60 +355,106 @@ def style_counts(pages: DataFrame) -> DataFrame:
 
 
 def unimportant_branches(counts: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, cut): for each host with enough pages (and ``*``) the paths of its tree that enough pages have and
-    that are to cut."""
-    pages = counts.where("path = '' AND kind = 2").select("host", F.col("n").alias("pages")).where(
+    """(host, cut): a row for each path to cut of the tree of a host with enough pages (and of ``*``), and a row with
+    the empty path, which cuts nothing, for each such tree."""
+    trees = counts.where("path = '' AND kind = 2").select("host", F.col("n").alias("pages")).where(
         (F.col("pages") >= min_pages) | (F.col("host") == ALL))
-    node = counts.where("kind = 2").select("host", "path", F.col("n").alias("m"))
-    per = (counts.where("kind < 2").join(node, ["host", "path"]).groupBy("host", "path", "m").agg(
-        F.sum(F.when(F.col("kind") == 0, F.log("n"))).alias("logs"),
-        F.count(F.when(F.col("kind") == 0, 1)).alias("contents"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n") / F.col("m") * F.log(F.col("m") / F.col("n")))).alias("entropy"),
-        F.count(F.when(F.col("kind") == 1, 1)).alias("styles")))
-    base = F.when(F.col("m") > 1, F.log("m"))
-    per = per.select("host", "path", "m", "styles", F.coalesce(F.col("entropy") / base, F.lit(1.0)).alias("presentation"),
-                     F.col("contents"), F.coalesce(1 - F.col("logs") / F.col("contents") / base, F.lit(1.0)).alias("own"))
+    counts = counts.join(trees, "host")
+    base = F.when(F.col("pages") > 1, F.log(F.col("pages")))
+    worth = F.coalesce(1 - F.log("n") / base, F.lit(1.0)) * F.col("words") * F.col("n")
+    per = counts.groupBy("host", "path").agg(
+        F.sum(F.when(F.col("kind") == 0, worth).otherwise(0.0)).alias("worth"),
+        F.sum(F.when(F.col("kind") == 0, F.col("words") * F.col("n")).otherwise(0)).alias("words"),
+        F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("m"),
+        F.sum(F.when(F.col("kind") == 1, -F.col("n") * F.log("n"))).alias("nlogn"),
+        F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("n_styled"),
+        F.count(F.when(F.col("kind") == 1, 1)).alias("styles"), F.first("pages").alias("pages"))
+    # entropy of n_i / N: log N - sum(n_i log n_i) / N
+    entropy = F.greatest(F.log("n_styled") + F.col("nlogn") / F.col("n_styled"), F.lit(0.0))
+    per = per.withColumn("presentation", F.coalesce(entropy / base, F.lit(0.0)))
     # contents count for every branch above them
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
-    below = (per.where("contents > 0").select("host", F.explode(above).alias("path"), "contents", "own")
-             .groupBy("host", "path").agg((F.sum(F.col("own") * F.col("contents")) / F.sum("contents")).alias("content")))
+    whole = (per.select("host", F.explode(above).alias("path"), "worth", "words").groupBy("host", "path")
+             .agg(F.sum("worth").alias("total"), F.sum("words").alias("all_words")))
+    nodes = cut(per.where("m IS NOT NULL").select("host", "path", "m", "styles", "presentation").join(whole, ["host", "path"])
+                .withColumn("up", F.regexp_replace("path", "/[^/]*$", "")))
+    # down from the root by the child that holds most
+    share = (nodes.where("path <> ''").join(nodes.select("host", F.col("path").alias("up"), F.col("total").alias("of")), ["host", "up"])
+             .select("host", "path", (F.col("total") >= SHARE * F.col("of")).alias("most"), F.col("total") > 0))
+    passed = share.where("most").select("host", F.col("path").alias("passed"))
+    steps = F.split("path", "/")
+    chain = (passed.select("host", F.col("passed").alias("path"))
+             .select("host", "path", F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(
+                 F.slice(steps, 1, i), "/"))).alias("passed"), (F.size(steps) - 1).alias("depth"))
+             .join(passed, ["host", "passed"], "left_semi").groupBy("host", "path", "depth").agg(F.count("*").alias("n"))
+             .where("n = depth").join(nodes.where("total > 0").select("host", "path"), ["host", "path"], "left_semi"))
+    main = chain.groupBy("host").agg(F.max_by("path", F.struct("depth", "path")).alias("main"))
+    main = (nodes.where("path = ''").select("host", F.lit("").alias("top")).join(main, "host", "left")
+            .select("host", F.coalesce("main", "top").alias("main"))
+            .join(nodes.select("host", F.col("path").alias("main"), (F.col("total") / F.col("m")).alias("best")), ["host", "main"]))
+    inside = F.concat("path", F.lit("/")).startswith(F.concat("main", F.lit("/")))
+    around = F.concat("main", F.lit("/")).startswith(F.concat("path", F.lit("/")))
+    content = (F.when(inside, F.col("total") / F.col("all_words"))
+               .otherwise(F.least(F.lit(1.0), F.col("total") / F.col("m") / F.when(F.col("best") > 0, F.col("best")))))
     fade = F.pow(F.lit(DECAY), F.col("styles"))
-    bare = F.col("styles") == 0
-    importance = F.when(bare, F.col("content")).otherwise((1 - fade) * F.col("presentation") + fade * F.col("content"))
-    low = (per.join(below, ["host", "path"]).where((importance < least) & (F.col("path") != "") & (F.col("m") >= min_pages))
-           .groupBy("host").agg(F.collect_set("path").alias("cut")))
-    return (pages.join(low, "host", "left")
-            .select("host", F.coalesce("cut", F.array().cast("array<string>")).alias("cut")))
+    importance = (1 - fade) * F.col("presentation") + fade * content
+    tag = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1)
+    low = (nodes.join(main, "host").where((F.col("m") >= min_pages) & (F.col("all_words") > 0) & ~around
+                                          & ~tag.isin(*sorted(NEVER)) & (importance < least)).select("host", F.col("path").alias("cut")))
+    return low.unionByName(trees.select("host", F.lit("").alias("cut")))
+
+
+def _page_key(df: DataFrame) -> DataFrame:
+    return df.withColumns({"k1": F.xxhash64("page_id", "url", "html"), "k2": F.xxhash64(F.lit(7), "page_id", "url", "html")})
+
+
+def cut_paths(pages: DataFrame, trees: DataFrame) -> DataFrame:
+    """(k1, k2, plain, cut): for every page the paths of its own that its tree cuts: that of its host, or of all."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k1, k2, host, html in zip(*(values(b.column(i)) for i in range(4))):
+                nodes = parse(html)[1] if html else []
+                own = {(False, x.path) for x in nodes} | {(True, x.plain) for x in nodes if x.plain} | {(False, "")}
+                rows += [(k1, k2, ALL if plain else host, plain, path) for plain, path in own]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()))],
+                names=["k1", "k2", "host", "plain", "path"])
+
+    salt = F.pmod("k1", F.lit(SALTS)).cast("int")
+    own = (pages.select("k1", "k2", "host", "html").mapInArrow(run, "k1 bigint, k2 bigint, host string, plain boolean, path string")
+           .select("k1", "k2", "plain", F.xxhash64("host", "path").alias("p1"), F.xxhash64(F.lit(7), "host", "path").alias("p2"),
+                   salt.alias("salt")))
+    cuts = (trees.where((F.col("host") != ALL) | (F.col("cut") != ""))
+            .select("cut", F.xxhash64("host", "cut").alias("p1"), F.xxhash64(F.lit(7), "host", "cut").alias("p2"),
+                    F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    return (own.join(cuts, ["p1", "p2", "salt"]).groupBy("k1", "k2")
+            .agg(F.collect_set(F.struct("plain", "cut")).alias("found"))
+            .select("k1", "k2", (~F.exists("found", lambda x: ~x["plain"])).alias("plain"), "found")
+            .select("k1", "k2", "plain", F.transform(F.filter("found", lambda x: (x["plain"] == F.col("plain")) & (x["cut"] != "")),
+                                                     lambda x: x["cut"]).alias("cut")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             min_pages: int = MIN_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url, text, n_chars."""
-    src = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"),
-                       F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    src = _page_key(pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"),
+                                 F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host")))
     trees = cut(unimportant_branches(cut(style_counts(src)), min_pages, least))
-    whole = trees.where(F.col("host") == ALL).select(F.col("cut").alias("cut_all"))
-    # pages of one host are spread over SALTS parts of the join, each with its own copy of the host's list
-    sites = trees.where(F.col("host") != ALL).select("host", "cut", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int"))
-    dealt = salted.join(sites, ["host", "salt"], "left").join(F.broadcast(whole), how="left")     # one row
+    dealt = src.join(cut_paths(src, trees), ["k1", "k2"], "left")
 
     def run(batches):
         for b in batches:
-            sets: dict[tuple, frozenset] = {}
             text, n = [], []
-            for html, own, general in zip(*(values(b.column(i)) for i in (2, 3, 4))):
-                key = tuple(own if own is not None else general or ())
-                if key not in sets:
-                    sets[key] = frozenset(key)
-                t = main_text(html, sets[key])
+            for html, paths, plain in zip(*(values(b.column(i)) for i in (2, 3, 4))):
+                t = main_text(html, frozenset(paths or ()), bool(plain))
                 text.append(t)
                 n.append(len(t))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(n, pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])
 
-    return (dealt.select("page_id", "url", "html", "cut", "cut_all")
+    return (dealt.select("page_id", "url", "html", "cut", "plain")
             .mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint"))
 
 
