@@ -359,7 +359,8 @@ def unimportant_branches(counts: DataFrame, min_pages: int = MIN_PAGES, least: f
     the empty path, which cuts nothing, for each such tree."""
     trees = counts.where("path = '' AND kind = 2").select("host", F.col("n").alias("pages")).where(
         (F.col("pages") >= min_pages) | (F.col("host") == ALL))
-    counts = counts.join(trees, "host")
+    salted = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))      # a host may have most rows
+    counts = counts.withColumn("salt", F.pmod("value", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
     base = F.when(F.col("pages") > 1, F.log(F.col("pages")))
     worth = F.coalesce(1 - F.log("n") / base, F.lit(1.0)) * F.col("words") * F.col("n")
     per = counts.groupBy("host", "path").agg(
@@ -416,7 +417,8 @@ def cut_paths(pages: DataFrame, trees: DataFrame) -> DataFrame:
             rows = []
             for k1, k2, host, html in zip(*(values(b.column(i)) for i in range(4))):
                 nodes = parse(html)[1] if html else []
-                own = {(False, x.path) for x in nodes} | {(True, x.plain) for x in nodes if x.plain} | {(False, "")}
+                own = {y for x in nodes if not x.is_cut and x.tag in CONTAINERS and x.tag not in NEVER      # what may be cut yet
+                       for y in ((False, x.path), (True, x.plain))} | {(False, "")}
                 rows += [(k1, k2, ALL if plain else host, plain, path) for plain, path in own]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()))],
@@ -424,12 +426,10 @@ def cut_paths(pages: DataFrame, trees: DataFrame) -> DataFrame:
 
     salt = F.pmod("k1", F.lit(SALTS)).cast("int")
     own = (pages.select("k1", "k2", "host", "html").mapInArrow(run, "k1 bigint, k2 bigint, host string, plain boolean, path string")
-           .select("k1", "k2", "plain", F.xxhash64("host", "path").alias("p1"), F.xxhash64(F.lit(7), "host", "path").alias("p2"),
-                   salt.alias("salt")))
+           .select("k1", "k2", "plain", F.xxhash64("host", "path").alias("p"), salt.alias("salt")))
     cuts = (trees.where((F.col("host") != ALL) | (F.col("cut") != ""))
-            .select("cut", F.xxhash64("host", "cut").alias("p1"), F.xxhash64(F.lit(7), "host", "cut").alias("p2"),
-                    F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    return (own.join(cuts, ["p1", "p2", "salt"]).groupBy("k1", "k2")
+            .select("cut", F.xxhash64("host", "cut").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    return (own.join(cuts, ["p", "salt"]).groupBy("k1", "k2")
             .agg(F.collect_set(F.struct("plain", "cut")).alias("found"))
             .select("k1", "k2", (~F.exists("found", lambda x: ~x["plain"])).alias("plain"), "found")
             .select("k1", "k2", "plain", F.transform(F.filter("found", lambda x: (x["plain"] == F.col("plain")) & (x["cut"] != "")),
