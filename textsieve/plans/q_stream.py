@@ -57,7 +57,6 @@ def policy_refresh(spark, sf_dir):
     run, parts = _staged(spark, sf_dir, "refresh")
     policy = os.path.join(run, "policy")
     incoming = os.path.join(run, "incoming")
-    os.makedirs(incoming, exist_ok=True)
     base = {"default": P.DEFAULT_THRESHOLDS, **{n: (b, t) for n, b, t in P.TENANT_THRESHOLDS}}
     out = None
     for gen, part in enumerate(parts):
