@@ -23,11 +23,11 @@ def rate_limit_stream(spark, sf_dir):
 
 
 def rate_limit_stream_state(spark, sf_dir):
-    """W4, keyed-state form (applyInPandasWithState per app): exact, suited to
-    many small keys; kept as the per-event stateful variant."""
+    """W4, keyed state by (app, time bucket) that expires when the watermark passes the bucket."""
     run = SS.new_run_dir(spark, "limiter-state")
-    v = LS.run_limiter_stream(spark, sf_dir, q_limit.APP_LIMIT, q_limit.WINDOW_S, q_limit.USER_LIMIT,
-                              q_limit.WINDOW_S, run_dir=run)
+    src = LS.stage_event_chunks(spark, sf_dir, os.path.join(run, "events"), chunks=4)
+    v = LS.run_limiter_stream(spark, os.path.join(src, "*"), q_limit.APP_LIMIT, q_limit.WINDOW_S, q_limit.USER_LIMIT,
+                              q_limit.WINDOW_S, files_glob="*.parquet", run_dir=run)
     return v.select("event_id", "app_count", "app_ok", "user_count", "user_ok")
 
 

@@ -1,19 +1,22 @@
 """Structured Streaming rate limiter.
 
-``applyInPandasWithState`` keyed by app: the state is the app's sliding log
-(event micros still inside the window) plus, per user of that app, the user log
-of calls that passed the app check.  Every micro-batch sorts a key's new events
-by (ts, event_id) and replays them against the log, so the stream gives the
-same verdicts as the batch limiter when events arrive in time order.  Logs only
-hold the last window, so state stays bounded by the window, not by the stream.
+Two forms, equal to the batch limiter when events arrive in time order:
+
+- `limiter_stream`: keyed state that expires.  The key is (app, time bucket of one window),
+  so no group holds an app: an event goes to its own bucket and, as context, to the two
+  after it.  The bucket before gives the app's window, the one before that tells which
+  of the bucket before's calls passed and so count for their user.  State is typed arrays of three
+  buckets at most; an event-time timeout removes it when the watermark passes the
+  bucket's end.
+- `run_limiter_stream_batched`: no state store; every micro-batch is limited with the batch
+  windows against a table of the last window's calls.
 """
 from __future__ import annotations
 
-import json
 import os
-from collections import deque
-from typing import Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,71 +27,88 @@ from textsieve.session import ensure_checkpoint_dir
 
 OUT_SCHEMA = ("event_id long, app_id string, user_id string, app_count long, app_ok boolean, "
               "user_count long, user_ok boolean")
-STATE_SCHEMA = "log string"
-
-
-def _limiter(app_limit: int, app_w_us: int, user_limit: int, user_w_us: int, inclusive: bool):
-    def expired(t_old, t, w):
-        return t_old < t - w if inclusive else t_old <= t - w
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        app_id = key[0]
-        if state.exists:
-            st = json.loads(state.get[0])
-        else:
-            st = {"app": [], "users": {}}
-        app_log = deque(st["app"])
-        user_logs = {u: deque(v) for u, v in st["users"].items()}
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "event_id"], kind="stable")
-        out = {k: [] for k in ("event_id", "app_id", "user_id", "app_count", "app_ok", "user_count", "user_ok")}
-        for eid, uid, t in zip(batch["event_id"], batch["user_id"], batch["ts_us"]):
-            while app_log and expired(app_log[0], t, app_w_us):
-                app_log.popleft()
-            app_log.append(int(t))
-            n = len(app_log)
-            ok = n <= app_limit
-            ucount, uok = None, None
-            if ok and uid is not None and not (isinstance(uid, float) and pd.isna(uid)):
-                ul = user_logs.setdefault(uid, deque())
-                while ul and expired(ul[0], t, user_w_us):
-                    ul.popleft()
-                ul.append(int(t))
-                ucount, uok = len(ul), len(ul) <= user_limit
-            out["event_id"].append(int(eid))
-            out["app_id"].append(app_id)
-            out["user_id"].append(uid)
-            out["app_count"].append(n)
-            out["app_ok"].append(ok)
-            out["user_count"].append(ucount)
-            out["user_ok"].append(uok)
-        user_logs = {u: list(v) for u, v in user_logs.items() if v}
-        state.update((json.dumps({"app": list(app_log), "users": user_logs}),))
-        yield pd.DataFrame(out).astype({"user_count": "Int64"})
+STATE_SCHEMA = "ts array<long>, ids array<long>, users array<string>, ok array<boolean>"
+DELAY = "1 hour"
+
+
+def ranks(at: np.ndarray, window: int, inclusive: bool) -> np.ndarray:
+    """For increasing times (equal ones in arrival order): calls in the window that ends with each, itself included."""
+    return np.arange(1, len(at) + 1) - np.searchsorted(at, at - window, side="left" if inclusive else "right")
+
+
+def user_ranks(codes: np.ndarray, ts: np.ndarray, window: int, inclusive: bool) -> np.ndarray:
+    """The same within each user: users are laid out one after the other, further apart than a window."""
+    if not len(ts):
+        return np.empty(0, np.int64)
+    order = np.argsort(codes, kind="stable")
+    apart = int(ts.max() - ts.min()) + window + 2
+    line = codes[order].astype(np.int64) * apart + (ts[order] - ts.min())
+    out = np.empty(len(ts), np.int64)
+    out[order] = ranks(line, window, inclusive)
+    return out
+
+
+def _limiter(app_limit: int, app_w: int, user_limit: int, user_w: int, inclusive: bool):
+    width = max(app_w, user_w)
+
+    def fn(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        app, bucket = key
+        new = pd.concat(list(parts), ignore_index=True)
+        old = state.get if state.exists else ([], [], [], [])
+        ts = np.concatenate([np.array(old[0], np.int64), new["ts_us"].to_numpy(np.int64)])
+        ids = np.concatenate([np.array(old[1], np.int64), new["event_id"].to_numpy(np.int64)])
+        users = np.concatenate([np.array(old[2], object), new["user_id"].to_numpy(object)])
+        ok = np.concatenate([np.array(old[3], bool), np.zeros(len(new), bool)])
+        fresh = np.arange(len(ts)) >= len(old[0])
+        order = np.lexsort((ids, ts))
+        ts, ids, users, ok, fresh = ts[order], ids[order], users[order], ok[order], fresh[order]
+        counts = ranks(ts, app_w, inclusive)
+        ok = np.where(fresh, counts <= app_limit, ok)              # what was decided stays
+        of = ts // width
+        logged = np.flatnonzero(ok & ~pd.isna(users) & (of >= bucket - 1))
+        user_counts = np.zeros(len(ts), np.int64)
+        user_counts[logged] = user_ranks(pd.factorize(users[logged])[0], ts[logged], user_w, inclusive)
+        state.update((ts.tolist(), ids.tolist(), [None if pd.isna(u) else u for u in users], ok.tolist()))
+        end_ms = (int(bucket) + 1) * width // 1000 + 1
+        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
+        own = fresh & (of == bucket)
+        n = user_counts[own]
+        yield pd.DataFrame({
+            "event_id": ids[own], "app_id": app, "user_id": users[own], "app_count": counts[own], "app_ok": ok[own],
+            "user_count": pd.Series(n).where(n > 0).astype("Int64"),
+            "user_ok": pd.Series(n <= user_limit).where(n > 0).astype("boolean")})
+
     return fn
 
 
 def limiter_stream(events: DataFrame, app_limit: int, app_window_s: int, user_limit: int,
-                   user_window_s: int, inclusive: bool = False) -> DataFrame:
-    """Streaming events(event_id, app_id, user_id, ts) -> verdict per event."""
-    ev = events.select("event_id", "app_id", "user_id", event_micros(F.col("ts")).alias("ts_us"))
+                   user_window_s: int, inclusive: bool = False, delay: str = DELAY) -> DataFrame:
+    """Streaming events(event_id, app_id, user_id, ts) -> verdict per event; ``delay`` is how late events may come."""
+    width = max(app_window_s, user_window_s) * 1_000_000
+    bucket = F.floor(F.col("ts_us") / F.lit(width)).cast("long")
+    ev = (events.select("event_id", "app_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), event_micros(F.col("ts")).alias("ts_us"))
+          .withWatermark("ts", delay).withColumn("bucket", F.explode(F.sequence(bucket, bucket + 2))))
     fn = _limiter(app_limit, app_window_s * 1_000_000, user_limit, user_window_s * 1_000_000, inclusive)
-    return ev.groupBy("app_id").applyInPandasWithState(
-        fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return ev.groupBy("app_id", "bucket").applyInPandasWithState(
+        fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_limiter_stream(spark: SparkSession, events_dir: str, app_limit: int, app_window_s: int,
                        user_limit: int, user_window_s: int, inclusive: bool = False,
-                       files_glob: str = "events.parquet", run_dir: str | None = None) -> DataFrame:
-    """Read the events files as a stream (available-now), run the stateful
+                       files_glob: str = "events.parquet", run_dir: str | None = None, delay: str = DELAY) -> DataFrame:
+    """Read the events files as a stream (available-now, one file a batch), run the stateful
     limiter, append verdicts to a table under the shared checkpoint folder and
     return that table."""
     base = run_dir or os.path.join(ensure_checkpoint_dir(spark), f"limiter-{os.getpid()}-{id(events_dir)}")
-    schema = spark.read.parquet(os.path.join(events_dir, files_glob)).schema
+    schema = spark.read.option("pathGlobFilter", files_glob).parquet(events_dir).schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", files_glob)
               .option("maxFilesPerTrigger", 1).parquet(events_dir))
     ev = stream.select("event_id", F.col("event_type").alias("app_id"),
                        F.col("user_id").cast("string").alias("user_id"), "ts")
-    verdicts = limiter_stream(ev, app_limit, app_window_s, user_limit, user_window_s, inclusive)
+    verdicts = limiter_stream(ev, app_limit, app_window_s, user_limit, user_window_s, inclusive, delay)
     out_path = os.path.join(base, "verdicts")
     q = (verdicts.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", os.path.join(base, "checkpoint"))
@@ -162,13 +182,13 @@ def run_limiter_stream_batched(spark: SparkSession, events_dir: str, app_limit:
 
 
 def stage_event_chunks(spark: SparkSession, sf_dir: str, out_dir: str, chunks: int = 4) -> str:
-    """Write the events table as ``chunks`` time-ordered files, one write per
+    """Write the events table as ``chunks`` folders of files sorted and ranged by time, one write per
     chunk, so a file stream replays them in event-time order."""
-    ev = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
-    bounds = ev.select(F.min(event_micros(F.col("ts"))).alias("lo"), F.max(event_micros(F.col("ts"))).alias("hi")).first()
+    ev = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).withColumn("_us", event_micros(F.col("ts")))
+    bounds = ev.agg(F.min("_us").alias("lo"), F.max("_us").alias("hi")).first()
     step = (bounds.hi - bounds.lo) // chunks + 1
     for c in range(chunks):
         lo, hi = bounds.lo + c * step, bounds.lo + (c + 1) * step
-        (ev.where((event_micros(F.col("ts")) >= lo) & (event_micros(F.col("ts")) < hi)).coalesce(1)
+        (ev.where((F.col("_us") >= lo) & (F.col("_us") < hi)).repartitionByRange("ts").sortWithinPartitions("ts").drop("_us")
          .write.mode("overwrite").parquet(os.path.join(out_dir, f"chunk{c:03d}")))
     return out_dir
