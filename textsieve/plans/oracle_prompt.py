@@ -243,6 +243,35 @@ SELECT k AS request_id, category, phrase, win AS "window" FROM met
 WHERE 2 * shared / CAST(length(phrase) + length(win) AS DOUBLE) >= {th}"""
 
 
+def model_ctes() -> str:
+    """CTE prob (k, p): naive Bayes log-odds of the labelled documents' terms, summed over the distinct terms of each prompt."""
+    def terms(t: str) -> str:
+        return f"list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^a-zA-Z0-9_]+'), lambda x: x <> ''))"
+    return f"""lab AS (SELECT text, toxic AS y FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND toxic IN (0, 1)),
+tot AS (SELECT sum(y) AS n1, sum(1 - y) AS n0 FROM lab),
+tc AS (SELECT term, sum(y) AS c1, sum(1 - y) AS c0 FROM (SELECT y, unnest({terms('text')}) AS term FROM lab) GROUP BY term),
+tw AS (SELECT term, ln((c1 + 1) / (n1 + 2)) - ln((c0 + 1) / (n0 + 2)) AS weight FROM tc, tot),
+pt AS (SELECT k, unnest({terms('norm')}) AS term FROM pv WHERE norm <> ''),
+ps AS (SELECT k, sum(weight) AS s FROM pt JOIN tw USING (term) GROUP BY k),
+prob AS (SELECT pv.k, CASE WHEN norm <> '' THEN 1 / (1 + exp(-(coalesce(s, 0) + ln(n1 + 1) - ln(n0 + 1)))) END AS p
+         FROM pv LEFT JOIN ps ON ps.k = pv.k, tot)"""
+
+
+def semantic_sql() -> dict[str, str]:
+    pre = cte_prefix("seeded_prompts").rstrip() + ",\n" + views_cte() + ",\n" + model_ctes()
+    weight = (f"CASE WHEN p > {P.SEMANTIC_HIGH_PROB} THEN {P.SEMANTIC_HIGH_WEIGHT} WHEN p > {P.SEMANTIC_MED_PROB} "
+              f"THEN {P.SEMANTIC_MED_WEIGHT} WHEN p IS NOT NULL THEN 0 END")
+    return {
+        "semantic_classifier": pre + "\nSELECT k AS request_id, round(p, 6) AS p_injection FROM prob",
+        "semantic_weight": pre + ",\n" + signals_cte().replace("sig AS (", "sig0 AS (", 1) + f""",
+sem AS (SELECT k, {weight} AS w FROM prob),
+sig AS (SELECT * FROM sig0 UNION ALL SELECT k, 99, 'semantic_classifier', w, CAST([] AS VARCHAR[]) FROM sem WHERE w > 0),
+{result_cte()}
+SELECT sem.k AS request_id, CAST(w AS BIGINT) AS semantic_weight, CAST(coalesce(res.score, 0) AS BIGINT) AS score
+FROM sem LEFT JOIN res ON res.k = sem.k""",
+    }
+
+
 def prompt_sql() -> dict[str, str]:
     base = prompt_rules_sql()
     ev = evasions("raw")
@@ -285,4 +314,5 @@ SELECT pv.k AS request_id, res.k IS NOT NULL AS matched, CAST(coalesce(res.score
                       ELSE [] END), ' | '), '') AS evidence
 FROM pv LEFT JOIN res ON res.k = pv.k""",
     }
+    out.update(semantic_sql())
     return out

@@ -1,6 +1,8 @@
 """Spark queries for the prompt-signal keys (inputs: ``seeded_prompts``)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from textsieve.functions.barrier import computed_once
 from textsieve.functions import dialect as D
 from textsieve.functions import normalize as N
 from textsieve.functions import patterns as P
+from textsieve.operators import classifier as CL
 from textsieve.operators import prompt as PR
-from textsieve.sources.tables import seeded
+from textsieve.session import ensure_checkpoint_dir
+from textsieve.sources.tables import read_table, seeded
 
 
 def _prompts(spark, sf_dir) -> DataFrame:
@@ -204,13 +208,11 @@ QUERIES = {
 
 
 def _classified(spark, sf_dir):
-    from textsieve.operators import classifier as CL
-    from textsieve.sources.tables import read_table
-    docs = read_table(spark, sf_dir, "documents")
-    labels = read_table(spark, sf_dir, "labels")
-    model = CL.train(docs.join(labels, "doc_id").select("text", F.col("toxic").alias("label")))
-    v = _views(spark, sf_dir)
-    return CL.score(model, v, "_norm")
+    """Prompts with P(injection) of a model that is fitted on labelled documents, stored, and read again."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    CL.write_model(CL.fit(docs.join(labels, "doc_id").select("text", F.col("toxic").alias("label"))), path)
+    return CL.score(CL.read_model(spark, path), _views(spark, sf_dir), "_norm")
 
 
 def semantic_classifier(spark, sf_dir):
@@ -221,7 +223,6 @@ def semantic_classifier(spark, sf_dir):
 
 def semantic_weight(spark, sf_dir):
     """The classifier probability folded into the prompt score."""
-    from textsieve.operators import classifier as CL
     s = _classified(spark, sf_dir)
     r = PR.prompt_scan(s.drop("_nfkc", "_norm", "_leet"), "prompt", paraphrase=False, prob_col="p_injection")
     return r.select("request_id", CL.semantic_weight(F.col("p_injection")).cast("long").alias("semantic_weight"),
