@@ -19,10 +19,17 @@ def tenant_overrides(spark: SparkSession) -> DataFrame:
                                  "tenant_id string, block int, transform int")
 
 
-def known_tenants(spark: SparkSession) -> DataFrame:
-    """``default`` plus the tenants with an override file, sorted."""
-    names = ["default"] + sorted(t for t, _b, _tr in P.TENANT_THRESHOLDS)
-    return effective_policy(spark.createDataFrame([(n,) for n in names], "tenant_id string"))
+def known_tenants(requests: DataFrame) -> DataFrame:
+    """The effective policy of ``default``, of every tenant with an override, and of every tenant that a request
+    names, with its number of requests (one partially summed aggregation) and whether it has an override."""
+    spark = requests.sparkSession
+    own = tenant_overrides(spark).select("tenant_id").unionByName(spark.createDataFrame([("default",)], "tenant_id string"))
+    seen = (requests.groupBy("tenant_id").agg(F.count("*").alias("n_requests"))
+            .unionByName(own.withColumn("n_requests", F.lit(0).cast("long")))
+            .groupBy("tenant_id").agg(F.sum("n_requests").alias("n_requests")).where("tenant_id IS NOT NULL"))
+    known = own.withColumn("known", F.lit(True))
+    return (effective_policy(seen).join(seen, "tenant_id").join(F.broadcast(known), "tenant_id", "left")
+            .withColumn("known", F.coalesce("known", F.lit(False))))
 
 
 def effective_policy(tenants: DataFrame) -> DataFrame:
@@ -89,33 +96,12 @@ def decide(score: Column, block: Column, transform: Column) -> Column:
     return F.when(score >= block, "block").when(score >= transform, "transform").otherwise("allow")
 
 
-ROUTES = [("prompt", "prompt_injection", 0), ("prompt", "pii", 1), ("doc", "rag_injection", 0)]
-
-
-def routes(spark: SparkSession) -> DataFrame:
-    """Which detector runs on which surface, in run order."""
-    return spark.createDataFrame(ROUTES, "surface string, detector string, ord int")
-
-
 # ------------------------------------------------------------------ results
-RESULT_DDL = ("struct<ord:int,tag:string,matched:boolean,score:int,evidence:array<string>,"
-              "sanitized_text:string,doc_id:string>")
-
-
-def result_struct(ord_: Column, tag: str, r: Column, doc_id: Column | None = None,
-                  sanitized: Column | None = None) -> Column:
-    return F.struct(ord_.cast("int").alias("ord"), F.lit(tag).alias("tag"), r["matched"].alias("matched"),
-                    r["score"].cast("int").alias("score"), r["evidence"].alias("evidence"),
-                    (sanitized if sanitized is not None else r["sanitized_text"]).alias("sanitized_text"),
-                    (doc_id if doc_id is not None else F.lit(None).cast("string")).alias("doc_id"))
-
-
 def weighted(results: Column, role: Column, source_of: callable) -> Column:
     return F.transform(results, lambda r: F.struct(
         r["ord"].alias("ord"), r["tag"].alias("tag"), r["matched"].alias("matched"),
         apply_weights(r["score"], r["matched"], role, source_of(r)).alias("score"),
-        r["evidence"].alias("evidence"), r["sanitized_text"].alias("sanitized_text"),
-        r["doc_id"].alias("doc_id")))
+        r["evidence"].alias("evidence"), r["sanitized_text"].alias("sanitized_text")))
 
 
 def decision_columns(results: Column, block: Column, transform: Column) -> dict[str, Column]:

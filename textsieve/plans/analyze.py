@@ -14,11 +14,8 @@ from pyspark.sql import functions as F
 
 from textsieve.functions import patterns as P
 from textsieve.functions.barrier import computed_once
-from textsieve.operators import pii as PII
 from textsieve.operators import policy as POL
-from textsieve.operators import prompt as PR
-from textsieve.operators import rag as RAG
-from textsieve.operators import similarity as SIM
+from textsieve.operators import registry as RG
 
 
 def thresholds(tenant: Column, policy: dict | None = None) -> tuple[Column, Column]:
@@ -43,16 +40,6 @@ def with_thresholds(requests: DataFrame, policy: DataFrame) -> DataFrame:
             .drop("_b", "_t"))
 
 
-def prompt_results(requests: DataFrame, paraphrase: bool = True, prob_col: str | None = None) -> DataFrame:
-    """Adds ``_presults``: array of the two prompt detector results (run order)."""
-    p = PR.prompt_scan(requests, "prompt", paraphrase=paraphrase, prob_col=prob_col)
-    p = PII.pii_scan(p, "prompt")
-    return p.withColumn("_presults", F.array(
-        POL.result_struct(F.lit(0), "prompt_injection", F.col("prompt_injection"),
-                          sanitized=F.lit(None).cast("string")),
-        POL.result_struct(F.lit(1), "pii", F.col("pii")))).drop("prompt_injection", "pii")
-
-
 ROLE_WEIGHT_VALUES = sorted({float(w) for _k, w in P.ROLE_WEIGHTS} | {1.0})
 
 
@@ -60,8 +47,8 @@ def _wkey(w: float) -> str:
     return str(w).replace(".", "_")
 
 
-def doc_results(request_docs: DataFrame, similarity: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(per-document results, per-request aggregates).
+def doc_results(request_docs: DataFrame, detectors: list) -> tuple[DataFrame, DataFrame]:
+    """(results of every document and detector, per-request aggregates).
 
     The document scan is map-only.  A request's documents are reduced with
     algebraic aggregates only (max, sum, count, bounded tag set): no list of
@@ -69,17 +56,22 @@ def doc_results(request_docs: DataFrame, similarity: bool = True) -> tuple[DataF
     documents still spreads over tasks (partial aggregation).  The weighted score
     depends on the request's role, so it is pre-computed for every distinct
     role weight of the policy and picked after the join."""
-    d = RAG.rag_scan(request_docs, "text", similarity=SIM.with_template_similarity if similarity else None)
-    r = F.col("rag_injection")
-    long = d.select(
+    d = RG.results(request_docs, "text", detectors, "_dresults")
+    rows = d.select(
         "request_id", F.col("pos").cast("int").alias("pos"), F.col("doc_id").cast("string").alias("doc_id"),
-        "source", F.sha2(F.col("text"), 256).alias("text_hash"), F.lit("rag_injection").alias("tag"),
+        "source", F.sha2(F.col("text"), 256).alias("text_hash"), F.col("text").alias("_text"),
+        F.explode_outer(computed_once(F.col("_dresults"))).alias("r"))
+    r = F.col("r")
+    long = rows.select(
+        "request_id", "pos", "doc_id", "source", "text_hash", r["ord"].alias("ord"), r["tag"].alias("tag"),
         r["matched"].alias("matched"), r["score"].alias("score"), r["evidence"].alias("evidence"),
-        r["sanitized_text"].alias("sanitized_text"),
+        F.coalesce(r["sanitized_text"], F.when(F.col("r").isNull() | (r["ord"] == 0), F.col("_text"))).alias("sanitized_text"),
         *[F.when(r["matched"], F.greatest(F.lit(0), F.least(F.lit(100), F.rint(
             r["score"] * F.lit(w) * POL.context_weight(F.col("source"))).cast("int"))))
           .alias(f"ws_{_wkey(w)}") for w in ROLE_WEIGHT_VALUES])
-    aggs = [F.count("*").alias("n_docs"), F.count(F.when(F.col("matched"), 1)).alias("n_doc_matched")]
+    first = F.coalesce(F.col("ord"), F.lit(0)) == 0
+    aggs = [F.count(F.when(first, 1)).alias("n_docs"), F.count(F.when(F.col("matched"), 1)).alias("n_doc_matched"),
+            F.collect_set(F.when(F.col("matched"), F.col("tag"))).alias("doc_tags")]       # as many as detectors at most
     for w in ROLE_WEIGHT_VALUES:
         c = F.col(f"ws_{_wkey(w)}")
         aggs += [F.max(c).alias(f"top_{_wkey(w)}"),
@@ -97,19 +89,21 @@ def _by_role_weight(role_w: Column, prefix: str) -> Column:
 
 def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphrase: bool = True,
             similarity: bool = True, prob_col: str | None = None, policy: dict | DataFrame | None = None,
-            with_docs: bool = False):
-    """Decision per request.  With ``with_docs`` returns (decisions, documents):
+            with_docs: bool = False, registry: RG.Registry | None = None):
+    """Decision per request: the detectors of ``registry`` (`default_registry` with the given options) in their order.  With ``with_docs`` returns (decisions, documents):
     the per-document table holds each attached document's weighted result and
     sanitized text (the response's document list, in long form)."""
-    p = prompt_results(requests, paraphrase, prob_col)
+    registry = registry or RG.default_registry(paraphrase, similarity, prob_col)
+    p = RG.results(requests, "prompt", registry.of("prompt"), "_presults")
     role = F.col("user_role")
     p = p.withColumn("_presults", POL.weighted(F.col("_presults"), role, lambda r: F.lit("prompt")))
     long = None
     if request_docs is not None:
-        long, agg = doc_results(request_docs, similarity)
+        long, agg = doc_results(request_docs, registry.of("doc"))
         p = p.join(agg, "request_id", "left")
     else:
-        p = p.withColumn("n_docs", F.lit(0).cast("long")).withColumn("n_doc_matched", F.lit(0).cast("long"))
+        p = p.withColumn("n_docs", F.lit(0).cast("long")).withColumn("n_doc_matched", F.lit(0).cast("long")).withColumn(
+            "doc_tags", F.array().cast("array<string>"))
         for w in ROLE_WEIGHT_VALUES:
             p = p.withColumn(f"top_{_wkey(w)}", F.lit(None).cast("int")).withColumn(
                 f"bump_{_wkey(w)}", F.lit(None).cast("long"))
@@ -125,7 +119,7 @@ def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphra
         F.lit(100), top + p_bump + doc_bump - F.floor(top * P.CORROBORATION_WEIGHT).cast("int")))
     tags = F.array_sort(F.array_distinct(F.concat(
         F.transform(hit, lambda r: r["tag"]),
-        F.when(n_doc_hit > 0, F.array(F.lit("rag_injection"))).otherwise(F.array().cast("array<string>")))))
+        F.coalesce("doc_tags", F.array().cast("array<string>")))))
     if isinstance(policy, DataFrame):
         p = with_thresholds(p, policy)
         block, transform = F.col("_block"), F.col("_transform")
@@ -144,12 +138,12 @@ def analyze(requests: DataFrame, request_docs: DataFrame | None = None, paraphra
     p = p.withColumn("decision", F.coalesce(F.col("compound_action"),
                                             POL.decide(F.col("risk_score"), block, transform)))
     p = p.withColumnRenamed("_presults", "results").drop(
-        *[c for c in p.columns if c.startswith("top_") or c.startswith("bump_")], "n_doc_matched", "_block", "_transform")
+        *[c for c in p.columns if c.startswith("top_") or c.startswith("bump_")], "n_doc_matched", "doc_tags", "_block", "_transform")
     if not with_docs:
         return p
     if long is None:
         return p, None
-    docs = long.select("request_id", "pos", "doc_id", "source", "text_hash", "tag", "matched",
+    docs = long.select("request_id", "pos", "doc_id", "source", "text_hash", "ord", "tag", "matched",
                        "evidence", "sanitized_text", *[f"ws_{_wkey(w)}" for w in ROLE_WEIGHT_VALUES])
     return p, docs
 
@@ -158,7 +152,8 @@ def sanitized_documents(docs: DataFrame) -> DataFrame:
     """Response document list in long form: one row per (request, document id);
     duplicated ids take the sanitized text of their last occurrence."""
     return (docs.groupBy("request_id", "doc_id")
-            .agg(F.min("pos").alias("pos"), F.max_by("sanitized_text", "pos").alias("text")))
+            .agg(F.min("pos").alias("pos"), F.max_by("sanitized_text", F.when(
+                F.col("sanitized_text").isNotNull(), F.struct("pos", F.coalesce("ord", F.lit(0))))).alias("text")))
 
 
 def doc_reasons(docs: DataFrame) -> DataFrame:
@@ -183,7 +178,7 @@ def audit_records(decisions: DataFrame, ts: Column | None = None) -> DataFrame:
 def audit_doc_hashes(docs: DataFrame) -> DataFrame:
     """G1, document part: the ordered context-document hashes of each request
     (long form, so no request gathers its documents into one row)."""
-    return docs.select("request_id", "pos", F.col("text_hash").alias("doc_hash"))
+    return docs.where("coalesce(ord, 0) = 0").select("request_id", "pos", F.col("text_hash").alias("doc_hash"))
 
 
 def audit_json(audit: DataFrame) -> DataFrame:

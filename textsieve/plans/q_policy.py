@@ -14,6 +14,7 @@ from textsieve.functions.arrays import explode_rows
 
 from textsieve.functions import patterns as P
 from textsieve.operators import policy as POL
+from textsieve.operators import registry as RG
 from textsieve.plans import analyze as AN
 from textsieve.plans import oracle_pii, oracle_prompt
 from textsieve.sources import requests as RQ
@@ -47,7 +48,7 @@ def policy_table(spark, sf_dir):
 
 
 def policy_lookup(spark, sf_dir):
-    return POL.known_tenants(spark)
+    return POL.known_tenants(requests_df(spark, sf_dir))
 
 
 def apply_weights_q(spark, sf_dir):
@@ -91,7 +92,7 @@ def sanitize_docs_q(spark, sf_dir):
 
 
 def route_detectors_q(spark, sf_dir):
-    routes = POL.routes(spark)
+    routes = RG.default_registry().routes(spark)
     prompts = requests_df(spark, sf_dir).select("request_id", F.lit("prompt").alias("surface"))
     docs = request_docs_df(spark, sf_dir).select("request_id", F.lit("doc").alias("surface"))
     units = prompts.unionByName(docs)
@@ -240,9 +241,11 @@ def oracle() -> dict[str, str]:
     return {
         "policy_table": cte_prefix("seeded_prompts") + f"""SELECT DISTINCT tenant_id, '{P.POLICY_VERSION}' AS version,
             {_tenant_case('tenant_id', 0)} AS block, {_tenant_case('tenant_id', 1)} AS transform FROM seeded_prompts""",
-        "policy_lookup": "SELECT tenant_id, " + f"'{P.POLICY_VERSION}' AS version, "
-            + f"{_tenant_case('tenant_id', 0)} AS block, {_tenant_case('tenant_id', 1)} AS transform FROM (VALUES "
-            + ", ".join(f"('{t}')" for t in known) + ") AS t(tenant_id)",
+        "policy_lookup": cte_prefix("seeded_prompts") + f"""SELECT t.tenant_id, '{P.POLICY_VERSION}' AS version,
+            {_tenant_case('t.tenant_id', 0)} AS block, {_tenant_case('t.tenant_id', 1)} AS transform,
+            count(p.request_id) AS n_requests, t.tenant_id IN ({', '.join(f"'{k}'" for k in known)}) AS known
+            FROM (SELECT tenant_id FROM seeded_prompts UNION SELECT * FROM (VALUES {', '.join(f"('{k}')" for k in known)}) AS v(tenant_id)) t
+            LEFT JOIN seeded_prompts p ON p.tenant_id = t.tenant_id GROUP BY t.tenant_id""",
         "apply_weights": base + "SELECT request_id, tag, CAST(score AS BIGINT) AS score FROM weighted WHERE matched",
         "combine_score": base + "SELECT request_id, risk_score FROM final",
         "compound_rules": base + "SELECT request_id, compound_action AS action FROM final WHERE compound_action IS NOT NULL",
