@@ -46,6 +46,17 @@ SECRETS = [
              r"|\b[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?\b"),
 ]
 
+# Numbers that mean nothing by themselves count with the label in front of them; a VIN has a check digit.
+_LABEL = r"(?: (?:number|no\.?|code))?[ :#]{1,3}"
+LABELLED = [
+    ("routing_number", r"\b(?:routing|aba)" + _LABEL + r"[0-9]{9}\b", 0.9),
+    ("swift_code", r"\b(?:swift|bic)" + _LABEL + r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", 0.9),
+    ("bank_account", r"\b(?:account|acct)" + _LABEL + r"[0-9]{8,17}\b", 0.9),
+    ("passport", r"\bpassport" + _LABEL + r"[A-Z]?[0-9]{6,9}\b", 0.9),
+    ("drivers_license", r"\bdriver(?:'?s)? licen[cs]e" + _LABEL + r"[A-Z][0-9]{5,13}\b", 0.9),
+]
+VIN = r"\b[A-HJ-NPR-Z0-9]{17}\b"
+
 FINDERS = [
     # type, regex, flags, confidence
     ("email", P.EMAIL, "I", P.EMAIL_CONFIDENCE),
@@ -55,7 +66,9 @@ FINDERS = [
     ("ip_address", IPV4, "", 0.85),
     ("iban", IBAN, "", 0.85),
     ("crypto_wallet", CRYPTO, "", 0.8),
-] + [(t, p, "", 0.9) for t, p in SECRETS]
+] + [(t, p, "", 0.9) for t, p in SECRETS] + [(t, p, "I", c) for t, p, c in LABELLED] + [("vin", VIN, "", 0.9)]
+STRUCTURED = ["credit_card", "ssn", "ip_address", "iban", "crypto_wallet", "bank_account", "passport", "drivers_license"]
+SECRET_TYPES = [t for t, _p in SECRETS] + ["routing_number", "swift_code", "vin"]
 
 # cheap literal guards: a row is only regex-scanned when its guard holds
 _GUARDS_SQL = {
@@ -66,7 +79,25 @@ _GUARDS_SQL = {
     "ip_address": "{t} RLIKE r'[0-9]\\.[0-9]{{1,3}}\\.[0-9]'",
     "iban": "{t} RLIKE '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11}}'",
     "crypto_wallet": "{t} RLIKE '0x|bc1|[13][1-9A-HJ-NP-Za-km-z]{{25}}'",
+    "aws_access_key": "(contains({t}, 'AKIA') OR contains({t}, 'ASIA'))",
+    "github_token": "contains({t}, 'gh')",
+    "google_api_key": "contains({t}, 'AIza')",
+    "slack_token": "contains({t}, 'xox')",
+    "bearer_token": "contains({t}, 'earer ')",
+    "private_key": "contains({t}, 'PRIVATE KEY')",
+    "ssh_key": "contains({t}, 'ssh-')",
+    "jwt_token": "contains({t}, 'eyJ')",
+    "mac_address": "contains({t}, ':')",
+    "ipv6": "contains({t}, ':')",
+    "routing_number": "{t} RLIKE '[0-9]{{9}}'",
+    "swift_code": "{t} RLIKE '(?i)swift|bic'",
+    "bank_account": "{t} RLIKE '[0-9]{{8}}'",
+    "passport": "{t} RLIKE '[0-9]{{6}}'",
+    "drivers_license": "{t} RLIKE '[0-9]{{5}}'",
+    "vin": "{t} RLIKE '[A-HJ-NPR-Z0-9]{{17}}'",
 }
+_VIN_LETTERS, _VIN_VALUES = "ABCDEFGHJKLMNPRSTUVWXYZ", "12345678123457923456789"
+_VIN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
 _VALIDATORS_SQL = {
     "phone": "length(regexp_replace(m, '[^0-9]', '')) BETWEEN 7 AND 15",
     "credit_card": "luhn_check(regexp_replace(m, '[ -]', ''))",
@@ -76,6 +107,11 @@ _VALIDATORS_SQL = {
     "iban": ("aggregate(split(array_join(transform(split(concat(substring(m, 5, 64), substring(m, 1, 4)), ''), "
              "c -> CASE WHEN c RLIKE '[A-Z]' THEN CAST(ascii(c) - 55 AS STRING) ELSE c END), ''), ''), 0, "
              "(acc, d) -> (acc * 10 + CAST(d AS INT)) % 97) = 1"),
+    "routing_number": ("aggregate(zip_with(split(right(m, 9), ''), array(3, 7, 1, 3, 7, 1, 3, 7, 1), "
+                       "(c, w) -> CAST(c AS INT) * w), 0, (a, x) -> a + x) % 10 = 0 AND right(m, 9) <> '000000000'"),
+    "vin": (f"aggregate(zip_with(split(translate(m, '{_VIN_LETTERS}', '{_VIN_VALUES}'), ''), array({', '.join(map(str, _VIN_WEIGHTS))}), "
+            "(c, w) -> CAST(c AS INT) * w), 0, (a, x) -> a + x) % 11 = "
+            "CASE WHEN substring(m, 9, 1) = 'X' THEN 10 ELSE try_cast(substring(m, 9, 1) AS INT) END AND m RLIKE '[A-Z]' AND m RLIKE '[0-9]'"),
 }
 
 

@@ -10,7 +10,7 @@ import re
 from textsieve.functions import dialect as D
 from textsieve.functions import patterns as P
 from textsieve.functions.spans import oracle_spans_sql
-from textsieve.operators.pii import FINDERS
+from textsieve.operators.pii import _VIN_LETTERS, _VIN_VALUES, _VIN_WEIGHTS, FINDERS, SECRET_TYPES, STRUCTURED
 from textsieve.sources.tables import cte_prefix
 
 _LUHN = ("(list_sum(list_transform(range(1, length(m) + 1), lambda i: "
@@ -29,6 +29,11 @@ _VALIDATORS = {
             "AND substr(m, 5, 2) <> '00' AND substr(m, 8, 4) <> '0000'"),
     "ip_address": "list_bool_and(list_transform(string_split(m, '.'), lambda o: CAST(o AS INTEGER) <= 255))",
     "iban": _IBAN,
+    "routing_number": ("list_sum(list_transform(range(1, 10), lambda i: CAST(substr(right(m, 9), i, 1) AS INTEGER) * [3, 7, 1][(i - 1) % 3 + 1])) "
+                       "% 10 = 0 AND right(m, 9) <> '000000000'"),
+    "vin": (f"list_sum(list_transform(range(1, 18), lambda i: CAST(substr(translate(m, '{_VIN_LETTERS}', '{_VIN_VALUES}'), i, 1) AS INTEGER) "
+            f"* [{', '.join(map(str, _VIN_WEIGHTS))}][i])) % 11 = CASE WHEN substr(m, 9, 1) = 'X' THEN 10 "
+            "ELSE TRY_CAST(substr(m, 9, 1) AS INTEGER) END AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')"),
 }
 
 
@@ -85,8 +90,7 @@ def pii_sql() -> dict[str, str]:
             sp1_parts.append(f"SELECT doc_id, '{ptype}' AS pattern_id, s.start AS start_pos, s.\"end\" AS end_pos "
                              f"FROM (SELECT doc_id, unnest({spans}) AS s FROM seeded_docs)")
     sp1 = cte_prefix("seeded_docs") + "\nUNION ALL\n".join(sp1_parts)
-    structured = "('credit_card','ssn','ip_address','iban','crypto_wallet')"
-    secrets = "(" + ",".join(f"'{f[0]}'" for f in FINDERS[7:]) + ")"
+    structured, secrets = ("(" + ",".join(f"'{t}'" for t in ts) + ")" for ts in (STRUCTURED, SECRET_TYPES))
     from textsieve.operators.pii import ENTITY_NAME
     names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENTITY_NAME.items())
     emap = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.ENTITY_MAP)

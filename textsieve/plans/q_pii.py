@@ -11,8 +11,8 @@ from textsieve.operators import pii
 from textsieve.functions.spans import regex_spans
 from textsieve.sources.tables import seeded
 
-_STRUCTURED = ["credit_card", "ssn", "ip_address", "iban", "crypto_wallet"]
-_SECRETS = [t for t, _ in pii.SECRETS]
+_STRUCTURED = pii.STRUCTURED
+_SECRETS = pii.SECRET_TYPES
 
 
 def _docs(spark, sf_dir) -> DataFrame:
