@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsieve.llm.common import cut, table, values
+from textsieve.llm.common import cut, kept, table, values
 
 MIN_PAGES, LEAST_IMPORTANCE, DECAY, SHARE = 8, 0.2, 0.9, 0.6
 ALL = "*"
@@ -441,7 +441,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars."""
     src = _page_key(pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"),
                                  F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host")))
-    trees = cut(unimportant_branches(cut(style_counts(src)), min_pages, least))
+    trees = cut(unimportant_branches(kept(style_counts(src), "styles"), min_pages, least))
     dealt = src.join(cut_paths(src, trees), ["k1", "k2"], "left")
 
     def run(batches):
