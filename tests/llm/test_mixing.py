@@ -93,3 +93,30 @@ def test_query(spark):
         assert 0 <= r.taken <= 3 * r.size
         taken[(r.source_size, r.target)] += r.taken
     assert all(abs(n - t) <= 0.01 * t for (_, t), n in taken.items())
+
+
+def test_query_is_tilted_by_the_dual(spark):
+    """Copies follow exp(lambda * size / mean) cut at 3, with lambda from a bisection of the constraint in memory."""
+    got = M.op9_source_mix(spark, "/root/testdata/sf0.01").collect()
+    sources = defaultdict(list)
+    for r in got:
+        sources[(r.source_size, r.target)].append(r)
+    off = n = 0
+    for (total, target), rows in sources.items():
+        sizes = [r.size for r in rows if r.size]
+        mean = sum(sizes) / len(sizes)
+        rate = lambda lam, s: min(3.0, math.exp(min(50.0, lam * s / mean)))
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            low, high = (low, lam) if sum(s * rate(lam, s) for s in sizes) > target else (lam, high)
+        for r in rows:
+            if r.size:
+                want = rate(low, r.size)
+                n += 1
+                off += not math.floor(want + 1e-6) <= r.copies <= math.ceil(want - 1e-6)      # rounded, but for the few settled ones
+        if abs(total - target) > 0.2 * total and len(rows) > 20:                              # long and short documents differ
+            long = sorted(rows, key=lambda r: r.size)[-5:]
+            assert (sum(r.copies for r in long) >= 2.5 * len(long) * min(1.0, target / total / 3)) if target > total else \
+                sum(r.copies for r in long) <= len(long)
+    assert off <= 0.2 * n, (off, n)

@@ -173,8 +173,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def op9_source_mix(spark, sf_dir):
+    """Rates tilted by document length: of all rates that meet the targets those closest to equal ones."""
     docs = table(spark, sf_dir, "documents")
-    return (mix(docs).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return (mix(docs, base="documents").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
             .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"))
 
 
