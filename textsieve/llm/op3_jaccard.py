@@ -22,7 +22,8 @@ the Jaccard similarity of their token sets is at least ``PERCENT`` / 100.
    of fewer than percent / (100 - percent) tokens (4 at 80) can only be similar if
    equal.
 4. The documents of a signature form a group named by its smallest row; signatures
-   with the same smallest row share a group (rows stay linear in the postings).
+   with the same smallest row share a group (rows stay linear in the postings).  A document
+   leaves a group in which no other has a size that allows the similarity.
 5. Each group is cut into blocks by hash, and each pair of blocks is one task group
    that verifies its pairs exactly on the full sets: shared tokens are counted
    through an index, and per document its number of links and one connected
@@ -49,6 +50,7 @@ FREQUENT = 32                 # prefixes that hold a token, from which on it is
 PER_CLASS = 8                 # prefix tokens of a class that a level aims at
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 18, 512
 MARKS, MARK_BITS = 1 << 23, 26
+MAX_BROADCAST = 200_000       # members (some 150 bytes each)
 _COUNTER_SHIFT = np.uint64(64 - 19)
 _NAME = 0xA5A5A5A5A5A5A5A5
 
@@ -100,23 +102,25 @@ def word_counters(texts: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def token_set(text: str | None) -> np.ndarray:
     """Distinct shingle hashes, ascending."""
-    s = np.sort(shingles(word_hashes(text))) if text else np.empty(0, np.uint64)
-    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+    return distinct(shingles(word_hashes(text))) if text else np.empty(0, np.uint64)
 
 
-def ordered_tokens(text: str, counters: np.ndarray) -> np.ndarray:
-    """The set's tokens in the global order, as numbers that sort so: 16 bits of the least word count of the
-    shingle, then 48 of its hash."""
-    w = word_hashes(text)
-    s = shingles(w)
+def ordered_tokens(w: np.ndarray, s: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    """The tokens of a text in the global order, as numbers that sort so: 16 bits of the least word count of the
+    shingle, then 48 of its hash; from the hashes of its words and shingles."""
     c = counters[(w >> _COUNTER_SHIFT).astype(np.int64)]
     least = c[:len(s)]
     for j in range(1, len(w) - len(s) + 1):
         least = np.minimum(least, c[j:len(s) + j])
-    key = np.sort((least.astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16)))
-    return key[np.concatenate(([True], key[1:] != key[:-1]))]
+    return distinct((least.astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16)))
 
 
 def name_of(s: np.ndarray) -> tuple[int, int]:
@@ -134,11 +138,13 @@ def describe(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
         for b in batches:
             n, names, prefix = [], [], []
             for text in values(b.column(1)):
-                s = token_set(text)
+                w = word_hashes(text) if text else np.empty(0, np.uint64)
+                each = shingles(w)
+                s = distinct(each)
                 n.append(len(s))
                 names.append(name_of(s))
                 longest = may_miss(len(s), percent) + 1 + classes(levels(len(s), percent)[-1], percent) if may_link(len(s), percent) else 0
-                prefix.append(ordered_tokens(text, counters.value)[:longest].view(np.int64) if longest else [])
+                prefix.append(ordered_tokens(w, each, counters.value)[:longest].view(np.int64) if longest else [])
             h1, h2 = zip(*names) if names else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
@@ -225,12 +231,30 @@ def signatures(prefixes: DataFrame, percent: int) -> DataFrame:
     return known.select("row", "n", "known").mapInArrow(run, "sig bigint, row bigint")
 
 
-def candidate_groups(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, part) and (row, parts): a signature's group is named by its smallest row; rows that share a
-    signature share its group."""
+def candidate_groups(sigs: DataFrame) -> DataFrame:
+    """(row, part): a signature's group is named by its smallest row; rows that share a signature share its group."""
     centre = sigs.groupBy("sig").agg(F.min("row").alias("m"), F.max("row").alias("x")).where("m < x").select("sig", "m")
-    pairs = cut(sigs.join(centre, "sig").select("row", F.col("m").alias("part")).distinct())
-    return pairs, pairs.groupBy("row").agg(F.collect_list("part").alias("parts"))
+    return sigs.join(centre, "sig").select("row", F.col("m").alias("part")).distinct()
+
+
+def sized(members: DataFrame, percent: int) -> DataFrame:
+    """Members (part, n, ...) without those whose group holds no other set of a size that can be similar.
+
+    Sizes fall into classes of the ratio that similar sets may have, so partners are in the same class or in the nearest
+    ones; groups are counted by class, never gathered."""
+    ratio = F.lit(percent / 100)
+    members = members.withColumn("size_class", F.floor(F.log("n") / -F.log(ratio)).cast("int"))
+    found = members.groupBy("part", "size_class").agg(F.count("*").alias("same"), F.min("n").alias("low"), F.max("n").alias("high"))
+    # partners are in the same class or the next; one more is looked at, as rounding may put sizes on an edge
+    step = F.col("step")
+    near = (found.withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(-2, 3)])))
+            .withColumn("size_class", F.col("size_class") + step).groupBy("part", "size_class")
+            .agg(F.sum(F.when(step == 0, F.col("same"))).alias("same"), F.min(F.when(step < 0, F.col("low"))).alias("above"),
+                 F.max(F.when(step > 0, F.col("high"))).alias("below")))
+    n = F.col("n")
+    partner = ((F.col("same") > 1) | F.coalesce(F.col("above") * percent <= n * 100, F.lit(False))
+               | F.coalesce(F.col("below") * 100 >= n * percent, F.lit(False)))
+    return members.join(near, ["part", "size_class"]).where(partner).drop("size_class", "same", "above", "below")
 
 
 def verify_group(rows: np.ndarray, sides: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], percent: int,
@@ -313,6 +337,8 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: st
             on = np.flatnonzero((marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             yield b.select([0, 1]).take(pa.array(on))
 
+    if members.count() <= MAX_BROADCAST:          # else both sides are shuffled, the texts once more
+        members = F.broadcast(members)
     whole = (docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
              .select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("mark"))
              .mapInArrow(pick, "id bigint, text string").join(members, "id"))
@@ -360,9 +386,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # copies are indexed as well (linear in their number); only representatives are verified
     sigs = cut(signatures(named.where(may_link(F.col("n"), percent)).select("row", "n", "prefix"), percent))
     release(docs.sparkSession)                # the shuffles of tokens are no longer needed
-    pairs, lists = candidate_groups(sigs)
-    members = cut(named.select("id", "row").join(folded.select(F.col("rep").alias("row"), "h1", "h2", "n", "copies"), "row")
-                  .join(pairs, "row").join(lists, "row"))
+    pairs = candidate_groups(sigs).join(folded.select(F.col("rep").alias("row"), "h1", "h2", "n", "copies"), "row")
+    pairs = cut(sized(cut(pairs), percent))
+    lists = pairs.groupBy("row").agg(F.collect_list("part").alias("parts"))
+    members = cut(named.select("id", "row").join(pairs, "row").join(lists, "row"))
     del sigs, pairs, lists
     release(docs.sparkSession)
     verified = cut(verified_links(docs, members, percent, id_col, text_col))
