@@ -18,6 +18,7 @@ from textsieve.operators import registry as RG
 from textsieve.plans import analyze as AN
 from textsieve.plans import oracle_pii, oracle_prompt
 from textsieve.sources import requests as RQ
+from textsieve.sources import responses as RS
 from textsieve.sources.tables import cte_prefix, read_table, seeded
 
 REQ_COLS = ["request_id", "prompt", "tenant_id", "user_role", "app_id", "user_id"]
@@ -124,8 +125,14 @@ def audit_record_q(spark, sf_dir):
                     F.array_join("tags", ",").alias("tags"))
 
 
+def _rules_with_docs(spark, sf_dir):
+    return AN.analyze(requests_df(spark, sf_dir), request_docs_df(spark, sf_dir), paraphrase=False, similarity=False, with_docs=True)
+
+
 def audit_sink_q(spark, sf_dir):
-    return AN.audit_json(_audit(spark, sf_dir).drop("timestamp"))
+    """S3, G1: one JSON line for each request, with the ordered hashes of its documents (rule detectors)."""
+    decisions, docs = _rules_with_docs(spark, sf_dir)
+    return RS.audit_lines(AN.audit_records(decisions).drop("timestamp"), AN.audit_doc_hashes(docs)).select("value")
 
 
 def repeated_inputs_q(spark, sf_dir):
@@ -146,9 +153,8 @@ def read_requests_q(spark, sf_dir):
 
 
 def write_decisions_q(spark, sf_dir):
-    """Response JSON per request (rule detectors; checked against the oracle)."""
-    d = AN.analyze(requests_df(spark, sf_dir), request_docs_df(spark, sf_dir), paraphrase=False, similarity=False)
-    return RQ.decisions_json(d)
+    """Response JSON per request, documents nested (rule detectors; checked against the oracle)."""
+    return RS.response_lines(*_rules_with_docs(spark, sf_dir))
 
 
 QUERIES = {
@@ -271,17 +277,31 @@ def oracle() -> dict[str, str]:
         "read_requests": RQ.oracle_sql(),
         "analyze_rules": ("SELECT request_id, tenant_id, decision, risk_score, risk_tags, sanitized_prompt, n_docs FROM ("
                           + analyze_rules_oracle() + ")"),
-        "write_decisions": ("SELECT request_id, decision, to_json({'decision': decision, 'risk_score': CAST(risk_score AS INTEGER), "
-                            "'risk_tags': tag_list, 'sanitized_prompt': sanitized_prompt, 'reasons': reasons, "
-                            "'n_docs': n_docs}) AS response FROM (" + analyze_rules_oracle() + ")"),
+        "write_decisions": _documents_oracle() + """SELECT a.request_id, a.decision, to_json({'decision': a.decision,
+            'risk_score': CAST(a.risk_score AS INTEGER), 'risk_tags': a.tag_list, 'sanitized_prompt': a.sanitized_prompt,
+            'sanitized_context_docs': coalesce(l.docs, []), 'reasons': list_concat(a.reasons, coalesce(l.reasons, []))}) AS response
+            FROM ar a LEFT JOIN lists l ON l.request_id = a.request_id""",
         "sanitize_docs": _sanitize_docs_oracle(),
-        "audit_sink": base + f"""SELECT to_json({{'request_id': request_id, 'app_id': app_id,
-            'user_id_hash': sha256(user_id), 'tenant': tenant_id, 'policy_version': '{P.POLICY_VERSION}',
-            'prompt_hash': sha256(prompt), 'n_context_docs': 0, 'score': CAST(risk_score AS INTEGER),
-            'decision': decision, 'tags': tags}}) AS value FROM final""",
+        "audit_sink": _documents_oracle() + f"""SELECT to_json({{'request_id': a.request_id, 'app_id': sp.app_id,
+            'user_id_hash': sha256(sp.user_id), 'tenant': sp.tenant_id, 'policy_version': '{P.POLICY_VERSION}',
+            'prompt_hash': sha256(sp.prompt), 'score': CAST(a.risk_score AS INTEGER),
+            'decision': a.decision, 'tags': a.tag_list, 'context_doc_hashes': coalesce(l.hashes, [])}}) AS value
+            FROM ar a JOIN seeded_prompts sp ON sp.request_id = a.request_id LEFT JOIN lists l ON l.request_id = a.request_id""",
     }
 
 
+def _documents_oracle() -> str:
+    """CTEs ar (decisions of the rules) and lists (documents, their reasons and hashes of each request, in order)."""
+    ctes, final = analyze_rules_parts()
+    return ctes + f""",
+ar AS ({final}),
+lists AS (SELECT rd.request_id, list({{'id': rd.document_id, 'text': rr.sanitized_text, 'source': rd.source}} ORDER BY rd.doc_id) AS docs,
+  list({{'tag': 'rag_injection', 'evidence': replace(rr.evidence, ' | ', '; ')}} ORDER BY rd.doc_id) FILTER (WHERE rr.matched) AS reasons,
+  list(sha256(rd.text) ORDER BY rd.doc_id) AS hashes
+  FROM request_docs rd JOIN rr ON rr.doc_id = rd.doc_id GROUP BY rd.request_id)
+"""
+
+
 def _sanitize_docs_oracle() -> str:
     from textsieve.plans import oracle_rag
     rag_part = oracle_rag.base_ctes() + "SELECT k AS doc_id, sanitized_text FROM res"
@@ -303,11 +323,14 @@ QUERIES["analyze_rules"] = analyze_rules_q
 
 
 def analyze_rules_oracle() -> str:
+    return "\n".join(analyze_rules_parts())
+
+
+def analyze_rules_parts() -> tuple[str, str]:
+    """The CTEs of the end-to-end rule oracle (rr: the document scan) and its final SELECT."""
     from textsieve.plans import oracle_rag
     prompt_part = _decision_sql() + "SELECT request_id, ord, tag, matched, score, evidence FROM weighted"
-    rag_part = oracle_rag.base_ctes() + """SELECT k AS doc_id, hit AND decision <> 'allow' AS matched,
-        CAST(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60 ELSE score0 END AS INTEGER) AS score
-        FROM res"""
+    rag_part = oracle_rag.rag_sql()["rag_rules"]
     final_part = _decision_sql() + "SELECT request_id, sanitized_prompt FROM final"
     rw = _weight_case("sp.user_role", P.ROLE_WEIGHTS)
     cw = _weight_case("CASE WHEN rd.source = '' OR rd.source IS NULL THEN 'prompt' ELSE rd.source END",
@@ -328,8 +351,7 @@ agg AS (SELECT request_id, coalesce(max(score) FILTER (WHERE matched), 0) AS top
           coalesce(list_sort(list_distinct(list(tag) FILTER (WHERE matched))), []) AS tags FROM allr GROUP BY request_id),
 dec AS (SELECT a.request_id, sp.tenant_id,
           CAST(CASE WHEN n_hit = 0 THEN 0 ELSE least(100, top + bumps - floor(top * {P.CORROBORATION_WEIGHT})) END AS BIGINT) AS risk_score,
-          tags, CASE {rules} END AS compound_action FROM agg a JOIN seeded_prompts sp ON sp.request_id = a.request_id)
-SELECT d.request_id, d.tenant_id,
+          tags, CASE {rules} END AS compound_action FROM agg a JOIN seeded_prompts sp ON sp.request_id = a.request_id)""", f"""SELECT d.request_id, d.tenant_id,
        coalesce(compound_action, CASE WHEN risk_score >= {_tenant_case('d.tenant_id', 0)} THEN 'block'
          WHEN risk_score >= {_tenant_case('d.tenant_id', 1)} THEN 'transform' ELSE 'allow' END) AS decision,
        risk_score, array_to_string(tags, ',') AS risk_tags, fp.sanitized_prompt,
