@@ -15,7 +15,7 @@ from textsieve.functions import dialect as D
 from textsieve.functions.barrier import computed_once
 from textsieve.functions import patterns as P
 from textsieve.functions.merge import merge_overlaps, redact, span_list_repr
-from textsieve.functions.spans import SPAN_TYPE, regex_spans, regex_spans_sql, sql_literal
+from textsieve.functions.spans import SPAN_TYPE, regex_spans_sql, sql_literal
 
 FINDING_DDL = "struct<start:int,ord:int,end:int,type:string,confidence:double>"
 

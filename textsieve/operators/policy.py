@@ -102,21 +102,3 @@ def weighted(results: Column, role: Column, source_of: callable) -> Column:
         r["ord"].alias("ord"), r["tag"].alias("tag"), r["matched"].alias("matched"),
         apply_weights(r["score"], r["matched"], role, source_of(r)).alias("score"),
         r["evidence"].alias("evidence"), r["sanitized_text"].alias("sanitized_text")))
-
-
-def decision_columns(results: Column, block: Column, transform: Column) -> dict[str, Column]:
-    """Y2-Y7 over the ordered, weighted results of one request."""
-    hit = F.filter(results, lambda r: r["matched"])
-    score = combine_score(F.transform(hit, lambda r: r["score"]))
-    tags = F.array_sort(F.array_distinct(F.transform(hit, lambda r: r["tag"])))
-    action = compound_action(tags)
-    reasons = F.transform(hit, lambda r: F.struct(r["tag"].alias("tag"), F.when(
-        F.size(r["evidence"]) > 0, F.array_join(r["evidence"], "; "))
-        .otherwise(F.concat(r["tag"], F.lit(" matched"))).alias("evidence")))
-    return {
-        "risk_score": score,
-        "risk_tags": tags,
-        "compound_action": action,
-        "decision": F.coalesce(action, decide(score, block, transform)),
-        "reasons": reasons,
-    }

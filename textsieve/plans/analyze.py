@@ -181,11 +181,6 @@ def audit_doc_hashes(docs: DataFrame) -> DataFrame:
     return docs.where("coalesce(ord, 0) = 0").select("request_id", "pos", F.col("text_hash").alias("doc_hash"))
 
 
-def audit_json(audit: DataFrame) -> DataFrame:
-    """S3: one compact JSON line per decision (the log record)."""
-    return audit.select(F.to_json(F.struct(*audit.columns)).alias("value"))
-
-
 def repeated_inputs(audit: DataFrame) -> DataFrame:
     """Prompts seen more than once, by hash only."""
     return (audit.groupBy("prompt_hash")

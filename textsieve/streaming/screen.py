@@ -15,7 +15,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsieve.operators import policy as POL
 from textsieve.plans import analyze as AN
 from textsieve.session import cut, ensure_checkpoint_dir
 from textsieve.sources import requests as RQ
