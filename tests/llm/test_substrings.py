@@ -4,7 +4,6 @@ import re
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from textsieve.llm import op13_substrings as S
 
