@@ -381,6 +381,7 @@ def rag_sql() -> dict[str, str]:
             CAST(CASE WHEN NOT hit THEN 0 WHEN decision <> 'allow' AND score0 = 0 THEN 60 ELSE score0 END AS BIGINT) AS score
             FROM res""",
         "rag_rules": base + whole,
+        "rag_similar": base_ctes(similarity=True) + whole,          # no query of its own: part of analyze_similarity
         "rag_scan": base_ctes(similarity=True, trusted=trusted, trusted_ev=allowed) + whole,
         "template_similarity": cte_prefix("seeded_docs").rstrip() + ",\n" + similarity_ctes("seeded_docs", "doc_id", "text")
                                + "\nSELECT d.doc_id, round(coalesce(sim, 0), 6) AS max_similarity, CAST(coalesce(n_hits, 0) AS BIGINT) AS n_hits "

@@ -275,8 +275,8 @@ def oracle() -> dict[str, str]:
             SELECT c.hash, coalesce(s.n_seen, 0) AS n_seen, coalesce(s.ever_blocked, false) AS ever_blocked
             FROM (SELECT DISTINCT sha256(text) AS hash FROM conversations) c LEFT JOIN seen s ON s.h = c.hash""",
         "read_requests": RQ.oracle_sql(),
-        "analyze_rules": ("SELECT request_id, tenant_id, decision, risk_score, risk_tags, sanitized_prompt, n_docs FROM ("
-                          + analyze_rules_oracle() + ")"),
+        **{key: "SELECT request_id, tenant_id, decision, risk_score, risk_tags, sanitized_prompt, n_docs FROM ("
+           + "\n".join(analyze_rules_parts(scan)) + ")" for key, scan in (("analyze_rules", "rag_rules"), ("analyze_similarity", "rag_similar"))},
         "write_decisions": _documents_oracle() + """SELECT a.request_id, a.decision, to_json({'decision': a.decision,
             'risk_score': CAST(a.risk_score AS INTEGER), 'risk_tags': a.tag_list, 'sanitized_prompt': a.sanitized_prompt,
             'sanitized_context_docs': coalesce(l.docs, []), 'reasons': list_concat(a.reasons, coalesce(l.reasons, []))}) AS response
@@ -313,7 +313,10 @@ FROM request_docs rd JOIN rr ON rr.doc_id = rd.doc_id"""
 def analyze_rules_q(spark, sf_dir):
     """Y10 with every rule detector on prompts and attached documents (no
     paraphrase model, no similarity): oracle-checked end to end."""
-    d = AN.analyze(requests_df(spark, sf_dir), request_docs_df(spark, sf_dir), paraphrase=False, similarity=False)
+    return _decided(AN.analyze(requests_df(spark, sf_dir), request_docs_df(spark, sf_dir), paraphrase=False, similarity=False))
+
+
+def _decided(d):
     return d.select("request_id", "tenant_id", "decision", F.col("risk_score").cast("long").alias("risk_score"),
                     F.array_join("risk_tags", ",").alias("risk_tags"), "sanitized_prompt",
                     F.col("n_docs").cast("long").alias("n_docs"))
@@ -322,15 +325,23 @@ def analyze_rules_q(spark, sf_dir):
 QUERIES["analyze_rules"] = analyze_rules_q
 
 
+def analyze_similarity_q(spark, sf_dir):
+    """Y10 with template similarity on the documents, without the paraphrase ratio (oracle-checked end to end)."""
+    return _decided(AN.analyze(requests_df(spark, sf_dir), request_docs_df(spark, sf_dir), paraphrase=False))
+
+
+QUERIES["analyze_similarity"] = analyze_similarity_q
+
+
 def analyze_rules_oracle() -> str:
     return "\n".join(analyze_rules_parts())
 
 
-def analyze_rules_parts() -> tuple[str, str]:
+def analyze_rules_parts(scan: str = "rag_rules") -> tuple[str, str]:
     """The CTEs of the end-to-end rule oracle (rr: the document scan) and its final SELECT."""
     from textsieve.plans import oracle_rag
     prompt_part = _decision_sql() + "SELECT request_id, ord, tag, matched, score, evidence FROM weighted"
-    rag_part = oracle_rag.rag_sql()["rag_rules"]
+    rag_part = oracle_rag.rag_sql()[scan]
     final_part = _decision_sql() + "SELECT request_id, sanitized_prompt FROM final"
     rw = _weight_case("sp.user_role", P.ROLE_WEIGHTS)
     cw = _weight_case("CASE WHEN rd.source = '' OR rd.source IS NULL THEN 'prompt' ELSE rd.source END",
