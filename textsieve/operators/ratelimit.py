@@ -6,7 +6,9 @@ included; it passes when that count is within the limit.  Per-key windows make
 one task per key, and a single app may own a third of all events, so the key is
 split into time buckets of one window length: each row's window spans at most
 its own and the previous bucket, so the previous bucket is copied in as context
-rows (at most 2x the rows) and every bucket is counted independently.
+rows (at most 2x the rows) and every bucket is counted independently.  A context
+row stands at the time its call leaves the window: the count is a running sum over
+the sorted rows, so a bucket costs its sort, however many calls a window holds.
 """
 from __future__ import annotations
 
@@ -25,22 +27,22 @@ def window_counts(df: DataFrame, keys: list[str], ts_us: str, order: str, window
     order ``(ts_us, order)``, counting the row itself and no later same-time call.
     ``logged`` marks rows that enter the log (default: all)."""
     w_us = int(window_s * 1_000_000)
-    lower = w_us if inclusive_start else w_us - 1
-    b = F.floor(F.col(ts_us) / F.lit(w_us)).cast("long")
-    base = df.withColumn("_logged", logged if logged is not None else F.lit(True))
-    tgt = base.withColumn("_bucket", b).withColumn("_ctx", F.lit(False))
-    ctx = base.withColumn("_bucket", b + 1).withColumn("_ctx", F.lit(True))
-    both = tgt.unionByName(ctx)
-    part = keys + ["_bucket"]
-    one = F.when(F.col("_logged"), F.lit(1))
-    rng = Window.partitionBy(*part).orderBy(ts_us).rangeBetween(-lower, 0)
-    peers = Window.partitionBy(*part, ts_us)
-    upto = Window.partitionBy(*part, ts_us).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = (both.withColumn("_in_range", F.count(one).over(rng))
-           .where(~F.col("_ctx"))
-           .withColumn("_later", F.count(one).over(peers) - F.count(one).over(upto))
-           .withColumn("win_count", (F.col("_in_range") - F.col("_later")).cast("long")))
-    return out.drop("_bucket", "_ctx", "_in_range", "_later", "_logged")
+    stays = w_us + 1 if inclusive_start else w_us
+    one = F.when(logged if logged is not None else F.lit(True), 1).otherwise(0)
+    base = df.withColumn("_one", one)
+    both = base.withColumn("_own", F.explode(F.when(F.col("_one") == 1, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1)))))
+    own = F.col("_own") == 1
+    bucket = F.floor(F.col(ts_us) / F.lit(w_us)).cast("long") + 1 - F.col("_own")
+    # a call of the bucket before is in the window from the start until it leaves; one without a time never leaves
+    leaves = F.when(F.col(ts_us).isNull(), 0).otherwise(-1)
+    both = both.select(*[c if c in keys else F.when(own, F.col(c)).alias(c) for c in df.columns], "_own",
+                       bucket.alias("_bucket"), F.when(own, F.col(ts_us)).otherwise(F.col(ts_us) + stays).alias("_at"),
+                       F.when(own, F.col("_one")).otherwise(leaves).alias("_step"))
+    rows = Window.partitionBy(*keys, "_bucket").orderBy("_at", "_own", order)
+    before = F.sum(1 - F.col("_own")).over(rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    since = F.sum("_step").over(rows.rowsBetween(Window.unboundedPreceding, 0))
+    return (both.withColumn("win_count", (before + since).cast("long")).where("_own = 1")
+            .drop("_bucket", "_own", "_at", "_step"))
 
 
 def rate_limit(events: DataFrame, app_limit: int, app_window_s: int, user_limit: int,
