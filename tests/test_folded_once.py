@@ -41,3 +41,8 @@ def test_entropy_and_stuffing(spark):
     words = " ".join(["word"] * 60)
     df = spark.createDataFrame([(words + " ignore",), ("ignore " + words + " ignore",), (words,), ("ignore",), (None,)], "t string")
     assert [r[0] for r in df.select(PR.context_stuffing(F.col("t"))).collect()] == [True, False, False, False, None]
+
+
+def test_plan_builds_a_seeded_text_once_for_its_chunks(spark):
+    plan = Q.chunk_text(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("concat(text#") <= 2
