@@ -33,7 +33,7 @@ def _signals(spark, sf_dir, paraphrase=False) -> DataFrame:
     if paraphrase:
         v = PR.with_paraphrases(v)
         para = F.col("_para")
-    sig = PR.prompt_signals(D.fold_ws(F.col("prompt")), F.col("_norm"), F.col("_lexical"), para)
+    sig = PR.prompt_signals(F.col("_lexical"), para)
     return explode_rows(v, ["request_id"], sig, "s", pos="pos").select(
         "request_id", "pos", F.col("s.category").alias("category"), F.col("s.weight").alias("weight"),
         F.col("s.evidence").alias("evidence"))
@@ -224,7 +224,7 @@ def semantic_classifier(spark, sf_dir):
 def semantic_weight(spark, sf_dir):
     """The classifier probability folded into the prompt score."""
     s = _classified(spark, sf_dir)
-    r = PR.prompt_scan(s.drop("_nfkc", "_norm", "_leet"), "prompt", paraphrase=False, prob_col="p_injection")
+    r = PR.prompt_scan(s.drop(*PR.VIEWS), "prompt", paraphrase=False, prob_col="p_injection")
     return r.select("request_id", CL.semantic_weight(F.col("p_injection")).cast("long").alias("semantic_weight"),
                     F.col("prompt_injection.score").cast("long").alias("score"))
 
