@@ -23,9 +23,11 @@ def _scanned(spark, sf_dir) -> DataFrame:
     return pii.pii_scan(_docs(spark, sf_dir))
 
 
-def _raw(spark, sf_dir) -> DataFrame:
+def _raw(spark, sf_dir, types=None) -> DataFrame:
+    """Findings before the merge, of some types or all: each finder works on its own."""
     d = _docs(spark, sf_dir)
-    return (explode_rows(d, ["doc_id"], pii.pii_findings("text"), "f")
+    finders = [f for f in pii.FINDERS if types is None or f[0] in types]
+    return (explode_rows(d, ["doc_id"], pii.pii_findings("text", finders), "f")
             .select("doc_id", F.col("f.start").alias("start_pos"), F.col("f.end").alias("end_pos"),
                     F.col("f.type").alias("type"), F.col("f.confidence").alias("confidence")))
 
@@ -45,20 +47,20 @@ def _tag(spans, ptype):
 
 
 def pii_email(spark, sf_dir):
-    return _raw(spark, sf_dir).where("type = 'email'").select("doc_id", "start_pos", "end_pos")
+    return _raw(spark, sf_dir, ["email"]).select("doc_id", "start_pos", "end_pos")
 
 
 def pii_phone(spark, sf_dir):
-    return _raw(spark, sf_dir).where("type = 'phone'").select("doc_id", "start_pos", "end_pos")
+    return _raw(spark, sf_dir, ["phone"]).select("doc_id", "start_pos", "end_pos")
 
 
 def pii_structured(spark, sf_dir):
-    return (_raw(spark, sf_dir).where(F.col("type").isin(_STRUCTURED))
+    return (_raw(spark, sf_dir, _STRUCTURED)
             .select("doc_id", "type", "start_pos", "end_pos"))
 
 
 def secret_finders(spark, sf_dir):
-    return (_raw(spark, sf_dir).where(F.col("type").isin(_SECRETS))
+    return (_raw(spark, sf_dir, _SECRETS)
             .select("doc_id", "type", "start_pos", "end_pos"))
 
 
