@@ -82,3 +82,15 @@ def test_at_the_threshold():
     a = np.array([[1.0, 0.0]])
     b = np.array([[math.cos(angle - 1e-9), math.sin(angle - 1e-9)], [math.cos(angle + 1e-9), math.sin(angle + 1e-9)]])
     assert [j.tolist() for _, j in V.tile_links(a, b, 0.95)] == [[0]]
+
+
+def test_rounds_meet_all_pairs_without_copies(spark, monkeypatch):
+    """Whatever a round holds, all pairs are met, and no vector is dealt more than once."""
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(4, 16))
+    vectors = [list(map(float, np.float32(centres[i % 4] + rnd.normal(size=16) * 0.15))) for i in range(160)]
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    dealt, round_ = [], V._round
+    monkeypatch.setattr(V, "_round", lambda df, lo, *rest: (dealt.append((lo, df.count())), round_(df, lo, *rest))[1])
+    assert run(spark, rows, block=16, max_pivots=3, held_bytes=8 * 16 * 16 * 3) == brute(rows)
+    assert len(dealt) >= 3 and max(n for _, n in dealt) == len(rows)
