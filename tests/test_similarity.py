@@ -36,3 +36,30 @@ def test_grams_are_not_sought_in_interpreted_lambdas(spark):
     df = spark.createDataFrame([(0, "a text")], "id int, text string")
     plan = SIM.with_template_similarity(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "crc32" not in plan
+
+
+def test_bounds_lose_no_best_chunk_and_no_hit():
+    """The best chunk of every text and all that reach the threshold have the cosine of plain counting."""
+    rnd = np.random.default_rng(2)
+    words = " ".join(P.CANONICAL_INJECTION_TEMPLATES).split() + ["the", "lot", "überall", "ok", "\U0001f600"]
+    texts = [[SIM.padded(" ".join(rnd.choice(words, rnd.integers(1, 12))) + "ab" * int(rnd.integers(0, 30))) for _ in range(rnd.integers(1, 9))]
+             for _ in range(60)]
+    index = SIM.GramIndex(tuple(P.CANONICAL_INJECTION_TEMPLATES))
+    flat, owner = [t for ts in texts for t in ts], np.repeat(np.arange(60), [len(ts) for ts in texts])
+    want, got = SIM.best_cosines(flat, index.counts), index.best(flat, owner, 0.4)
+    assert (want >= 0.4).any() and (got == 0).any()
+    assert (got[want >= 0.4] == want[want >= 0.4]).all() and (got <= want).all()
+    assert all(got[owner == i].max() == want[owner == i].max() for i in range(60))
+
+
+def test_chunks_are_cut_as_by_expressions(spark):
+    texts = ["A. b!\x0b\n\n \nc?d", "\n\n. .\n", " . x\x1c\n\x1dİ ΣΑΣ.\x85\xa0 y", "no end", "", " \t", ".　z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {r.id: [(c.start, c.end) for c in r.c] for r in df.select("id", SIM.chunk_spans(df.text).alias("c")).collect()}
+    assert [[c[:2] for c in SIM.chunks_of(t)] for t in texts] == [want[i] for i in range(len(texts))]
+
+
+def test_chunks_are_not_cut_in_interpreted_lambdas(spark):
+    """There every chunk is a walk through the text from its beginning."""
+    plan = SIM.with_template_similarity(spark.createDataFrame([("a text",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" not in plan and "regexp_extract_all" not in plan
