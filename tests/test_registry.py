@@ -60,3 +60,29 @@ def test_surfaces_without_detectors_and_errors(spark):
         RG.Registry().register("page", Shouting())
     with pytest.raises(ValueError):
         RG.Registry().register("doc", Shouting()).register("doc", Shouting())
+
+
+@pytest.mark.parametrize("sink", ["audit_sink", "write_decisions"])
+def test_sinks_scan_each_document_once(spark, monkeypatch, sink):
+    """Decisions and documents come from one scan."""
+    from textsieve.plans import q_policy
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def matched(text):
+        seen.add(1)
+        return text == text.upper()
+
+    class Counting(Shouting):
+        name = "rag_injection"
+
+        def findings(self, df, text_col):
+            return super().findings(df, text_col).withColumn(self.name, F.col(self.name).withField("matched", matched(text_col)))
+
+    docs = [("a", i, f"d{i}", "LOUD" if i % 2 else "quiet", "default") for i in range(6)]
+    registry = RG.Registry().register("prompt", Shouting()).register("doc", Counting())
+    monkeypatch.setattr(q_policy.AN.RG, "default_registry", lambda *a, **k: registry)
+    monkeypatch.setattr(q_policy, "requests_df", lambda *a: spark.createDataFrame([("a", "hello", "default", "guest", "x", "u")], REQ))
+    monkeypatch.setattr(q_policy, "request_docs_df", lambda *a: spark.createDataFrame(docs, DOC))
+    lines = q_policy.QUERIES[sink](spark, None).collect()
+    assert len(lines) == 1 and seen.value == len(docs)

@@ -2,14 +2,13 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from textsieve.session import ensure_checkpoint_dir
+from textsieve.session import ensure_checkpoint_dir, kept  # noqa: F401
 from textsieve.sources.tables import read_table
 
 SHINGLE_WORDS = 5
@@ -27,14 +26,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a compressed table in the folder of spark.checkpoint.dir, read back (a few times smaller than a
-    checkpoint, for large tables that are read more than once)."""
-    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def release(spark: SparkSession) -> None:
     """Ask Python and the driver's JVM to collect garbage, so that Spark's cleaner deletes shuffle files and
     checkpoints that nothing refers to any more now, not when the driver happens to need memory."""
