@@ -77,3 +77,19 @@ def test_source_of_a_document_has_a_default(spark):
     value = json.dumps({"prompt": "p", "metadata": META, "context_docs": [{"id": "1", "text": "t"}, {"id": "2", "text": "u", "source": "wiki"}]})
     row = RQ.parse_requests(spark.createDataFrame([(value,)], "value string")).first()
     assert [(d.id, d.text, d.source) for d in row.req.context_docs] == [("1", "t", "default"), ("2", "u", "wiki")]
+
+
+def test_an_arrival_is_a_micro_batch(spark, monkeypatch):
+    """However many files it was written as; a batch without rows, which only moves the watermark, builds no plan."""
+    from paths import SF001
+    from textsieve.plans import analyze as AN
+    from textsieve.plans import q_stream
+    sizes, plans, screen, analyze = [], [], SS.screen_batch, AN.analyze
+    monkeypatch.setattr(SS, "screen_batch", lambda b, *rest: (sizes.append(b.count()), screen(b, *rest))[1])
+    monkeypatch.setattr(AN, "analyze", lambda *a, **k: (plans.append(1), analyze(*a, **k))[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        audit = q_stream.screen_stream(spark, SF001)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(n > 0 for n in sizes) == len(plans) == 2 and audit.count() == sum(sizes)

@@ -38,15 +38,16 @@ def _staged(spark, sf_dir, name):
 
 
 def screen_stream(spark, sf_dir):
-    """Requests screened as they arrive; audit rows appended per batch."""
-    run, _parts = _staged(spark, sf_dir, "screen")
+    """Requests screened as they arrive, the files of an arrival in a micro-batch, however many it was written as;
+    audit rows appended per batch."""
+    run, parts = _staged(spark, sf_dir, "screen")
     policy = os.path.join(run, "policy")
     SS.write_policy(spark, policy, {"default": P.DEFAULT_THRESHOLDS,
                                     **{n: (b, t) for n, b, t in P.TENANT_THRESHOLDS}})
     # rule detectors (no paraphrase model, no similarity), so the streamed
     # decisions are checked against the end-to-end rule oracle
-    audit = SS.run_screen_stream(spark, os.path.join(run, "requests", "*"), policy, run,
-                                 paraphrase=False, similarity=False)
+    audit = SS.run_screen_stream(spark, os.path.join(run, "requests", "*"), policy, run, paraphrase=False,
+                                 similarity=False, files_per_batch=max(SS.n_files(spark, p) for p in parts))
     return audit.select("request_id", "tenant", "decision", F.col("score").cast("long").alias("score"),
                         F.array_join("tags", ",").alias("tags"))
 
@@ -63,8 +64,8 @@ def policy_refresh(spark, sf_dir):
         strict = {k: (max(1, b - 40 * gen), max(1, t - 40 * gen)) for k, (b, t) in base.items()}
         SS.write_policy(spark, policy, strict)
         spark.read.text(part).write.mode("overwrite").text(os.path.join(incoming, f"batch{gen}"))
-        audit = SS.run_screen_stream(spark, os.path.join(incoming, "*"), policy, run,
-                                     paraphrase=False, similarity=False)
+        audit = SS.run_screen_stream(spark, os.path.join(incoming, "*"), policy, run, paraphrase=False, similarity=False,
+                                     files_per_batch=SS.n_files(spark, os.path.join(incoming, f"batch{gen}")))
         out = audit
     return out.select("request_id", "tenant", "decision", F.col("score").cast("long").alias("score"))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,16 +33,19 @@ def screen_batch(parsed: DataFrame, policy_path: str, audit_path: str, paraphras
                  similarity: bool = True, batch_id: int = 0) -> None:
     """Screen the requests of a micro-batch (valid rows of `sources.requests.parse_requests`)."""
     parsed = cut(parsed)          # the state behind it is stepped once, however often the batch is read
+    docs_path = os.path.join(audit_path + "_docs", f"batch={batch_id}")
+    if parsed.isEmpty():          # as where Spark only moves the watermark: no plan of all rules for no rows
+        parsed.sparkSession.createDataFrame([], "request_id string, pos int, doc_hash string").write.mode("overwrite").parquet(docs_path)
+        return
     requests, docs = RQ.flatten_requests(parsed.select("req.*"))
     policy = parsed.sparkSession.read.parquet(policy_path)
     decisions, doc_rows = AN.analyze(requests, docs, paraphrase=paraphrase, similarity=similarity,
-                                     policy=policy, with_docs=True)
+                                     policy=policy, with_docs=True, stored="hashes")
     # written per batch id with overwrite: a micro-batch re-run after a failure
     # replaces its own output instead of appending duplicates
     audit = AN.audit_records(decisions).withColumn("date", F.substring("timestamp", 1, 10))
     audit.write.mode("overwrite").partitionBy("date").parquet(os.path.join(audit_path, f"batch={batch_id}"))
-    (AN.audit_doc_hashes(doc_rows).write.mode("overwrite")
-     .parquet(os.path.join(audit_path + "_docs", f"batch={batch_id}")))
+    AN.audit_doc_hashes(doc_rows).write.mode("overwrite").parquet(docs_path)
 
 
 def taken_in(lines: DataFrame, event_time: str = "received_at") -> DataFrame:
@@ -89,17 +93,25 @@ def late_rows(spark: SparkSession, run_dir: str) -> DataFrame:
 
 
 def stage_requests(spark: SparkSession, sf_dir: str, out_dir: str, parts: int = 2) -> list[str]:
-    """Serialize the seeded requests as JSON-line files (one folder per part)."""
+    """Serialize the seeded requests as JSON-line files (one folder per part, all in one pass)."""
     rid = F.get_json_object("value", "$.metadata.request_id")
     j = RQ.request_json(spark, sf_dir).withColumn("_part", F.split(rid, "-")[0].cast("long") % parts)
-    dirs = []
-    for p in range(parts):
-        d = os.path.join(out_dir, f"part{p}")
-        j.where(F.col("_part") == p).select("value").write.mode("overwrite").text(d)
-        dirs.append(d)
+    (j.where(F.col("_part").between(0, parts - 1)).select("value", F.col("_part").alias("part"))
+     .write.mode("overwrite").partitionBy("part").text(out_dir))
+    dirs = [os.path.join(out_dir, f"part={p}") for p in range(parts)]
+    for d in dirs:
+        try:
+            spark.read.text(d)
+        except AnalysisException:                       # a part without requests
+            spark.createDataFrame([], "value string").write.text(d)
     return dirs
 
 
+def n_files(spark: SparkSession, folder: str) -> int:
+    """Number of files in a folder of lines, 1 at least."""
+    return max(1, len(spark.read.text(folder).inputFiles()))
+
+
 def new_run_dir(spark: SparkSession, name: str) -> str:
     import uuid
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
